@@ -40,11 +40,12 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (3, 1, 2), total
     return full.withColumn("free", free).select("source", "source_size", F.when(F.col("free").isNull() | F.col("held"), F.col("limit")).otherwise(F.col("weight") * F.col("free.level")).alias("target"))
 
 
-def copies(docs: DataFrame, targets: DataFrame, seed: str = "mix", salts: int = 16) -> DataFrame:
+def copies(docs: DataFrame, targets: DataFrame, seed: str = "mix", digits: int = 2) -> DataFrame:
     """Adds ``source_size``, ``target`` and ``copies`` to rows that have ``source`` and ``size``.
 
     Within a source every document expects target / source_size copies. The
-    documents stand in order of size class, salt, size and id; the prefix sum of
+    documents stand in order of size class (four to each doubling), salt
+    (``digits`` hex digits of a hash of the id), size and id; the prefix sum of
     their expected copies plus one offset for the source crosses a number of
     integers at each document, and so many copies are taken. Neighbours in that
     order are alike in size, so the words taken come near the target. The rank
@@ -53,8 +54,8 @@ def copies(docs: DataFrame, targets: DataFrame, seed: str = "mix", salts: int =
     rows equal in all of it, and the offset comes from the source's name, so
     reruns agree. An empty source (all sizes 0) gets no copies.
     """
-    rows = docs.withColumn("__class", F.floor(F.log2(F.col("size").cast("double") + 1) * 4).cast("int"))
-    rows = rows.withColumn("__salt", F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(salts)).cast("int")).withColumn("__src", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))
+    rows = docs.withColumn("__class", F.expr("length(bin(size)) * 4 + (shiftright(size * 4, length(bin(size)) - 1) & 3)").cast("int"))
+    rows = rows.withColumn("__salt", F.coalesce(F.substring(F.md5(F.col("doc_id").cast("string")), 1, digits), F.lit(""))).withColumn("__src", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))
     counts = rows.groupBy("__src", "__class", "__salt").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy("__src").orderBy("__class", "__salt").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
@@ -89,3 +90,23 @@ def take(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), total: float = 1
     if "__own_size" in sized.columns:
         out = out.drop("size").withColumnRenamed("__own_size", "size")
     return out.select(*docs.columns)
+
+
+#: ``mix`` in DuckDB, with the words taken.
+MIX_SQL = r"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM d GROUP BY source),
+w AS (SELECT *, CASE k % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS weight, 2.0::DOUBLE * source_size AS lim FROM s),
+u AS (SELECT *, 1.5::DOUBLE * (sum(source_size) OVER ()) AS budget,
+  coalesce(sum(lim) OVER (ORDER BY lim / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE) AS below,
+  sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY lim / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE) AS rest FROM w),
+l AS (SELECT *, (budget - below) / rest AS level FROM u),
+f AS (SELECT *, lim <= weight * level AS held FROM l),
+t AS (SELECT source, source_size, CASE WHEN held OR (SELECT count(*) FROM f WHERE NOT held) = 0 THEN lim ELSE weight * (SELECT level FROM f WHERE NOT held ORDER BY lim / weight, source NULLS LAST LIMIT 1) END AS target FROM f),
+r AS (SELECT d.doc_id, d.size, t.source_size, t.target, coalesce('=' || d.source, '') AS src,
+  row_number() OVER (PARTITION BY d.source ORDER BY length(bin(size)) * 4 + (((size * 4) >> (length(bin(size)) - 1)::BIGINT) & 3), coalesce(substr(md5(doc_id::VARCHAR), 1, 2), ''), size, doc_id NULLS LAST)::DOUBLE AS rn
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+x AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS expected, ('0x' || substr(md5('mix' || src), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE AS shift FROM r),
+y AS (SELECT *, (floor(rn * expected + shift) - floor((rn - 1) * expected + shift))::BIGINT AS copies FROM x)
+SELECT doc_id, size, source_size, target, size * copies AS taken, copies FROM y
+"""

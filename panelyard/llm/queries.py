@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelyard.llm import language, mixing, packing, simhash, toxicity
+from panelyard.llm import embeddings, html_text, language, merkle, mixing, packing, simhash, toxicity, warc, wordpiece
 from panelyard.llm.common import id_crc32
 
 
@@ -21,11 +21,19 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", (id_crc32() % 4 == 2).alias("held_out"), "lang_pred", "score", "margin", "accepted")
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return got.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     got = toxicity.score(docs, toxicity.fit(toxicity.training_rows(docs, labels)))
@@ -41,15 +49,39 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = warc.round_trip(_table(spark, sf_dir, "pages"))
+    return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordpiece.token_counts(_table(spark, sf_dir, "documents"))
+
+
+def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.compare_with_edit(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
+        "op2_embedding_dedup": op2_embedding_dedup,
         "op3_simhash": op3_simhash,
+        "op4_html_text": op4_html_text,
         "op5_toxicity": op5_toxicity,
         "op6_packing": op6_packing,
         "op7_mixing": op7_mixing,
+        "op8_warc": op8_warc,
+        "op9_token_counts": op9_token_counts,
+        "op10_merkle": op10_merkle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Compression, neural labels, SimHash, kNN and tokenizers are beyond SQL; their queries are tested by brute force."""
+    return {
+        "op2_embedding_dedup": embeddings.NEAR_SQL,
+        "op7_mixing": mixing.MIX_SQL,
+        "op8_warc": warc.ROUND_TRIP_SQL,
+        "op10_merkle": merkle.COMPARE_SQL,
+    }
