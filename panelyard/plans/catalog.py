@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from panelyard.plans import model_queries, panel_queries, stream_queries  # noqa: F401  they register themselves
+from panelyard.plans.registry import QUERIES, SQL
+
 FLAGSHIP = "flagship"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
