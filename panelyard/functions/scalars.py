@@ -35,7 +35,7 @@ def count_in_text(c: Column, unit: str) -> Column:
 
 def split_list(c: Column, sep: str = ";") -> Column:
     """Trimmed, non-empty members of a separated list."""
-    return F.filter(F.transform(F.split(c, sep), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, sep), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def parse_tokens(c: Column) -> Column:

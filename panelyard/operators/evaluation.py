@@ -47,20 +47,18 @@ def pairwise(df: DataFrame, system: str, actual: str, by: Sequence[str], levels:
     is ever formed. Groups may have up to 2^levels rows.
     """
     w = Window.partitionBy(*by)
-    rows = df.dropna(subset=[system, actual]).select(*by, F.col(system).alias("p"), F.col(actual).alias("y"))
-    # Equal outcomes are put in falling order of prediction, so that such a pair is never "right".
-    placed = rows.withColumn("i", F.row_number().over(w.orderBy("y", F.desc("p"))) - 1)
-    counts = placed.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    ties = placed.groupBy(*by, "y").agg(F.count(F.lit(1)).alias("m")).groupBy(*by).agg(F.sum(F.col("m") * (F.col("m") - 1) / 2).alias("tied"))
-    steps = placed.select(*by, "p", "i", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("level"))
-    steps = steps.withColumn("run", F.shiftright("i", 0)).withColumn("run", F.expr("shiftright(i, level + 1)")).withColumn("right", F.expr("shiftright(i, level) & 1"))
-    live = steps.join(counts, list(by)).where(F.expr("shiftleft(1L, level) < n"))
-    before = Window.partitionBy(*by, "level", "run").orderBy("p", F.desc("right")).rowsBetween(Window.unboundedPreceding, -1)
-    good = live.withColumn("g", F.when(F.col("right") == 1, F.coalesce(F.sum(1 - F.col("right")).over(before), F.lit(0))))
-    right = good.groupBy(*by).agg(F.sum("g").alias("right"))
-    out = counts.join(ties, list(by)).join(right, list(by), "left")
-    pairs = F.col("n") * (F.col("n") - 1) / 2 - F.col("tied")
-    return out.select(*by, pairs.cast("long").alias("pairs"), F.coalesce("right", F.lit(0)).alias("right"), F.when(pairs > 0, F.coalesce("right", F.lit(0)) / pairs).alias("accuracy"))
+    rows = df.dropna(subset=[system, actual]).select(*by, F.col(system).alias("__p"), F.col(actual).alias("__y"))
+    # Equal outcomes are put in falling order of prediction, so that such a pair is never right.
+    placed = rows.withColumn("__i", F.row_number().over(w.orderBy("__y", F.desc("__p"))) - 1)
+    counts = placed.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
+    ties = placed.groupBy(*by, "__y").agg(F.count(F.lit(1)).alias("__m")).groupBy(*by).agg(F.sum(F.col("__m") * (F.col("__m") - 1) / 2).alias("__tied"))
+    steps = placed.join(counts, list(by)).select(*by, "__p", "__i", F.explode(F.expr(f"filter(sequence(0, {levels - 1}), x -> shiftleft(1L, x) < __n)")).alias("__level"))
+    steps = steps.withColumn("__run", F.expr("shiftright(__i, __level + 1)")).withColumn("__later", F.expr("shiftright(__i, __level) & 1"))
+    before = Window.partitionBy(*by, "__level", "__run").orderBy("__p", F.desc("__later")).rowsBetween(Window.unboundedPreceding, -1)
+    good = steps.withColumn("__g", F.when(F.col("__later") == 1, F.coalesce(F.sum(1 - F.col("__later")).over(before), F.lit(0))))
+    right = good.groupBy(*by).agg(F.sum("__g").alias("__right"))
+    pairs, found = F.col("__n") * (F.col("__n") - 1) / 2 - F.col("__tied"), F.coalesce("__right", F.lit(0))
+    return counts.join(ties, list(by)).join(right, list(by), "left").select(*by, pairs.cast("long").alias("pairs"), found.alias("right"), F.when(pairs > 0, found / pairs).alias("accuracy"))
 
 
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str]) -> DataFrame:

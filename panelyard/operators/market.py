@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from math import lgamma
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelyard.functions.scalars import implied_probability
+from panelyard.functions.scalars import implied_probability, poisson_cdf
 
 QUOTE = ["event_id", "book", "market", "player"]
 
@@ -43,8 +47,6 @@ def consensus(lines: DataFrame) -> DataFrame:
 
 def expected_poisson(line: Column, p_over: Column, steps: int = 40) -> Column:
     """The Poisson mean at which P(X > line) is ``p_over``, by bisection in a higher-order function; null outside 0.05-0.95."""
-    from panelyard.functions.scalars import poisson_cdf
-
     k = F.floor(line).cast("int")
     start = F.struct(F.lit(0.0).alias("lo"), (line * 4 + 20).cast("double").alias("hi"))
     mid = lambda s: (s["lo"] + s["hi"]) / 2
@@ -55,21 +57,15 @@ def expected_poisson(line: Column, p_over: Column, steps: int = 40) -> Column:
 
 def expected_gamma(lines: DataFrame, line: str, p_over: str, shape: str, name: str = "expected") -> DataFrame:
     """The mean of a gamma count of known shape with P(X > line) = p, solved a column at a time in an Arrow UDF."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
 
-    @pandas_udf("double")
+    @F.pandas_udf("double")
     def solve(x: pd.Series, p: pd.Series, k: pd.Series) -> pd.Series:
-        import numpy as np
-
         x, p, k = (s.to_numpy(dtype=float) for s in (x, p, k))
         u, w = np.polynomial.legendre.leggauss(64)
 
         def upper(scale):  # P(X > x) by quadrature over the lower tail in v = t^k
             t = (u[None, :] + 1) / 2
             z = np.power(t, 1 / k[:, None]) * (x / scale)[:, None]
-            from math import lgamma
-
             norm = np.array([lgamma(a) for a in k])
             body = np.exp(-z) * w[None, :] / 2 / k[:, None]
             return 1 - body.sum(axis=1) * np.exp(k * np.log(np.maximum(x / scale, 1e-300)) - norm)
@@ -83,7 +79,7 @@ def expected_gamma(lines: DataFrame, line: str, p_over: str, shape: str, name: s
             lo, hi = np.where(over, lo, mid), np.where(over, mid, hi)
         return pd.Series(np.where(ok, (lo + hi) / 2 * k, np.nan)).astype("Float64").where(ok)
 
-    return lines.withColumn(name, F.nanvl(solve(line, p_over, shape), F.lit(None)))
+    return lines.withColumn(name, solve(line, p_over, shape))
 
 
 def unambiguous(entries: DataFrame, entity: str, name: str) -> tuple[DataFrame, DataFrame]:

@@ -10,11 +10,12 @@ from panelyard.functions.scalars import leverage, normal_cdf, normal_pdf, win_pr
 
 def matchups(starters: DataFrame, matchup: str, side: str, mean: str, spread: str) -> DataFrame:
     """One row a matchup: both sides' means and spreads and P(first side wins); null with a reason where a starter has no projection."""
-    s = starters.groupBy(matchup, side).agg(F.sum(mean).alias("m"), F.sqrt(F.sum(F.col(spread) * F.col(spread))).alias("s"), F.count_if(F.col(mean).isNull()).alias("missing"))
+    per = starters.groupBy(matchup, side).agg(F.sum(mean).alias("mean_a"), F.sqrt(F.sum(F.col(spread) * F.col(spread))).alias("sd_a"), F.count_if(F.col(mean).isNull()).alias("__missing"))
     w = Window.partitionBy(matchup).orderBy(side)
-    two = s.withColumn("mb", F.lead("m").over(w)).withColumn("sb", F.lead("s").over(w)).withColumn("gap", F.col("missing") + F.lead("missing").over(w)).withColumn("k", F.row_number().over(w)).where("k = 1 AND mb IS NOT NULL OR k = 1 AND gap IS NOT NULL")
-    ok = F.col("gap") == 0
-    return two.select(matchup, F.col("m").alias("mean_a"), F.col("s").alias("sd_a"), F.col("mb").alias("mean_b"), F.col("sb").alias("sd_b"), F.when(ok, win_probability(F.col("m"), F.col("s"), F.col("mb"), F.col("sb"))).alias("p_a"), F.when(ok, leverage(F.col("m"), F.col("s"), F.col("mb"), F.col("sb"))).alias("leverage"), F.when(~ok, F.concat(F.col("gap").cast("string"), F.lit(" starters without a projection"))).alias("reason"))
+    ahead = {c: F.lead(o).over(w) for c, o in (("mean_b", "mean_a"), ("sd_b", "sd_a"), ("__other", "__missing"))}
+    two = per.withColumns({**ahead, "__k": F.row_number().over(w)}).where("__k = 1 AND __other IS NOT NULL").withColumn("__gap", F.col("__missing") + F.col("__other"))
+    ok, sides = F.col("__gap") == 0, [F.col(c) for c in ("mean_a", "sd_a", "mean_b", "sd_b")]
+    return two.select(matchup, *sides, F.when(ok, win_probability(*sides)).alias("p_a"), F.when(ok, leverage(*sides)).alias("leverage"), F.when(~ok, F.concat(F.col("__gap").cast("string"), F.lit(" starters without a projection"))).alias("reason"))
 
 
 def poisson_binomial(probs: Column) -> Column:
