@@ -107,3 +107,52 @@ def collected(stream: DataFrame, path: str, checkpoint: str, mode: str = "append
     else:
         stream.writeStream.outputMode(mode).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
+
+
+def live_probability(points: DataFrame, lineups: DataFrame, path: str, checkpoint: str):
+    """Running points joined to static lineups: after every batch, P(first side wins) of each matchup, replaced as a whole.
+
+    ``points`` is an update-mode stream of (entity, points); ``lineups`` has
+    matchup, side, entity, proj, f, a, b, g. The latest points of each entity
+    are kept beside the output and merged with every batch.
+    """
+    from panelyard.operators.probability import live_win_probability
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        state, last = f"{path}/points/batch={number}", f"{path}/points/batch={number - 1}"
+        now = batch.groupBy("entity").agg(F.max("points").alias("points"))
+        if number:
+            old = spark.read.schema(now.schema).parquet(last)
+            now = old.join(now.select("entity"), "entity", "left_anti").unionByName(now)
+        now.write.mode("overwrite").parquet(state)
+        rows = lineups.join(spark.read.parquet(state), "entity", "left").withColumn("now", F.coalesce("points", F.lit(0.0))).withColumn("at", F.lit(number))
+        live_win_probability(rows, "matchup", "side", "at").write.mode("overwrite").parquet(f"{path}/probability/batch={number}")
+
+    return points.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stale_alerts(pulls: DataFrame, source: str, ts: str, limit_hours: float, late: str = "10 minutes") -> DataFrame:
+    """A STALE event for each source when event time passes its limit without a refresh, and FRESH when it comes back."""
+    wait = int(limit_hours * 3_600_000)
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        out = []
+        if held.hasTimedOut:
+            last, _ = held.get
+            out.append((k[0], pd.Timestamp(last) + pd.Timedelta(milliseconds=wait), "STALE"))
+            held.update((last, True))
+        else:
+            last, stale = held.get if held.exists else (None, False)
+            newest = pd.concat(batches)[ts].max()
+            if last is None or newest > pd.Timestamp(last):
+                if stale:
+                    out.append((k[0], newest, "FRESH"))
+                held.update((newest.to_pydatetime(), False))
+                at = int(newest.timestamp() * 1000) + wait
+                if at > held.getCurrentWatermarkMs():
+                    held.setTimeoutTimestamp(at)
+        yield pd.DataFrame(out, columns=[source, "at", "event"])
+
+    kind = dict(pulls.dtypes)[source]
+    return pulls.withWatermark(ts, late).select(source, ts).groupBy(source).applyInPandasWithState(step, f"{source} {kind}, at timestamp, event string", "last timestamp, stale boolean", "append", GroupStateTimeout.EventTimeTimeout)
