@@ -144,14 +144,19 @@ def stale_alerts(pulls: DataFrame, source: str, ts: str, limit_hours: float, lat
             held.update((last, True))
         else:
             last, stale = held.get if held.exists else (None, False)
-            newest = pd.concat(batches)[ts].max()
-            if last is None or newest > pd.Timestamp(last):
-                if stale:
-                    out.append((k[0], newest, "FRESH"))
-                held.update((newest.to_pydatetime(), False))
-                at = int(newest.timestamp() * 1000) + wait
-                if at > held.getCurrentWatermarkMs():
-                    held.setTimeoutTimestamp(at)
+            last, gap = last and pd.Timestamp(last), pd.Timedelta(milliseconds=wait)
+            for now in sorted(pd.concat(batches)[ts]):
+                if last is None or now > last:
+                    if last is not None and now > last + gap:
+                        out += [] if stale else [(k[0], last + gap, "STALE")]
+                        stale = True
+                    if stale:
+                        out.append((k[0], now, "FRESH"))
+                    last, stale = now, False
+            held.update((last.to_pydatetime(), stale))
+            due = int(last.timestamp() * 1000) + wait
+            if due > held.getCurrentWatermarkMs():
+                held.setTimeoutTimestamp(due)
         yield pd.DataFrame(out, columns=[source, "at", "event"])
 
     kind = dict(pulls.dtypes)[source]
