@@ -84,12 +84,9 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), total: float = 1.
 
 def take(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), total: float = 1.5, most: float = 2.0) -> DataFrame:
     """The rows of ``docs`` as the mix takes them: left out, once, or repeated; all columns as they were."""
-    sized = docs.withColumn("size", word_count()) if "size" not in docs.columns else docs.withColumn("__own_size", F.col("size")).withColumn("size", word_count())
-    goal = source_targets(sized.select("source", "size"), weights, total, most)
-    out = copies(sized, goal).where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    if "__own_size" in sized.columns:
-        out = out.drop("size").withColumnRenamed("__own_size", "size")
-    return out.select(*docs.columns)
+    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count().alias("size"), F.struct(*docs.columns).alias("__row"))
+    out = copies(sized, source_targets(sized.select("source", "size"), weights, total, most)).where("copies > 0")
+    return out.select("__row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("__row.*")
 
 
 #: ``mix`` in DuckDB, with the words taken.

@@ -15,7 +15,7 @@ def spark():
     return s
 
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, node string, part int, h long"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, node string, part int, h long, size string, target double, copies int, fingerprint string, tokens long"
 
 
 @pytest.fixture
@@ -34,7 +34,7 @@ def docs(spark):
         (None, "no id here at all", None, "c", 17, "z", 1, 1),
         (8, "12345 !!! ???", "en", "c", 13, "z", 1, 1),
     ]
-    return spark.createDataFrame(rows, DOCS)
+    return spark.createDataFrame([(*r, "s", 0.5, 3, "f", 9) for r in rows], DOCS)
 
 
 @pytest.fixture
