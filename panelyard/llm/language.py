@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelyard.llm.common import id_crc32, map_arrow, text_batches
@@ -24,56 +24,60 @@ def plain(text: str | None) -> str:
 SHORT = 1024
 
 
-def fit(labelled: DataFrame, rows: int = 512, chars: int = 1024, size: int = 32_768, shards: int = 6, spread: int = 16) -> dict[str, list[bytes]]:
+def fit(labelled: DataFrame, rows: int = 512, chars: int = 1024, size: int = 32_768, shards: int = 6) -> dict[str, list[bytes]]:
     """Up to ``shards`` raw-content dictionaries for each non-null ``lang`` of ``labelled`` (``doc_id``, ``text``, ``lang``).
 
     A bounded sample is enough for a dictionary: of each language the ``rows``
     rows with the smallest hashes, ``chars`` characters from a hashed place in
-    each, joined and cut into dictionaries of ``size`` bytes. The rows are picked in two steps,
-    first within ``spread`` salts, so that a large language is never one task's.
+    each, joined and cut into dictionaries of ``size`` bytes. Languages are
+    counted first, so each partition sends on only the rows below its language's
+    hash limit, about twice as many as are used: there is no shuffle by language.
     """
-    rare = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("lang", "text", F.xxhash64(F.col("doc_id").cast("string"), "text").alias("h"))
-    rare = rare.select("lang", "h", F.pmod("h", F.lit(spread)).alias("salt"), F.expr(f"substring(text, cast(pmod(h, greatest(length(text) - {chars}, 0) + 1) as int) + 1, {chars})").alias("part"))
-    near = rare.withColumn("rn", F.row_number().over(Window.partitionBy("lang", "salt").orderBy("h", "part"))).where(F.col("rn") <= rows).drop("rn")
-    best = near.withColumn("rn", F.row_number().over(Window.partitionBy("lang").orderBy("h", "part"))).where(F.col("rn") <= rows)
+    named = labelled.where("lang IS NOT NULL")
+    counts = {r["lang"]: r["n"] for r in named.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not counts:
+        return {}
+    rare = named.where("text IS NOT NULL").select("lang", "text", F.xxhash64(F.col("doc_id").cast("string"), "text").alias("h"))
+    limit = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(2**31, int(2 * rows / n * 2**31) + 1))) for lang, n in sorted(counts.items())])
+    best = rare.where(F.pmod("h", F.lit(2**31)) < limit).select("lang", F.pmod("h", F.lit(2**31)).alias("h"), F.expr(f"substring(text, cast(pmod(h, greatest(length(text) - {chars}, 0) + 1) as int) + 1, {chars})").alias("part"))
     parts: dict[str, list[tuple[int, str]]] = {}
-    for r in best.select("lang", "h", "part").collect():
+    for r in best.collect():
         parts.setdefault(r["lang"], []).append((r["h"], r["part"]))
     out = {}
     for lang, got in sorted(parts.items()):
-        whole = " ".join(plain(p) for _, p in sorted(got)).encode("utf-8", "surrogatepass") or b" "
+        whole = " ".join(plain(p) for _, p in sorted(got)[:rows]).encode("utf-8", "surrogatepass") or b" "
         cuts = [whole[at : at + size] for at in range(0, len(whole), size)][:shards]
         out[lang] = cuts[:-1] if len(cuts) > 1 and len(cuts[-1]) < size else cuts
     return out
 
 
-def classifier(dictionaries: dict[str, list[bytes]], level: int = 6):
+def classifier(dictionaries: dict[str, list[bytes]], level: int = 6, short_level: int = 12):
     """A function from a text to (language, score, margin); ("und", 0, 0) without a letter or a language.
 
     Every block of the text is compressed with each language's dictionary (a
-    short text with as many as all languages have, so that whole bytes tell
-    enough); the language with the smallest total wins, on a tie the first by
+    short text with as many as all languages have, and at a higher level, so
+    that whole bytes tell enough); the language with the smallest total wins, on a tie the first by
     name. The margin is the bytes that the next language needs above it, as a
     share; the score is that margin over the margin plus 0.02.
     """
     import zstandard
 
-    def compressor(content):
+    def compressor(content, at):
         held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        held.precompute_compress(level=level)
-        return zstandard.ZstdCompressor(level=level, dict_data=held, write_content_size=False, write_dict_id=False).compress
+        held.precompute_compress(level=at)
+        return zstandard.ZstdCompressor(level=at, dict_data=held, write_content_size=False, write_dict_id=False).compress
 
     even = min((len(c) for c in dictionaries.values()), default=0)
-    ready = [(lang, [compressor(c) for c in contents[:even]]) for lang, contents in sorted(dictionaries.items())]
+    ready = [(lang, compressor(contents[0], level), [compressor(c, short_level) for c in contents[:even]]) for lang, contents in sorted(dictionaries.items())]
 
     def classify(text):
         data = plain(text).encode("utf-8", "surrogatepass")
         if not data or not ready:
             return "und", 0.0, 0.0
         if len(data) < SHORT:
-            sizes = sorted((sum(len(c(data)) for c in cs), lang) for lang, cs in ready)
+            sizes = sorted((sum(len(c(data)) for c in each), lang) for lang, _, each in ready)
         else:
-            sizes = sorted((sum(len(cs[0](data[at : at + BLOCK])) for at in range(0, len(data), BLOCK)), lang) for lang, cs in ready)
+            sizes = sorted((sum(len(first(data[at : at + BLOCK])) for at in range(0, len(data), BLOCK)), lang) for lang, first, _ in ready)
         if len(sizes) == 1:
             return sizes[0][1], 1.0, 1.0
         margin = (sizes[1][0] - sizes[0][0]) / sizes[1][0]
