@@ -156,7 +156,8 @@ def pack(docs: DataFrame, weights: dict[str | None, float] | None = None, length
             spare.append((at, 1 << bit))
             at += 1 << bit
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).select(F.col("source").alias("s"), F.col("part").alias("p"), "base")
+    # A row for each source and part, written so that its size is known: the join goes by it.
+    base = cut(sums.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).select(F.col("source").alias("s"), F.col("part").alias("p"), "base"), "packing-bases")
     placed = tokens.join(base, F.col("source").eqNullSafe(F.col("s")) & (F.col("part") == F.col("p"))).select("doc_id", "source", (F.col("start") + F.col("base")).alias("start"), "tokens", "ids")
 
     def run(batches):
