@@ -238,14 +238,19 @@ def disguised(leaf, labels, rng: np.random.Generator, texts: list[str]):
 
 
 def fit(pages: DataFrame, rows: int = 384, rounds: int = 180, batch: int = 24, most_blocks: int = 60, seed: int = 11) -> BiLSTM:
-    """Trains the labeller on a bounded sample of ``rows`` pages, those with the smallest hashes.
+    """Trains the labeller on a bounded sample of ``rows`` pages, those whose ids have the smallest hashes.
+
+    Pages are counted first, so that each partition sends only rows below the
+    hash limit, about twice as many as are used in all.
 
     There are no labels, so blocks are labelled by the tags, classes and ids
     around them; half of the training pages are disguised ones, whose blocks of
     known kind stand in other containers. Of a sampled page that has more blocks,
     training reads a window of ``most_blocks``; labelling reads all.
     """
-    picked = pages.where("html IS NOT NULL").select("html", F.xxhash64("html").alias("h")).orderBy("h", "html").limit(rows).collect()
+    limit = min(2**31, int(2 * rows / max(1, pages.count()) * 2**31) + 1)
+    near = pages.where("html IS NOT NULL").select("html", F.pmod(F.xxhash64("page_id", "url"), F.lit(2**31)).alias("h")).where(F.col("h") < limit)
+    picked = near.orderBy("h", "html").limit(rows).collect()
     leaves = [b for r in picked if (b := blocks(r["html"]))]
     net = BiLSTM(PATH_DIM + WORD_DIM + NUMBERS)
     if not leaves:
