@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelyard.llm.common import connected_components, cut, map_arrow
@@ -108,15 +108,29 @@ def near_duplicates(docs: DataFrame, text: str = "text", shingle: int = 3, radiu
 
 
 def keep_one(docs: DataFrame, text: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
-    """The rows of ``docs`` that stand for their group: those with the smallest id, one of each group.
+    """One row of each group of ``docs``: that with the smallest id, among rows that repeat it the one whose row hash is least.
 
-    A row with a null ``doc_id`` stands only if its group has no other id; of
-    rows that repeat that smallest id one stays, the one whose row hash is least.
+    Groups are held by their texts, never by their ids, so rows with null or
+    repeated ids and different texts stay apart. A row with a null ``doc_id``
+    stands only if its group has no other id.
     """
-    def key(column):
-        return F.struct(column.isNull().alias("missing"), column.alias("id"))
+    node = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    prints = cut(fingerprints(docs.select(node.alias("doc_id"), text), text, shingle).distinct(), "simhash")
+    comps = connected_components(fingerprint_links(prints.select("fingerprint").distinct(), radius), "simhash-components")
+    roots = prints.join(comps, prints.fingerprint == comps.node, "left").select(F.col("doc_id").alias("node"), F.coalesce("component", "fingerprint").alias("component"))
+    return one_of_each(docs, node, roots)
 
-    groups = near_duplicates(docs, text, shingle, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key(F.col("doc_id")).alias("__k")).distinct()
-    kept = docs.withColumn("__k", key(F.col("doc_id"))).join(groups, "__k", "left_semi")
-    row = F.struct(F.xxhash64(*[F.col(c) for c in docs.columns]).alias("__h"), *[F.col(c) for c in docs.columns])
-    return kept.groupBy("__k").agg(F.min(row).alias("__row")).select(*[F.col(f"__row.{c}").alias(c) for c in docs.columns])
+
+def one_of_each(docs: DataFrame, node: Column, roots: DataFrame) -> DataFrame:
+    """The least row of each component by (id, nulls last; row hash).
+
+    ``roots`` has (node, component); a node it does not name is its own
+    component. The least is found on ids and hashes alone, so a large group is
+    pre-aggregated before it moves, and whole rows are joined to it afterwards.
+    """
+    keys = ["__n", "__missing", "__id", "__h"]
+    rows = docs.withColumns({"__n": node, "__missing": F.col("doc_id").isNull(), "__id": F.coalesce(F.xxhash64("doc_id"), F.lit(0)), "__h": F.xxhash64(*docs.columns)})
+    labelled = rows.select(*keys, "doc_id").join(roots.select(F.col("node").alias("__n"), "component"), "__n", "left").withColumn("__root", F.coalesce("component", "__n")).withColumn("__alone", F.col("component").isNull())
+    least = labelled.groupBy("__alone", "__root").agg(F.min(F.struct("__missing", "doc_id", "__h", "__n", "__id")).alias("m")).select(*[F.col(f"m.{k}").alias(k) for k in keys])
+    row = F.struct(*docs.columns)
+    return rows.join(least, keys, "left_semi").groupBy(*keys).agg(F.first(row).alias("__row")).select(*[F.col(f"__row.{c}").alias(c) for c in docs.columns])

@@ -72,6 +72,12 @@ def test_keep_one_keeps_the_smallest_id_of_each_group(spark, docs):
     assert sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 1, 3, 6, 7, 8]
 
 
+def test_keep_one_keeps_different_texts_with_null_or_repeated_ids(spark):
+    rows = [(None, "one text without any id"), (None, "a second one that has no id either"), (None, "copied from a row with an id"), (4, "copied from a row with an id"), (5, "the first of two with one id"), (5, "something else under that same number"), (6, "the first of two with one id")]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or -1, r["text"]) for r in kept) == sorted((i or -1, t) for i, t in [rows[0], rows[1], rows[3], rows[4], rows[5]])
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.range(1, 60).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
     assert {r["component"] for r in connected_components(edges).collect()} == {1}
