@@ -1,4 +1,4 @@
-"""SimHash near-duplicates by covering locality-sensitive hashing."""
+"""Near-duplicates: SimHash by covering locality-sensitive hashing, and one of each group of similar texts."""
 
 from __future__ import annotations
 
@@ -107,18 +107,126 @@ def near_duplicates(docs: DataFrame, text: str = "text", shingle: int = 3, radiu
     return prints.join(lookup, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def keep_one(docs: DataFrame, text: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
+def sketches(docs: DataFrame, text: str = "text", shingle: int = 5, rows: int = 6, bands: int = 24) -> DataFrame:
+    """``node`` (hash of the text), ``n`` (its distinct shingles) and ``keys``, a long for each band of ``rows`` least hashes.
+
+    Two texts of Jaccard similarity j share a key with probability
+    1 - (1 - j^rows)^bands: 0.999 at 0.8 with the defaults, and more above. The
+    64 bits of a SimHash cannot do that: at 0.8 about ten of them differ, and
+    bands that still agree hold too few bits to part unrelated texts.
+    """
+
+    def start():
+        import numpy as np
+        import xxhash
+
+        of = hashed_shingles(shingle)
+        rng = np.random.default_rng(7)
+        a, b = rng.integers(0, 2**63, rows * bands, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**63, rows * bands, dtype=np.uint64)
+
+        def keys(h):
+            least = np.full(rows * bands, 2**64 - 1, dtype=np.uint64)
+            for at in range(0, len(h), 2048):
+                least = np.minimum(least, (h[at : at + 2048, None] * a + b).min(axis=0))
+            return [xxhash.xxh64_intdigest(band.tobytes(), k) for k, band in enumerate(least.reshape(bands, rows))]
+
+        def step(batch):
+            sets = [of(t) for t in batch.column(1).to_pylist()]
+            return [batch.column(0), [len(h) for h in sets], [np.array(keys(h), dtype=np.uint64).view(np.int64).tolist() for h in sets]]
+
+        return step
+
+    return map_arrow(docs.select(text_node(text).alias("node"), text), start, "node long, n long, keys array<long>")
+
+
+def text_node(text: str) -> Column:
+    """The hash by which equal texts are one node; a null text is an empty one."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
+def hashed_shingles(shingle: int):
+    """A function from a text to the sorted distinct 64-bit hashes of its shingles, with words as in ``fingerprints``."""
+    import numpy as np
+    import xxhash
+
+    def of(value):
+        words = (value or "").encode("utf-8", "surrogatepass").lower().split()
+        if len(words) < shingle:
+            hashes = [xxhash.xxh64_intdigest(b" ".join(words), 42)] if words else []
+        else:
+            hashes = [xxhash.xxh64_intdigest(b" ".join(s), 42) for s in zip(*(words[k:] for k in range(shingle)), strict=False)]
+        return np.unique(np.array(hashes, dtype=np.uint64))
+
+    return of
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The (src, dst) of ``pairs`` whose shingle sets have a Jaccard similarity of at least ``similarity``."""
+
+    def start():
+        import numpy as np
+
+        def step(batch):
+            out = [], []
+            for src, dst, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                x, y = np.frombuffer(x, dtype="<u8"), np.frombuffer(y, dtype="<u8")
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if both >= similarity * (len(x) + len(y) - both) - 1e-9:
+                    out[0].append(src)
+                    out[1].append(dst)
+            return list(out)
+
+        return step
+
+    a, b = sets.select(F.col("node").alias("src"), F.col("hashes").alias("x")), sets.select(F.col("node").alias("dst"), F.col("hashes").alias("y"))
+    return map_arrow(pairs.join(a, "src").join(b, "dst").select("src", "dst", "x", "y"), start, "src long, dst long")
+
+
+def similar_links(docs: DataFrame, text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Components (node, component) of the texts under exact Jaccard similarity of at least ``similarity``.
+
+    Candidates share a band key. First every text of a bucket is compared with
+    the bucket's least, which joins large groups in linear work; then all pairs
+    of a bucket whose two texts are still in different components. A pair is left
+    out only if it is in one component already, was compared, or its sizes alone
+    rule the similarity out.
+    """
+    placed = cut(sketches(docs, text, shingle).distinct().select("node", "n", F.explode("keys").alias("key")), "near-sketches")
+    buckets = placed.groupBy("key").agg(F.min("node").alias("rep"), F.max("node").alias("last")).where("rep < last").select("key", "rep")
+    shared = cut(placed.join(buckets, "key"), "near-buckets")
+    nodes = shared.select("node").distinct()
+
+    def start():
+        of = hashed_shingles(shingle)
+        return lambda batch: [batch.column(0), [of(t).tobytes() for t in batch.column(1).to_pylist()]]
+
+    texts = docs.select(text_node(text).alias("node"), text).join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    sets = cut(map_arrow(texts, start, "node long, hashes binary"), "near-sets")
+    stars = cut(shared.where("node <> rep").select(F.col("node").alias("src"), F.col("rep").alias("dst")).distinct(), "near-stars")
+    first = cut(similar_pairs(stars, sets, similarity), "near-links")
+    joined = connected_components(first, "near-components")
+    held = cut(shared.join(joined, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("comp")), "near-held")
+    mixed = held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    left = cut(held.join(mixed, "key"), "near-mixed")
+    comps = left.select("key", "comp").distinct()
+    two = comps.join(comps.select("key", F.col("comp").alias("other")), "key").where("comp < other")
+    a, b = left.select("key", "comp", F.col("node").alias("p"), F.col("n").alias("pn")), left.select("key", F.col("comp").alias("other"), F.col("node").alias("q"), F.col("n").alias("qn"))
+    pairs = two.join(a, ["key", "comp"]).join(b, ["key", "other"]).where(F.least("pn", "qn") >= similarity * F.greatest("pn", "qn") - 1e-9)
+    fresh = pairs.select(F.greatest("p", "q").alias("src"), F.least("p", "q").alias("dst")).distinct().join(stars, ["src", "dst"], "left_anti")
+    second = similar_pairs(cut(fresh, "near-pairs"), sets, similarity)
+    return connected_components(first.union(second), "near-components")
+
+
+def keep_one(docs: DataFrame, text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row of each group of ``docs``: that with the smallest id, among rows that repeat it the one whose row hash is least.
 
-    Groups are held by their texts, never by their ids, so rows with null or
-    repeated ids and different texts stay apart. A row with a null ``doc_id``
-    stands only if its group has no other id.
+    A group is what links of exact Jaccard similarity of at least ``similarity``
+    over shingles of ``shingle`` words join. Groups are held by their texts,
+    never by their ids, so rows with null or repeated ids and different texts
+    stay apart. A row with a null ``doc_id`` stands only if its group has no
+    other id.
     """
-    node = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    prints = cut(fingerprints(docs.select(node.alias("doc_id"), text), text, shingle).distinct(), "simhash")
-    comps = connected_components(fingerprint_links(prints.select("fingerprint").distinct(), radius), "simhash-components")
-    roots = prints.join(comps, prints.fingerprint == comps.node, "left").select(F.col("doc_id").alias("node"), F.coalesce("component", "fingerprint").alias("component"))
-    return one_of_each(docs, node, roots)
+    return one_of_each(docs, text_node(text), similar_links(docs, text, shingle, similarity))
 
 
 def one_of_each(docs: DataFrame, node: Column, roots: DataFrame) -> DataFrame:

@@ -78,6 +78,21 @@ def test_keep_one_keeps_different_texts_with_null_or_repeated_ids(spark):
     assert sorted((r["doc_id"] or -1, r["text"]) for r in kept) == sorted((i or -1, t) for i, t in [rows[0], rows[1], rows[3], rows[4], rows[5]])
 
 
+def test_keep_one_drops_every_copy_of_five_word_similarity(spark):
+    rng, texts = random.Random(3), []
+    for _ in range(12):
+        base = [f"w{rng.randrange(500)}" for _ in range(150)]
+        for edits in (0, 0, 1, 2, 3, 4, 6):
+            words = list(base)
+            for _ in range(edits):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(words))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    want = brute_components(range(len(texts)), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    kept = simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in kept} == set(want.values())
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.range(1, 60).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
     assert {r["component"] for r in connected_components(edges).collect()} == {1}
