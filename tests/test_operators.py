@@ -333,3 +333,13 @@ def test_quality(spark):
     assert rows(quality.repeated_keys(spark.createDataFrame([(1,), (1,), (2,)], "k int"), ["k"])) == [(1, 2)]
     f = quality.filed(spark.createDataFrame([(1, "A"), (1, "B")], "w int, g string"), spark.createDataFrame([(1, "A")], "w int, g string"), ["w"], "g")
     assert rows(f) == [(1, "A", True), (1, "B", False)]
+
+
+def test_season_wins_count_every_month_of_an_entity(spark):
+    from types import SimpleNamespace
+
+    from panelyard.plans import model_queries
+
+    facts = spark.createDataFrame([(1, 0)] * 40 + [(1, 50)] * 3, "entity long, qty long")
+    got = model_queries.p2(SimpleNamespace(facts=facts)).first()
+    assert got["cells"] == 44 and abs(got["three_or_more"] - 0.125) < 1e-9
