@@ -61,6 +61,29 @@ def pairwise(df: DataFrame, system: str, actual: str, by: Sequence[str], levels:
     return counts.join(ties, list(by)).join(right, list(by), "left").select(*by, pairs.cast("long").alias("pairs"), found.alias("right"), F.when(pairs > 0, found / pairs).alias("accuracy"))
 
 
+def pairs_over(df: DataFrame, systems: Sequence[str], actual: str, by: Sequence[str], gap: float = 0.0, levels: int = 24) -> DataFrame:
+    """For each group and system: pairs whose outcomes differ by more than ``gap``, and how many the system puts in their order.
+
+    No pair is formed. Each row stands twice, as itself and as a question at
+    ``actual - gap``; a question counts the rows before it by outcome with a
+    smaller prediction, by merging runs as in ``pairwise``. Groups may have up
+    to 2^(levels-1) rows.
+    """
+    long = common_rows(df, systems, actual).select(*by, F.col(actual).alias("__y"), F.inline(F.array(*[F.struct(F.lit(s).alias("system"), F.col(s).cast("double").alias("__p")) for s in systems])))
+    keys = [*by, "system"]
+    both = long.select(*keys, "__p", F.inline(F.array(F.struct(F.col("__y").alias("__at"), F.lit(0).alias("__asks")), F.struct((F.col("__y") - gap).alias("__at"), F.lit(1).alias("__asks")))))
+    place = Window.partitionBy(*keys).orderBy("__at", F.desc("__asks"))  # a question before the rows at its place
+    placed = both.withColumn("__i", F.row_number().over(place) - 1).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    placed = placed.withColumn("__below", F.sum(1 - F.col("__asks")).over(place.rowsBetween(Window.unboundedPreceding, -1)))
+    steps = placed.select(*keys, "__p", "__asks", "__below", "__i", F.explode(F.expr(f"filter(sequence(0, {levels - 1}), x -> shiftleft(1L, x) < __n)")).alias("__level"))
+    steps = steps.withColumn("__run", F.expr("shiftright(__i, __level + 1)")).withColumn("__later", F.expr("shiftright(__i, __level) & 1"))
+    before = Window.partitionBy(*keys, "__level", "__run").orderBy("__p", F.desc("__asks")).rowsBetween(Window.unboundedPreceding, -1)
+    found = F.sum((1 - F.col("__later")) * (1 - F.col("__asks"))).over(before)
+    good = steps.withColumn("__g", F.when((F.col("__later") == 1) & (F.col("__asks") == 1), F.coalesce(found, F.lit(0))))
+    pairs = F.sum(F.when((F.col("__level") == 0) & (F.col("__asks") == 1), F.coalesce("__below", F.lit(0))))
+    return good.groupBy(*keys).agg(F.coalesce(pairs, F.lit(0)).cast("long").alias("pairs"), F.coalesce(F.sum("__g"), F.lit(0)).cast("long").alias("right"))
+
+
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str]) -> DataFrame:
     """Rank correlation with average ranks, by group."""
     both = df.dropna(subset=[x, y])

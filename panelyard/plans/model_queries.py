@@ -498,6 +498,13 @@ def e2(t: Tables):
     return E.pairwise_exact(p, ["sys_mean", "sys_eb"], "actual", ["cat", "t"], "entity")
 
 
+@query("e2_pairwise_all_seasons")  # pairs in SQL are too slow over the whole table
+def e2_all(t: Tables):
+    p = E.pairs_over(projections(t), ["sys_mean", "sys_eb"], "actual", ["cat", "t"])
+    share = lambda s: (F.sum(F.when(F.col("system") == s, F.col("right"))) / F.sum(F.when(F.col("system") == s, F.col("pairs")))).alias(s)
+    return p.agg(F.sum(F.when(F.col("system") == "sys_mean", F.col("pairs"))).alias("pairs"), share("sys_mean"), share("sys_eb"))
+
+
 @query("e2_pairwise_at_scale", PROJ + """, c AS (SELECT * FROM pj WHERE sys_mean IS NOT NULL), k AS (SELECT cat, season, count(*) AS n FROM c GROUP BY ALL), p AS (SELECT a.cat, a.season, count(*) FILTER (a.actual <> b.actual) AS pairs, count(*) FILTER (a.actual <> b.actual AND sign(a.sys_mean - b.sys_mean) = sign(a.actual - b.actual)) AS good FROM c a JOIN c b ON a.cat = b.cat AND a.season = b.season AND (a.entity, a.t) < (b.entity, b.t) GROUP BY ALL)
 SELECT k.cat, k.season, coalesce(pairs, 0)::BIGINT AS pairs, coalesce(good, 0)::BIGINT AS "right" FROM k LEFT JOIN p USING (cat, season)""")
 def e2b(t: Tables):

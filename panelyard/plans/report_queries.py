@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelyard.operators import context as X
 from panelyard.operators import estimators as M
+from panelyard.operators import evaluation as E
 from panelyard.operators import fitting as Z
 from panelyard.operators import panels as P
 from panelyard.operators import plays as Y
@@ -230,6 +231,19 @@ def e3(t: Tables):
     return R.pairs_by(p, "sys_mean", "sys_eb", "actual", ["cat", "t"], "entity", F.abs(F.col("x.actual") - F.col("y.actual")) > 200).select("attribute", "pairs", "sys_mean", "sys_eb")
 
 
+@query("e3_pairs_all_seasons")  # pairs in SQL are too slow over the whole table
+def e3_all(t: Tables):
+    return pairs_by_gap(projections(t), ["sys_mean", "sys_eb"], 200)
+
+
+def pairs_by_gap(rows, systems, gap):
+    """Pairs over the gap and those up to it (all pairs less those over), with each system's share of right ones."""
+    of = lambda g, sign, over: E.pairs_over(rows, systems, "actual", ["cat", "t"], g).select(F.lit(over).alias("attribute"), "system", (sign * F.col("pairs")).alias("pairs"), (sign * F.col("right")).alias("right"))
+    p = of(gap, 1, True).union(of(0, 1, False)).union(of(gap, -1, False))
+    sums = [F.sum(F.when(F.col("system") == s, F.col(c))).alias(f"{c}_{s}") for s in systems for c in ("pairs", "right")]
+    return p.groupBy("attribute").agg(*sums).where(F.col(f"pairs_{systems[0]}") > 0).select("attribute", F.col(f"pairs_{systems[0]}").alias("pairs"), *[(F.col(f"right_{s}") / F.col(f"pairs_{s}")).alias(s) for s in systems])
+
+
 @query("e5_walk_forward", "WITH p AS (SELECT t, pts, (sum(pts) OVER w)::DOUBLE / count(*) OVER w AS p FROM facts WINDOW w AS (PARTITION BY entity ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT t, count(*) AS n, round(sum(abs(p - pts)) / count(*), 6) AS mae, round(sum(p - pts) / count(*), 6) AS bias FROM p WHERE p IS NOT NULL GROUP BY t")
 def e5(t: Tables):
     return R.walk_forward(t.facts, "entity", "t", "pts").select("t", "n", F.round("mae", 6).alias("mae"), F.round("bias", 6).alias("bias"))

@@ -343,3 +343,15 @@ def test_season_wins_count_every_month_of_an_entity(spark):
     facts = spark.createDataFrame([(1, 0)] * 40 + [(1, 50)] * 3, "entity long, qty long")
     got = model_queries.p2(SimpleNamespace(facts=facts)).first()
     assert got["cells"] == 44 and abs(got["three_or_more"] - 0.125) < 1e-9
+
+
+def test_pairs_over_a_gap_equal_brute_force_in_every_season(spark):
+    from panelyard.plans import report_queries
+
+    rng = np.random.default_rng(4)
+    data = [(e, "c", int(t), float(rng.integers(0, 12) * 50), float(rng.integers(0, 8)), float(rng.integers(0, 30))) for t in (1, 2, 3) for e in range(23)]
+    df = spark.createDataFrame(data, "entity long, cat string, t int, actual double, sys_mean double, sys_eb double")
+    got = {r["attribute"]: (r["pairs"], r["sys_mean"], r["sys_eb"]) for r in report_queries.pairs_by_gap(df, ["sys_mean", "sys_eb"], 200).collect()}
+    for over in (True, False):
+        pairs = [(a, b) for a in data for b in data if a[2] == b[2] and a[3] < b[3] and (b[3] - a[3] > 200) == over]
+        assert got[over] == (len(pairs), *[pytest.approx(sum(a[k] < b[k] for a, b in pairs) / len(pairs)) for k in (4, 5)])
