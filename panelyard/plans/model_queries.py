@@ -463,15 +463,18 @@ def p7(t: Tables):
 
 @query("p9_convolved_sides")
 def p9(t: Tables):
-    f = t.facts.where("season = 1996").select(F.floor(F.col("grp") / 2).alias("matchup"), (F.col("grp") % 2).alias("side"), F.array((F.col("lines") % 3) / 4.0, F.lit(0.5), 0.5 - (F.col("lines") % 3) / 4.0).alias("pmf"), "period", "entity")
-    few = P.top_k(f, ["matchup", "side"], [F.col("period"), F.col("entity")], 10)  # a lineup's ten places
-    return R.beats(R.convolved(few, "matchup", "side", "pmf"), "matchup", "side").withColumn("p_a", F.round("p_a", 9))
+    """The starters of each group and season against those of its neighbour."""
+    work = t.facts.groupBy("season", "entity").agg(F.sum("lines").alias("lines"))
+    starters = lineups(t).where("slot IS NOT NULL").join(work, ["season", "entity"])
+    third = (F.col("lines") % 3) / 4.0
+    f = starters.select((F.col("season") * 100 + F.floor(F.col("grp") / 2)).cast("long").alias("matchup"), (F.col("grp") % 2).alias("side"), F.array(third, F.lit(0.5), 0.5 - third).alias("pmf"))
+    return R.beats(R.convolved(f, "matchup", "side", "pmf"), "matchup", "side").withColumn("p_a", F.round("p_a", 9))
 
 
 @query("p10_random_deals")
 def p10(t: Tables):
     s = t.facts.groupBy("cat", "entity").agg(F.sum("pts").alias("pts"))
-    ranked = s.withColumn("rank", F.row_number().over(Window.partitionBy("cat").orderBy(F.desc("pts"), "entity"))).where("rank <= 48")  # the ranks that are dealt
+    ranked = s.withColumn("rank", F.row_number().over(Window.partitionBy("cat").orderBy(F.desc("pts"), "entity")))
     return R.dealt(ranked, 20, 7, "cat", "rank", 12).groupBy("rep", "dealt_to").agg(F.sum("pts").alias("pts"))
 
 
@@ -599,6 +602,22 @@ def lineup(t: Tables):
     return L.best_lineup(s, ["grp"], "cat", "pts", "entity", SLOTS, FLEX, 2)
 
 
+def lineups(t: Tables):
+    """The lineup of each group in each season."""
+    s = t.facts.groupBy("grp", "season", "cat", "entity").agg(F.sum("pts").alias("pts"), F.count(F.lit(1)).cast("double").alias("sd"))
+    return L.best_lineup(s, ["grp", "season"], "cat", "pts", "entity", SLOTS, FLEX, 2)
+
+
+@query("l1_lineup_by_season")
+def l1_seasons(t: Tables):
+    return lineups(t)
+
+
+@query("l3_swaps_by_season")
+def l3_seasons(t: Tables):
+    return L.swaps(lineups(t), ["grp", "season"], "cat", "pts", "sd", "entity", FLEX).withColumn("z", F.round("z", 7))
+
+
 @query("l1_best_lineup", LINEUP + "SELECT grp, cat, entity, pts, sd, slot FROM lu")
 def l1(t: Tables):
     return lineup(t)

@@ -180,6 +180,12 @@ def g6(t: Tables):
     return P.proven_off_periods(t.facts.where("season = 1996"), "entity", "period", 4, 12).withColumn("off_periods", F.array_join("off_periods", ","))
 
 
+@query("g6_proof_by_season")
+def g6_seasons(t: Tables):
+    f = t.facts.withColumn("key", F.struct("entity", "season"))
+    return P.proven_off_periods(f, "key", "period", 4, 12).select("key.*", "proven", F.array_join("off_periods", ",").alias("off_periods"))
+
+
 @query("g7_first_by_minimum", "SELECT l_orderkey, min(l_quantity) AS least, min_by(l_returnflag, l_linenumber) AS first_flag FROM lineitem WHERE (l_orderkey, l_linenumber) IN (SELECT (l_orderkey, l_linenumber) FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) = 1) GROUP BY l_orderkey")
 def g7(t: Tables):
     rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
@@ -309,6 +315,18 @@ def w9(t: Tables):
     return s.select("entity", P.qualified_rank(["cat"], "pts", "games", 3).alias("rnk"))
 
 
+@query("w8_role_by_season")
+def w8_seasons(t: Tables):
+    s = t.facts.groupBy("season", "entity", "grp", "cat").agg(F.sum("lines").alias("n"))
+    return s.select("season", "entity", P.role_label(["season", "grp", "cat"], "n", "entity", "cat").alias("role"))
+
+
+@query("w9_rank_by_season")
+def w9_seasons(t: Tables):
+    s = t.facts.groupBy("season", "entity", "cat").agg(F.sum("pts").alias("pts"), F.count(F.lit(1)).alias("games"))
+    return s.select("season", "entity", P.qualified_rank(["season", "cat"], "pts", "games", 3).alias("rnk"))
+
+
 @query("w10_islands", """
 WITH r AS (SELECT DISTINCT entity, t FROM facts), k AS (SELECT *, t - row_number() OVER (PARTITION BY entity ORDER BY t) AS run FROM r) SELECT entity, min(t) AS first_period, max(t) AS last_period, count(*) AS length FROM k GROUP BY entity, run""")
 def w10(t: Tables):
@@ -435,6 +453,12 @@ def u4(t: Tables):
     return t.facts.where("season = 1995").select("entity").intersect(t.facts.where("season = 1996").select("entity"))
 
 
+@query("u5_missing_by_season")
+def u5_seasons(t: Tables):
+    s = t.facts.groupBy("season", "entity").agg(F.collect_set("period").alias("seen"), F.min("period").alias("lo"), F.max("period").alias("hi"))
+    return s.select("season", "entity", F.array_join(F.array_sort(F.array_except(F.sequence("lo", "hi"), "seen")), ",").alias("missing"))
+
+
 @query("u5_missing_periods", """
 WITH s AS (SELECT entity, list(DISTINCT period) AS seen, min(period) AS lo, max(period) AS hi FROM facts WHERE season = 1996 GROUP BY entity) SELECT entity, array_to_string(list_sort(list_filter(range(lo, hi + 1), lambda x: NOT list_contains(seen, x))), ',') AS missing FROM s""")
 def u5(t: Tables):

@@ -12,7 +12,7 @@ from panelyard.operators import fitting as Z
 from panelyard.operators import panels as P
 from panelyard.operators import plays as Y
 from panelyard.operators import reports as R
-from panelyard.plans.model_queries import LINEUP, PROJ, lineup, projections
+from panelyard.plans.model_queries import LINEUP, PROJ, lineup, lineups, projections
 from panelyard.plans.registry import Tables, query
 
 
@@ -302,6 +302,11 @@ def l26(t: Tables):
     return R.side_totals(s, ["grp", "t"]).select("grp", "t", "points", "n_final", "n_unknown")
 
 
+@query("l29_weakest_by_season")
+def l29_seasons(t: Tables):
+    return R.weakest_starters(lineups(t), ["grp", "season"], ["BUILDING", "MACHINERY", "FLEX", "NONE"], "pts", "entity").select("grp", "season", "slot", "weakest")
+
+
 @query("l29_weakest_starters", LINEUP + ", g AS (SELECT DISTINCT grp, s AS slot FROM lu, (VALUES ('BUILDING'), ('MACHINERY'), ('FLEX'), ('NONE')) v(s)), w AS (SELECT grp, slot, min(pts) AS weakest FROM lu WHERE slot IS NOT NULL GROUP BY ALL) SELECT grp, slot, coalesce(weakest, 0)::BIGINT AS weakest FROM g LEFT JOIN w USING (grp, slot)")
 def l29(t: Tables):
     return R.weakest_starters(lineup(t), ["grp"], ["BUILDING", "MACHINERY", "FLEX", "NONE"], "pts", "entity").select("grp", "slot", "weakest")

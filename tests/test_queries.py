@@ -39,3 +39,25 @@ def test_query_equals_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_query_runs(spark, name):
     assert catalog.queries()[name](spark, SF).count() >= 0
+
+
+SEASONS = {"l1_lineup_by_season": "l1_best_lineup", "l3_swaps_by_season": "l3_swaps", "l29_weakest_by_season": "l29_weakest_starters", "g6_proof_by_season": "g6_proof_by_count", "u5_missing_by_season": "u5_missing_periods", "w8_role_by_season": "w8_role_labels", "w9_rank_by_season": "w9_rank_among_qualified"}
+
+
+@pytest.mark.parametrize("name", sorted(SEASONS))
+def test_every_season_has_rows_and_one_equals_its_query(spark, name):
+    got = catalog.queries()[name](spark, SF).cache()
+    want = catalog.queries()[SEASONS[name]](spark, SF)
+    one = got.where("season = 1996").select(*want.columns)
+    assert plain([tuple(r) for r in one.collect()], want.columns) == plain([tuple(r) for r in want.collect()], want.columns)
+    assert got.select("season").distinct().count() == 7
+    got.unpersist()
+
+
+def test_sides_of_every_season_and_deals_of_every_rank(spark):
+    from panelyard.plans.registry import Tables
+
+    sides = catalog.queries()["p9_convolved_sides"](spark, SF).collect()
+    assert len({r["matchup"] // 100 for r in sides}) == 7
+    dealt = catalog.queries()["p10_random_deals"](spark, SF).groupBy("rep").sum("pts").collect()
+    assert {r[1] for r in dealt} == {Tables(spark, SF).facts.groupBy().sum("pts").first()[0]}
