@@ -32,10 +32,14 @@ def sessions(rows: DataFrame, ts: str, by: Sequence[str], gap: str, late: str =
 
 
 def open_close(quotes: DataFrame, kickoffs: DataFrame, key: str, by: Sequence[str], ts: str, value: str, late: str = "10 minutes") -> DataFrame:
-    """First and last quote at or before kickoff per prop, later ones counted; kickoffs are a static side."""
+    """First and last quote at or before kickoff per prop and kickoff, whatever time its quotes span; later ones counted.
+
+    Kickoffs are a static side. One small state is held for each prop and
+    kickoff, so the output is for complete or update mode.
+    """
     j = quotes.withWatermark(ts, late).join(kickoffs, key)
     early = F.when(F.col(ts) <= F.col("kickoff"), F.col(ts))
-    return j.groupBy(F.window(ts, "1 day").alias("w"), *by).agg(F.min_by(value, early).alias("open"), F.max_by(value, early).alias("close"), F.count(early).alias("quotes"), F.count_if(F.col(ts) > F.col("kickoff")).alias("in_play")).select(F.col("w.start").alias("day"), *by, "open", "close", "quotes", "in_play")
+    return j.groupBy(*dict.fromkeys([key, "kickoff", *by])).agg(F.min_by(value, early).alias("open"), F.max_by(value, early).alias("close"), F.count(early).alias("quotes"), F.count_if(F.col(ts) > F.col("kickoff")).alias("in_play"))
 
 
 def without_repeats(rows: DataFrame, ts: str, key: Sequence[str], late: str = "10 minutes") -> DataFrame:

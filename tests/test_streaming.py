@@ -51,6 +51,14 @@ def test_open_close_counts_quotes_in_play(spark, tmp_path):
     assert [(r["open"], r["close"], r["quotes"], r["in_play"]) for r in got] == [(1.5, 1.7, 2, 1)]
 
 
+def test_open_close_is_one_row_for_quotes_of_several_days(spark, tmp_path):
+    day = 24 * 60
+    s = stream_of(spark, str(tmp_path), [[("g", "p", at(0), 1.5), ("h", "p", at(0), 4.0)], [("g", "p", at(day), 1.6), ("g", "p", at(2 * day), 1.7)], [("g", "p", at(2 * day + 40), 9.0)]], "game string, prop string, ts timestamp, price double")
+    kick = spark.createDataFrame([("g", at(2 * day + 30)), ("h", at(2 * day + 30))], "game string, kickoff timestamp")
+    got = feeds.collected(feeds.open_close(s, kick, "game", ["prop"], "ts", "price", "1 day"), f"{tmp_path}/out", f"{tmp_path}/cp", mode="complete").collect()
+    assert sorted((r["game"], r["open"], r["close"], r["quotes"], r["in_play"]) for r in got) == [("g", 1.5, 1.7, 3, 1), ("h", 4.0, 4.0, 1, 0)]
+
+
 def test_rejected_rows_go_aside(spark, tmp_path):
     s = stream_of(spark, str(tmp_path), [[(1, 5.0), (2, None)], [(3, -1.0)]], "k long, v double")
     feeds.split_sink(s, F.col("v") > 0, f"{tmp_path}/good", f"{tmp_path}/bad", f"{tmp_path}/cp").awaitTermination()
