@@ -30,6 +30,17 @@ def at_least(pmf: Column, k: Column | int) -> Column:
     return F.aggregate(F.slice(pmf, F.lit(k) + 1 if isinstance(k, int) else k + 1, F.size(pmf)), F.lit(0.0), lambda a, x: a + x)
 
 
+def playoff_probability(rest: Column, this_week: Column, needed: Column) -> Column:
+    """P(at least ``needed`` wins) of this week's game and the rest, from the distribution ``rest`` of the rest's wins."""
+    k = lambda n: F.greatest(n.cast("int"), F.lit(0))
+    return this_week * at_least(rest, k(needed - 1)) + (1.0 - this_week) * at_least(rest, k(needed))
+
+
+def playoff_leverage(rest: Column, needed: Column) -> Column:
+    """What this week's win adds to the playoff probability: P(exactly ``needed`` - 1 wins in the rest), 0 once it is settled."""
+    return F.when(needed >= 1, F.coalesce(F.get(rest, (needed - 1).cast("int")), F.lit(0.0))).otherwise(F.lit(0.0))
+
+
 def live_win_probability(rows: DataFrame, matchup: str, side: str, at: str) -> DataFrame:
     """P(first side wins) at each checkpoint from points so far and what is left.
 

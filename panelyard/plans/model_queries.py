@@ -441,6 +441,15 @@ def p2(t: Tables):
     return pmf.select("entity", F.size("pmf").alias("cells"), F.round(R.at_least(F.col("pmf"), 3), 9).alias("three_or_more"))
 
 
+@query("p2_playoff_probability")
+def p2_playoffs(t: Tables):
+    """Each entity's last period as this week's game, its others as the rest; six wins are needed."""
+    g = t.facts.withColumn("p", (F.col("qty") % 100) / 100.0).withColumn("k", F.row_number().over(Window.partitionBy("entity").orderBy(F.desc("t"))))
+    e = g.groupBy("entity").agg(F.max(F.when(F.col("k") == 1, F.col("p"))).alias("p"), F.array_sort(F.collect_list(F.when(F.col("k") > 1, F.col("p")))).alias("ps"))
+    pmf = e.select("entity", "p", R.poisson_binomial(F.col("ps")).alias("pmf"))
+    return pmf.select("entity", F.round(R.playoff_probability(F.col("pmf"), F.col("p"), F.lit(6)), 9).alias("playoffs"), F.round(R.playoff_leverage(F.col("pmf"), F.lit(6)), 9).alias("leverage"))
+
+
 @query("p4_points_at_checkpoints", "SELECT user_id, c AS checkpoint, coalesce(sum(event_id) FILTER (hour(ts) <= c), 0)::BIGINT AS so_far FROM events, (VALUES (6), (12), (18)) v(c) GROUP BY user_id, c")
 def p4(t: Tables):
     e = t.events.select("user_id", F.hour("ts").alias("h"), "event_id")

@@ -355,3 +355,11 @@ def test_pairs_over_a_gap_equal_brute_force_in_every_season(spark):
     for over in (True, False):
         pairs = [(a, b) for a in data for b in data if a[2] == b[2] and a[3] < b[3] and (b[3] - a[3] > 200) == over]
         assert got[over] == (len(pairs), *[pytest.approx(sum(a[k] < b[k] for a, b in pairs) / len(pairs)) for k in (4, 5)])
+
+
+def test_playoff_probability_and_leverage(spark):
+    df = spark.createDataFrame([(k,) for k in (-1, 0, 1, 2, 3, 4)], "k int").withColumn("pmf", probability.poisson_binomial(F.array(F.lit(0.5), F.lit(0.2))))
+    got = rows(df, "k", probability.playoff_probability(F.col("pmf"), F.lit(0.3), F.col("k")), probability.playoff_leverage(F.col("pmf"), F.col("k")))
+    want = [(-1, 1.0, 0.0), (0, 1.0, 0.0), (1, 0.72, 0.4), (2, 0.25, 0.5), (3, 0.03, 0.1), (4, 0.0, 0.0)]
+    assert [r[0] for r in got] == [w[0] for w in want]
+    assert [v for r in got for v in r[1:]] == pytest.approx([v for w in want for v in w[1:]])
