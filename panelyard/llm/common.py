@@ -17,19 +17,23 @@ from pyspark.sql import functions as F
 TEXT_BATCH = 256
 
 _cleared: set[str] = set()
+_models: dict[str, object] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
     It is the one the cluster names in ``spark.checkpoint.dir``; only where that
-    is unset (tests, local mode) a temporary folder is made and set.
+    is unset in local mode (tests) a temporary folder is made and set. On a
+    cluster a folder of one machine would lose data, so there it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = held.get() if held.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="panelyard-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -88,9 +92,20 @@ def map_arrow(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
 
 
 def ship(spark: SparkSession, value: object) -> Callable[[], object]:
-    """Broadcasts a fitted model; the function returned gives it back in a task."""
-    held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
-    return lambda: pickle.loads(held.value)
+    """Broadcasts a fitted model; the function returned gives it back in a task.
+
+    A Python worker keeps the model of its last task, so a model is read once a
+    worker rather than once a task.
+    """
+    held, key = spark.sparkContext.broadcast(cloudpickle.dumps(value)), uuid.uuid4().hex
+
+    def get():
+        if key not in _models:
+            _models.clear()
+            _models[key] = pickle.loads(held.value)
+        return _models[key]
+
+    return get
 
 
 def id_crc32(column: str = "doc_id") -> Column:

@@ -20,64 +20,52 @@ def plain(text: str | None) -> str:
     return _BREAK.sub(" ", (text or "").lower()).strip()
 
 
-#: Texts below this many bytes are compressed with every dictionary of a language, longer ones with the first.
-SHORT = 1024
-
-
-def fit(labelled: DataFrame, rows: int = 512, chars: int = 1024, size: int = 32_768, shards: int = 6) -> dict[str, list[bytes]]:
-    """Up to ``shards`` raw-content dictionaries for each non-null ``lang`` of ``labelled`` (``doc_id``, ``text``, ``lang``).
+def fit(labelled: DataFrame, rows: int = 512, chars: int = 256) -> dict[str, bytes]:
+    """A raw-content dictionary for each non-null ``lang`` of ``labelled`` (``doc_id``, ``text``, ``lang``).
 
     A bounded sample is enough for a dictionary: of each language the ``rows``
     rows with the smallest hashes, ``chars`` characters from a hashed place in
-    each, joined and cut into dictionaries of ``size`` bytes. Languages are
-    counted first, so each partition sends on only the rows below its language's
-    hash limit, about twice as many as are used: there is no shuffle by language.
+    each, all joined. Languages are counted first, so each partition sends on
+    only the rows below its language's hash limit, about twice as many as are
+    used, and repeated rows count once. A language without a text has a
+    dictionary of one space; no language, none.
     """
     named = labelled.where("lang IS NOT NULL")
     counts = {r["lang"]: r["n"] for r in named.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return {}
-    rare = named.where("text IS NOT NULL").select("lang", "text", F.xxhash64(F.col("doc_id").cast("string"), "text").alias("h"))
+    rare = named.where("text IS NOT NULL").select("lang", "text", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "text"), F.lit(2**31)).alias("h"))
     limit = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(min(2**31, int(2 * rows / n * 2**31) + 1))) for lang, n in sorted(counts.items())])
-    best = rare.where(F.pmod("h", F.lit(2**31)) < limit).select("lang", F.pmod("h", F.lit(2**31)).alias("h"), F.expr(f"substring(text, cast(pmod(h, greatest(length(text) - {chars}, 0) + 1) as int) + 1, {chars})").alias("part"))
+    part = F.expr(f"substring(text, cast(h % (greatest(length(text) - {chars}, 0) + 1) as int) + 1, {chars})")
+    best = rare.where(F.col("h") < limit).groupBy("lang", "h").agg(F.min(part).alias("part"))
     parts: dict[str, list[tuple[int, str]]] = {}
     for r in best.collect():
         parts.setdefault(r["lang"], []).append((r["h"], r["part"]))
-    out = {}
-    for lang, got in sorted(parts.items()):
-        whole = " ".join(plain(p) for _, p in sorted(got)[:rows]).encode("utf-8", "surrogatepass") or b" "
-        cuts = [whole[at : at + size] for at in range(0, len(whole), size)][:shards]
-        out[lang] = cuts[:-1] if len(cuts) > 1 and len(cuts[-1]) < size else cuts
-    return out
+    return {lang: " ".join(plain(p) for _, p in sorted(parts.get(lang, []))[:rows]).encode("utf-8", "surrogatepass") or b" " for lang in sorted(counts)}
 
 
-def classifier(dictionaries: dict[str, list[bytes]], level: int = 6, short_level: int = 12):
+def classifier(dictionaries: dict[str, bytes], level: int = 6):
     """A function from a text to (language, score, margin); ("und", 0, 0) without a letter or a language.
 
-    Every block of the text is compressed with each language's dictionary (a
-    short text with as many as all languages have, and at a higher level, so
-    that whole bytes tell enough); the language with the smallest total wins, on a tie the first by
-    name. The margin is the bytes that the next language needs above it, as a
-    share; the score is that margin over the margin plus 0.02.
+    Every block of the text, whatever its length, is compressed with each
+    language's dictionary; the language with the smallest total wins, on a tie
+    the first by name. The margin is the bytes that the next language needs
+    above it, as a share; the score is that margin over the margin plus 0.02.
     """
     import zstandard
 
-    def compressor(content, at):
+    def compressor(content):
         held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        held.precompute_compress(level=at)
-        return zstandard.ZstdCompressor(level=at, dict_data=held, write_content_size=False, write_dict_id=False).compress
+        held.precompute_compress(level=level)
+        return zstandard.ZstdCompressor(level=level, dict_data=held, write_content_size=False, write_dict_id=False).compress
 
-    even = min((len(c) for c in dictionaries.values()), default=0)
-    ready = [(lang, compressor(contents[0], level), [compressor(c, short_level) for c in contents[:even]]) for lang, contents in sorted(dictionaries.items())]
+    ready = [(lang, compressor(content)) for lang, content in sorted(dictionaries.items())]
 
     def classify(text):
         data = plain(text).encode("utf-8", "surrogatepass")
         if not data or not ready:
             return "und", 0.0, 0.0
-        if len(data) < SHORT:
-            sizes = sorted((sum(len(c(data)) for c in each), lang) for lang, _, each in ready)
-        else:
-            sizes = sorted((sum(len(first(data[at : at + BLOCK])) for at in range(0, len(data), BLOCK)), lang) for lang, first, _ in ready)
+        sizes = sorted((sum(len(compress(data[at : at + BLOCK])) for at in range(0, len(data), BLOCK)), lang) for lang, compress in ready)
         if len(sizes) == 1:
             return sizes[0][1], 1.0, 1.0
         margin = (sizes[1][0] - sizes[0][0]) / sizes[1][0]
@@ -86,11 +74,13 @@ def classifier(dictionaries: dict[str, list[bytes]], level: int = 6, short_level
     return classify
 
 
-def identify(docs: DataFrame, dictionaries: dict[str, list[bytes]], text: str = "text", least_margin: float = 0.004) -> DataFrame:
+def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text", least_margin: float = 0.004) -> DataFrame:
     """``doc_id``, ``lang_pred``, ``score``, ``margin`` and ``accepted`` for every whole text.
 
     A text that is null or has no letter is ``und`` with score 0 and is not
-    accepted; neither is one whose margin is below ``least_margin``.
+    accepted; neither is one whose margin is below ``least_margin``. Repeated
+    rows give equal rows, other columns are ignored, and an empty table gives an
+    empty result.
     """
 
     def start():
@@ -111,8 +101,11 @@ def training_rows(docs: DataFrame, held_out: int = 2, folds: int = 4) -> DataFra
     return docs.select("doc_id", "text", "lang").where(id_crc32() % folds != held_out)
 
 
-def keep_known(docs: DataFrame, dictionaries: dict[str, list[bytes]], least_margin: float = 0.004) -> DataFrame:
-    """The rows of ``docs`` whose language is told with a margin, all columns as they were."""
+def keep_known(docs: DataFrame, dictionaries: dict[str, bytes], least_margin: float = 0.004) -> DataFrame:
+    """The rows of ``docs`` whose language is told with a margin, all columns as they were.
+
+    Texts that are null or have no letter go; repeated rows stay or go together.
+    """
 
     def run(batches):
         classify = classifier(dictionaries)

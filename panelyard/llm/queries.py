@@ -36,7 +36,7 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
-    got = toxicity.score(docs, toxicity.fit(toxicity.training_rows(docs, labels)))
+    got = toxicity.score(docs, toxicity.fit(toxicity.training_rows(docs, labels), docs))
     return got.select("doc_id", (id_crc32() % 5 == 0).alias("held_out"), "score", "predicted", F.transform("evidence", lambda x: x["doc_id"]).alias("evidence"))
 
 

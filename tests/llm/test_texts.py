@@ -1,5 +1,10 @@
+import math
+import random
 import zlib
+from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from panelyard.llm import html_text, language, toxicity, wordpiece
@@ -18,6 +23,17 @@ def test_language_on_held_out_rows_and_edge_cases(spark, docs, nothing):
     assert edge[3] == edge[4] == edge[5] == edge[8] == "und" and edge[7] == "de" and edge[1] in dicts
     assert language.identify(docs, language.fit(nothing)).where("lang_pred <> 'und'").count() == 0
     assert language.fit(nothing) == {} and language.identify(nothing, dicts).count() == 0
+    import zstandard
+
+    def size(content, data):  # one frame a block, by a dictionary made anew each time
+        made = lambda: zstandard.ZstdCompressor(level=6, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False)
+        return sum(len(made().compress(data[at : at + 8192])) for at in range(0, len(data), 8192))
+
+    for r in docs.collect():
+        if data := language.plain(r["text"]).encode():
+            sizes = sorted((size(content, data), lang) for lang, content in dicts.items())
+            same = [x for x in language.identify(docs.where(docs.doc_id.eqNullSafe(r["doc_id"])), dicts).collect()]
+            assert all(x["lang_pred"] == sizes[0][1] and abs(x["margin"] - (sizes[1][0] - sizes[0][0]) / sizes[1][0]) < 0.02 for x in same)
     kept = language.keep_known(docs, dicts)
     assert kept.columns == docs.columns and {3, 4, 5, 8}.isdisjoint(r["doc_id"] for r in kept.collect())
 
@@ -34,7 +50,7 @@ def labelled(spark):
 
 def test_toxicity_finds_held_out_rows(spark, labelled, docs, nothing):
     texts, labels = labelled
-    index = toxicity.fit(toxicity.training_rows(texts, labels))
+    index = toxicity.fit(toxicity.training_rows(texts, labels), texts)
     got = {r["doc_id"]: r for r in toxicity.score(texts, index).collect()}
     held = [k for k in range(400) if zlib.crc32(str(k).encode()) % 5 == 0]
     assert held and all(got[k]["predicted"] == int(k % 8 == 0) for k in held)
@@ -43,27 +59,58 @@ def test_toxicity_finds_held_out_rows(spark, labelled, docs, nothing):
     assert len(edge) == docs.count() and all(0 <= r["score"] <= 1 and r["predicted"] == 0 for r in edge)
     assert toxicity.score(nothing, index).count() == 0
     assert toxicity.keep_clean(docs, index).count() == docs.count()
-    none = toxicity.fit(toxicity.training_rows(texts, labels.where("toxic = 0")))
+    none = toxicity.fit(toxicity.training_rows(texts, labels.where("toxic = 0")), texts)
     assert toxicity.score(docs, none).where("predicted = 1").count() == 0
-
-
-def test_block_max_search_equals_a_full_scan():
-    import numpy as np
-
-    rng = np.random.default_rng(1)
-    idf = {f"f{k:02}": float(rng.uniform(1, 5)) for k in range(40)}
-    examples = [(k, int(rng.random() < 0.5), {int(c): int(rng.integers(1, 4)) for c in rng.choice(40, rng.integers(1, 6), replace=False)}) for k in range(700)]
-    index = toxicity.ExampleIndex(idf, examples, 0.5)
-    full = np.zeros((len(index.ids), 40))
-    for c in range(40):
-        full[index.rows[index.starts[c] : index.starts[c + 1]], c] = index.vals[index.starts[c] : index.starts[c + 1]]
-    for _ in range(60):
-        q = {int(c): int(rng.integers(1, 4)) for c in rng.choice(40, rng.integers(1, 8), replace=False)}
-        cols, w = index.vector(q)
-        scores = full[:, cols] @ w
-        want = sorted(((s, p) for p, s in enumerate(scores) if s > 0), key=lambda x: (-round(x[0], 12), x[1]))[:15]
-        got = index.nearest(q, 15)
-        assert np.allclose([s for s, _ in got], [s for s, _ in want])
+    empty = toxicity.fit(toxicity.training_rows(texts, labels.where("false")), texts)
+    assert toxicity.score(docs, empty).where("score <> 0 OR size(evidence) > 0").count() == 0
+
+
+def by_hand(rows, corpus):
+    """Weights, unit vectors, labels and ids of examples, from dictionaries alone."""
+    read = lambda t: Counter(f for w in t.lower().split() for f in toxicity.word_features(w))
+    counts, n = [read(t) for _, t, _ in rows], len(rows)
+    texts = [read(t) for t in corpus]
+    n1 = sum(y for _, _, y in rows)
+
+    def term(x, row, col):
+        return x * math.log(x * n / (row * col)) if x else 0.0
+
+    weights = {}
+    for f in {f for c in counts for f in c}:
+        held, toxic = sum(f in c for c in counts), sum(f in c and y for c, (_, _, y) in zip(counts, rows, strict=True))
+        g = 2 * (term(toxic, held, n1) + term(held - toxic, held, n - n1) + term(n1 - toxic, n - held, n1) + term(n - n1 - held + toxic, n - held, n - n1))
+        weights[f] = math.log(1 + len(texts) / max(1, sum(f in c for c in texts))) * (1 + math.sqrt(max(0, g)))
+
+    def unit(c):
+        v = {f: (1 + math.log(k)) * weights[f] for f, k in c.items() if f in weights}
+        norm = math.sqrt(sum(x * x for x in v.values())) or 1
+        return {f: x / norm for f, x in v.items()}
+
+    return [unit(c) for c in counts], lambda t: unit(read(t))
+
+
+def test_toxicity_neighbours_equal_a_full_scan(spark):
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(30)] + [f"longer{k}word" for k in range(60)] + ["Stem" + "xyz"[k % 3] * k for k in range(1, 12)] + [f"r{k}" for k in range(1500)]
+    rows = [(f"d{k}", " ".join(rng.choices(words, k=rng.randint(1, 60))) + ("!" if k % 2 else " (vile)" if k % 6 == 0 else ""), int(k % 6 == 0)) for k in range(500)]
+    queries = [" ".join(rng.choices(words, k=rng.randint(1, 90))) for _ in range(60)] + ["", "nothing known", "vile", rows[6][1]]
+    df = spark.createDataFrame(rows, "doc_id string, text string, toxic int").repartition(5)
+    corpus = spark.createDataFrame([(t,) for _, t, _ in rows] + [(t,) for t in queries], "text string")
+    index = toxicity.fit(df, corpus)
+    assert len(index.labels) == 500 and len(index.weights) - index.first > 1 and index.first > 1000
+    vectors, unit = by_hand(rows, [t for _, t, _ in rows] + queries)
+    place = {i: k for k, i in enumerate(index.ids.to_pylist())}
+    for text, (cosine, at) in zip(queries, index.nearest(pa.array(queries)), strict=True):
+        q = unit(text)
+        full = sorted(((sum(x * v.get(f, 0) for f, x in q.items()), -place[rows[k][0]]) for k, v in enumerate(vectors)), reverse=True)
+        want = [s for s, _ in full if s > 0][:15]
+        assert np.allclose(cosine, want, atol=1e-9) and len(at) == len(want)
+        share = (sum(c * index.labels[p] for c, p in zip(cosine, at, strict=True)) + 0.05 * index.prior) / (sum(cosine) + 0.05)
+        assert abs(index.share(cosine, at) - share) < 1e-12
+    got = {r["text"]: r for r in toxicity.score(spark.createDataFrame([(t, t) for t in queries], "doc_id string, text string"), index).withColumnRenamed("doc_id", "text").collect()}
+    assert got["vile"]["predicted"] == 1 and all(e["toxic"] == 1 for e in got["vile"]["evidence"]) and got[""]["evidence"] == []
+    assert got[rows[6][1]]["evidence"][0]["doc_id"] == "d6" and abs(got[rows[6][1]]["evidence"][0]["cosine"] - 1) < 1e-9
+    assert got[""]["score"] == got["nothing known"]["score"] < 0.5
 
 
 def test_automaton_equals_greedy_search(spark, docs, nothing):
