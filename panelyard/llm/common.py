@@ -98,14 +98,14 @@ def ship(spark: SparkSession, value: object) -> Callable[[], object]:
     worker rather than once a task.
     """
     held, key = spark.sparkContext.broadcast(cloudpickle.dumps(value)), uuid.uuid4().hex
+    return lambda: _model(key, held)
 
-    def get():
-        if key not in _models:
-            _models.clear()
-            _models[key] = pickle.loads(held.value)
-        return _models[key]
 
-    return get
+def _model(key: str, held):
+    if key not in _models:
+        _models.clear()
+        _models[key] = pickle.loads(held.value)
+    return _models[key]
 
 
 def id_crc32(column: str = "doc_id") -> Column:
