@@ -5,6 +5,8 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
+from collections import Counter
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -18,18 +20,30 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 RAW = {"script", "style", "noscript", "template", "textarea", "iframe", "svg", "math", "object", "select"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "img", "br", "wbr"}
 
-#: What weak labels go by: words of tags, classes and ids around a block that is not, or is, the article.
-OUTSIDE = "head title nav header footer aside form menu sidebar ad ads advert advertisement sponsor sponsored promo promotion banner cookie consent notice alert popup modal overlay newsletter subscribe signup comment comments respond reply discussion disqus share social related recommended breadcrumb breadcrumbs pagination pager widget copyright legal login search toolbar navbar topbar masthead button tags category archive".split()
-INSIDE = "article main content post entry story body text articlebody".split()
+# HTML elements whose standard meaning is that they are not the article, and elements that are a paragraph of what holds them.
+ASIDE = {"head", "nav", "footer", "aside", "form", "menu", "dialog", "button"}
+PARAGRAPHS = {"p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "td", "th", "dt", "dd", "figcaption"}
+#: A text on this many different pages of the sample is repeated.
+REPEATED = 3
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+#: Comments, declarations and tags; a quote opens only after an equals sign.
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')|=)*+)>""", re.S)
 _NAMED = re.compile(r"""(?:class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _WORD = re.compile(r"[a-z0-9]+")
 PATH_DIM, WORD_DIM, NUMBERS = 512, 64, 6
 
 
-def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
-    """The leaf sequence of a page: (words of the tag path, text, characters inside links) of every block with text.
+class Block(NamedTuple):
+    """A leaf of a page: words of every level of its tag path, its text, characters inside links, and the numbers of the elements it stands in."""
+
+    path: tuple[tuple[str, ...], ...]
+    text: str
+    links: int
+    nodes: tuple[int, ...]
+
+
+def blocks(page: str | None) -> list[Block]:
+    """The leaf sequence of a page: every block with text.
 
     A block ends wherever a tag that is not inline opens or closes. Contents of
     scripts, styles and the like are no text. Character references are decoded,
@@ -38,7 +52,7 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
     never ends is text.
     """
     page = page or ""
-    out, stack, held, links, at, anchors = [], [], [], 0, 0, 0
+    out, stack, held, links, at, anchors, opened = [], [], [], 0, 0, 0, 0
 
     def text_to(end):
         nonlocal links
@@ -51,20 +65,13 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
     def flush():
         nonlocal links
         if text := " ".join("".join(held).split()):
-            out.append((tuple(w for _, ws in stack for w in ws), text, links))
+            out.append(Block(tuple(words for _, words, _ in stack), text, links, tuple(n for _, _, n in stack)))
         held.clear()
         links = 0
 
-    skip = ""
-    for m in _TAG.finditer(page):
-        if m.start() < at:
-            continue
-        closing, name, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if skip:
-            if name and closing and name.lower() == skip:
-                skip, at = "", m.end()
-            continue
+    while m := _TAG.search(page, at):
         text_to(m.start())
+        closing, name, attrs = m[1], m[2], m[3]
         at = m.end()
         if not name:
             continue
@@ -93,29 +100,53 @@ def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
             words = [name]
             for value in _NAMED.findall(attrs):
                 words += _WORD.findall(value.lower())
-            stack.append((name, words))
-    if not skip:
-        text_to(len(page))
-        flush()
+            opened += 1
+            stack.append((name, tuple(words), opened))
+    text_to(len(page))
+    flush()
     return out
 
 
-def weak_label(path: tuple[str, ...], text: str, links: int) -> int:
-    """1 for a block of the article, by the words around it; the innermost telling word decides, outer parts veto."""
-    marks = [w in INSIDE for w in path if w in INSIDE or w in OUTSIDE]
-    if any(w in OUTSIDE for w in path):
-        return 0
-    if any(marks):
-        return 1
-    return int(len(text) > 60 and links * 2 < len(text))
+def structural_labels(pages: list[list[Block]]) -> list[list[int]]:
+    """1 for blocks of the article, from the structure of pages seen together; no word of a class or text has a part in it.
+
+    A text on REPEATED pages or more is repeated. Every element is scored by the
+    characters, not repeated and not in links, of the paragraphs that it holds
+    itself; the element with most is the article. Of what stands in it, blocks
+    count unless they are mostly links, stand in an element that by its standard
+    meaning is no part of the article, or have a tag path whose texts are mostly
+    repeated.
+    """
+    on = Counter(t for leaf in pages for t in {b.text for b in leaf})
+    tags = lambda b: tuple(words[0] for words in b.path)
+    seen, again = Counter(), Counter()
+    for leaf in pages:
+        for b in leaf:
+            seen[tags(b)] += 1
+            again[tags(b)] += on[b.text] >= REPEATED
+    out = []
+    for leaf in pages:
+        mass: Counter = Counter()
+        plain = [not ASIDE.intersection(tags(b)) and 2 * b.links < len(b.text) for b in leaf]
+        for b, ok in zip(leaf, plain, strict=True):
+            if ok and on[b.text] < REPEATED and b.nodes:
+                up = b.path[-1][0] in PARAGRAPHS and len(b.nodes) > 1
+                mass[b.nodes[-2] if up else b.nodes[-1]] += len(b.text)
+        best = max(mass, key=lambda n: (mass[n], -n), default=0)
+        bare = not any(b.nodes for b in leaf)  # a page without elements
+        out.append([int(ok and (bare or best in b.nodes) and 2 * again[tags(b)] <= seen[tags(b)]) for b, ok in zip(leaf, plain, strict=True)])
+    return out
 
 
-def features(leaf: list[tuple[tuple[str, ...], str, int]]) -> np.ndarray:
-    """A row for each block: hashed path words, hashed words of its text, and six numbers."""
+def features(leaf: list[Block]) -> np.ndarray:
+    """A row for each block: hashed path words (those of its own element again, marked), hashed words of its text, and six numbers."""
     x = np.zeros((len(leaf), PATH_DIM + WORD_DIM + NUMBERS), dtype=np.float32)
-    for k, (path, text, links) in enumerate(leaf):
-        for w in path:
-            x[k, _slot(w)] = 1
+    for k, (path, text, links, _) in enumerate(leaf):
+        for level in path:
+            for w in level:
+                x[k, _slot(w)] = 1
+        if path:
+            x[k, _slot("=" + path[-1][0])] = 1
         words = text.split()
         hit = np.bincount([zlib.crc32(w.encode("utf-8", "surrogatepass")) % WORD_DIM for w in words], minlength=WORD_DIM)
         x[k, PATH_DIM : PATH_DIM + WORD_DIM] = np.sqrt(hit) / np.sqrt(len(words))
@@ -204,66 +235,78 @@ def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
-LEAVES = [("p",), ("ul", "li"), ("ol", "li"), ("blockquote",), ("blockquote", "p"), ("h2",), ("h3",), ("pre",), ("div",), ("div", "p"), ("table", "tr", "td"), ("figure", "figcaption"), ("dl", "dd")]
+def disguised(leaf: list[Block], labels: list[int], rng: np.random.Generator, others: list[list[Block]]) -> tuple[list[Block], list[int]]:
+    """A page made from a real one: container elements and their words renamed or dropped, and runs of other pages' blocks outside the article set in.
+
+    So the net cannot go by one site's names; what stays is how blocks follow
+    each other, their texts and their places.
+    """
+    drop, names = rng.random() < 0.6, {}
+
+    def level(words):
+        if words[0] in PARAGRAPHS or words[0] in ("html", "body", "head", "title", "ul", "ol", "dl", "table", "tbody", "tr"):
+            return words[:1] if drop else words
+        tag = names.setdefault(words[0], str(rng.choice(["div", "div", "section", words[0]])))
+        kept = () if drop else tuple(names.setdefault((words[0], w), w if rng.random() < 0.4 else f"x{rng.integers(1 << 30)}") for w in words[1:])
+        return (tag, *kept)
 
+    def renamed(b):
+        return b._replace(path=tuple(level(w) for w in b.path))
 
-def disguised(leaf, labels, rng: np.random.Generator, texts: list[str]):
-    """A page made from a real one: containers renamed, and blocks of known kind set in, around and between its own."""
     out, kinds = [], []
-    inner, tag = str(rng.choice(INSIDE)), str(rng.choice(["div", "section", "article", "main"]))
-
-    def foreign():
-        words = [str(rng.choice(["div", "section", "aside", "nav", "header", "footer", "form", "ul"]))] + [str(w) for w in rng.choice(OUTSIDE, rng.integers(1, 3))]
-        around = ["html", "body"] + ([tag, inner] if rng.random() < 0.4 else [])
-        text = str(texts[rng.integers(len(texts))])
-        n = len(text) if rng.random() < 0.4 else int(rng.integers(5, 120))
-        path = (*around, *words, str(rng.choice(["p", "li", "div", "h3", "span"])))
-        return path, text[:n].strip() or "x", int(n * (rng.random() < 0.3))
-
-    for block, y in zip(leaf, labels, strict=True):
-        while rng.random() < 0.25:
-            run = [foreign() for _ in range(rng.integers(1, 4))]
-            out += run
+    for b, y in zip(leaf, labels, strict=True):
+        if others and rng.random() < 0.08:
+            run = others[rng.integers(len(others))]
+            out += [renamed(o) for o in run]
             kinds += [0] * len(run)
-        path = tuple(w for w in block[0])
-        if y and rng.random() < 0.9:
-            last = path[-1:] if rng.random() < 0.5 else LEAVES[rng.integers(len(LEAVES))]
-            path = ("html", "body", tag, inner, *last)
-        out.append((path, *block[1:]))
+        out.append(renamed(b))
         kinds.append(y)
-    for _ in range(rng.integers(0, 5)):
-        out.append(foreign())
-        kinds.append(0)
     return out, kinds
 
 
+def runs_outside(leaf: list[Block], labels: list[int]) -> list[list[Block]]:
+    """Runs of blocks outside the article, at most eight long, without those of the page's head."""
+    runs: list[list[Block]] = [[]]
+    for b, y in zip(leaf, labels, strict=True):
+        if y or any(w[0] == "head" for w in b.path) or len(runs[-1]) == 8:
+            runs.append([])
+        if not y and not any(w[0] == "head" for w in b.path):
+            runs[-1].append(b)
+    return [r for r in runs if r]
+
+
 def fit(pages: DataFrame, rows: int = 384, rounds: int = 180, batch: int = 24, most_blocks: int = 60, seed: int = 11) -> BiLSTM:
     """Trains the labeller on a bounded sample of ``rows`` pages, those whose ids have the smallest hashes.
 
     Pages are counted first, so that each partition sends only rows below the
-    hash limit, about twice as many as are used in all.
+    hash limit, about twice as many as are used in all; equal pages count once.
 
-    There are no labels, so blocks are labelled by the tags, classes and ids
-    around them; half of the training pages are disguised ones, whose blocks of
-    known kind stand in other containers. Of a sampled page that has more blocks,
-    training reads a window of ``most_blocks``; labelling reads all.
+    There are no labels, so blocks are labelled by the structure of the sampled
+    pages (``structural_labels``); more than half of the training pages are
+    disguised ones. Of a sampled page that has more blocks, training reads a
+    window of ``most_blocks``; labelling reads all.
     """
     limit = min(2**31, int(2 * rows / max(1, pages.count()) * 2**31) + 1)
     near = pages.where("html IS NOT NULL").select("html", F.pmod(F.xxhash64("page_id", "url"), F.lit(2**31)).alias("h")).where(F.col("h") < limit)
-    picked = near.orderBy("h", "html").limit(rows).collect()
-    leaves = [b for r in picked if (b := blocks(r["html"]))]
+    picked = near.groupBy(F.xxhash64("html").alias("k")).agg(F.min(F.struct("h", "html")).alias("x")).orderBy("x.h", "k").limit(rows).collect()
+    return train([b for r in picked if (b := blocks(r["x"]["html"]))], rounds, batch, most_blocks, seed)
+
+
+def train(leaves: list[list[Block]], rounds: int = 180, batch: int = 24, most_blocks: int = 60, seed: int = 11) -> BiLSTM:
+    """The labeller fitted to the structural labels of these pages."""
     net = BiLSTM(PATH_DIM + WORD_DIM + NUMBERS)
     if not leaves:
         return net
     rng = np.random.default_rng(seed)
-    texts = [b[1] for leaf in leaves for b in leaf if len(b[1]) > 20][:20_000] or ["text"]
+    known = structural_labels(leaves)
+    others = [run for leaf, labels in zip(leaves, known, strict=True) for run in runs_outside(leaf, labels)]
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     for step in range(1, rounds + 1):
         xs, ys = [], []
         for k in rng.integers(len(leaves), size=batch):
-            leaf, labels = leaves[k], [weak_label(*b) for b in leaves[k]]
+            leaf, labels = leaves[k], known[k]
             if rng.random() < 0.6:
-                leaf, labels = disguised(leaf, labels, rng, texts)
+                leaf, labels = disguised(leaf, labels, rng, others)
             at = int(rng.integers(0, max(1, len(leaf) - most_blocks + 1)))
             xs.append(features(leaf)[at : at + most_blocks])
             ys.append(labels[at : at + most_blocks])
@@ -284,7 +327,9 @@ def label(pages: DataFrame, net: BiLSTM, key: str = "page_id", html: str = "html
     """``page_id``, ``url`` and ``blocks``: every block's text, probability and whether it is main text.
 
     A null or blank page has no blocks. Pages are read whole and every block is
-    labelled in sight of all others of its page.
+    labelled in sight of all others of its page. Repeated rows and null ids give
+    a row each, other columns are ignored, and an empty table gives an empty
+    result.
     """
     held = ship(pages.sparkSession, net)
 
@@ -303,7 +348,7 @@ def label(pages: DataFrame, net: BiLSTM, key: str = "page_id", html: str = "html
                 for c, k in enumerate(group):
                     probs[k] = p[: len(leaves[k]), c]
                 at += size
-            rows = [[{"text": b[1], "main": float(v), "kept": bool(v >= 0.5)} for b, v in zip(leaf, p, strict=True)] for leaf, p in zip(leaves, probs, strict=True)]
+            rows = [[{"text": b.text, "main": float(v), "kept": bool(v >= 0.5)} for b, v in zip(leaf, p, strict=True)] for leaf, p in zip(leaves, probs, strict=True)]
             return [batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.struct([("text", pa.string()), ("main", pa.float64()), ("kept", pa.bool_())])))]
 
         return step

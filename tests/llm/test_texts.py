@@ -146,6 +146,10 @@ def test_blocks():
     assert [b[1] for b in got] == ["T", "Home", "The title", "First paragraph & words, that go on for a while.", "Second paragraph.", "Buy this now", "I liked this a lot, thank you.", "Sign up today", "© someone"]
     assert html_text.blocks(None) == html_text.blocks("  ") == []
     assert html_text.blocks("<p class='a>b<p>c < d")[-1][1].endswith("c < d")
+    script = "<script>if (a<b) { // don't\n}</script><p class='x'>Text one</p><p>It's fine</p>"
+    assert [b.text for b in html_text.blocks(script)] == ["Text one", "It's fine"]
+    assert html_text.blocks("<p>if a <b and don't</p><p>Second it's</p>")[-1].text == "Second it's"
+    assert html_text.blocks('<p title="a > b" class=x>in</p>')[0] == ((("p", "x"),), "in", 0, (1,))
 
 
 def test_gradients_are_those_of_the_loss():
@@ -172,10 +176,48 @@ def test_gradients_are_those_of_the_loss():
         assert abs((up - down) / (2 * e) - g[at]) < 2e-3
 
 
-def test_extraction(spark):
-    rows = [(k, f"http://x/{k}", PAGE.replace("Second", f"Number {k}, a")) for k in range(40)] + [(90, None, None), (91, "u", ""), (92, "u", "plain text only")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    got = {r["page_id"]: r for r in html_text.extract(pages).collect()}
-    assert got[3]["text"] == "The title\nFirst paragraph & words, that go on for a while.\nNumber 3, a paragraph."
-    assert got[90]["text"] == got[91]["text"] == "" and got[90]["n_chars"] == 0 and got[3]["n_chars"] == len(got[3]["text"])
-    assert html_text.extract(pages.where("false")).count() == 0
+def page(k, scramble=False):
+    """A page of a site whose menu, advert and footer repeat; the article's own text differs from page to page."""
+    rng = random.Random(k)
+    say = lambda n: " ".join("".join(rng.choices("aeioustrnlm", k=rng.randint(2, 8))) for _ in range(n)).capitalize() + "."
+    title, parts = say(6), [say(rng.randint(15, 60)) for _ in range(rng.randint(2, 7))]
+    body = "<header><nav><ul>" + "".join(f"<li><a href=/{w}>{w}</a></li>" for w in ("Home", "News", "About us")) + f'</ul></nav></header><div class="ad">Buy thing number {k % 3} now, it is cheap.</div>'
+    body += f"<article><h1>{title}</h1>" + "".join(f"<p>{p}</p>" for p in parts) + f"</article><footer>&copy; A site, part {k % 4}. All rights.</footer>"
+    if scramble:
+        for tag in ("header", "nav", "article", "footer"):
+            body = body.replace(f"<{tag}>", "<div>").replace(f"</{tag}>", "</div>")
+        body = body.replace(' class="ad"', "")
+    return f"<html><head><title>{title}</title><script>var t='</p>';</script></head><body>{body}</body></html>", "\n".join([title, *parts])
+
+
+def test_extraction_with_and_without_telling_tags(spark):
+    schema = "page_id long, url string, html string, text string, blocks string, n_chars int"
+    for scramble in (False, True):
+        rows = [(k, f"http://x/{k}", page(k, scramble)[0]) for k in range(60)] + [(90, None, None), (91, "u", ""), (92, "u", "plain text only"), (None, None, page(1, scramble)[0]), (7, "http://x/7", page(7, scramble)[0])]
+        got = html_text.extract(spark.createDataFrame([(*r, "t", "b", 1) for r in rows], schema)).collect()
+        assert len(got) == len(rows) and got[0].__fields__ == ["page_id", "url", "text", "n_chars"]
+        by_id = {r["page_id"]: r for r in got}
+        equal = sum(by_id[k]["text"] == page(k)[1] for k in range(60))
+        assert equal >= (60 if not scramble else 54), (scramble, equal)
+        assert by_id[90]["text"] == by_id[91]["text"] == "" and by_id[90]["n_chars"] == 0 and all(r["n_chars"] == len(r["text"]) for r in got)
+        assert by_id[None]["text"] == by_id[1]["text"]
+    assert html_text.extract(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_batches_do_not_change_a_page(spark):
+    """Every page by itself through the net, cell by cell, against the operator's padded batches; one page is very long."""
+    texts = [page(k)[0] for k in range(30)] + ["<p>" + "</p><p>".join(f"word {k} of many" for k in range(3000)) + "</p>"]
+    net = html_text.train([html_text.blocks(h) for h in texts[:30]], rounds=20)
+    sig = lambda z: 1 / (1 + np.exp(-z))
+    got = {r["page_id"]: r["blocks"] for r in html_text.label(spark.createDataFrame([(k, "u", h) for k, h in enumerate(texts)], "page_id long, url string, html string"), net).collect()}
+    for k, h in enumerate(texts):
+        x, states = html_text.features(html_text.blocks(h)).astype(float), {}
+        for d, order in (("f", range(len(x))), ("b", range(len(x) - 1, -1, -1))):
+            hid, cell = np.zeros(net.h), np.zeros(net.h)
+            for at in order:
+                i, f, o, u = np.split(x[at] @ net.p["W" + d] + hid @ net.p["U" + d] + net.p["c" + d], 4)
+                cell = sig(f) * cell + sig(i) * np.tanh(u)
+                hid = sig(o) * np.tanh(cell)
+                states[d, at] = hid
+        want = [float(sig(np.concatenate([states["f", at], states["b", at]]) @ net.p["v"] + net.p["o"][0])) for at in range(len(x))]
+        assert np.allclose([b["main"] for b in got[k]], want, atol=1e-3)
