@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Paragraphs in a section.
 SECTION = 8
-#: What parts the leaves of a paragraph: clause ends and paragraph ends.
-CLAUSE = r"[.,;:!?]+[ \n]+|\n"
+#: A clause: up to and with its closing marks and the blanks after them, or what is left of the line.
+CLAUSE = "[^.,;:!?]*[.,;:!?]+ *|[^.,;:!?]+"
+
+
+def clauses(text: Column) -> Column:
+    """SHA-256 of every clause of every paragraph (line) of a text, in order: the leaves. Clauses keep every character of the line."""
+    return F.transform(F.split(text, "\n"), lambda p: F.transform(F.regexp_extract_all(p, F.lit(CLAUSE), F.lit(0)), lambda c: F.sha2(c, 256)))
 
 
-def paragraphs(text: Column) -> Column:
-    """SHA-256 of every paragraph (line) of a text, in order."""
-    return F.transform(F.split(text, "\n"), lambda p: F.sha2(p, 256))
+def paragraphs(leaves: Column) -> Column:
+    """SHA-256 over the clause digests of every paragraph."""
+    return F.transform(leaves, lambda p: F.sha2(F.array_join(p, ""), 256))
 
 
 def sections(nodes: Column) -> Column:
@@ -21,29 +29,42 @@ def sections(nodes: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.floor((F.size(nodes) - 1) / SECTION).cast("int")), lambda i: F.sha2(F.array_join(F.slice(nodes, i * SECTION + 1, F.lit(SECTION)), ""), 256))
 
 
-def root(nodes: Column) -> Column:
+def root(upper: Column) -> Column:
     """SHA-256 over the section digests: equal exactly for equal texts."""
-    return F.sha2(F.array_join(sections(nodes), ""), 256)
+    return F.sha2(F.array_join(upper, ""), 256)
+
+
+def with_tree(rows: DataFrame, text: str, prefix: str) -> DataFrame:
+    """``rows`` with the tree of a text column, level by level: ``{prefix}clauses``, ``...paragraphs``, ``...sections``, ``...root``."""
+    level = lambda name: F.col(prefix + name)
+    rows = rows.withColumn(prefix + "clauses", clauses(F.col(text)))
+    rows = rows.withColumn(prefix + "paragraphs", paragraphs(level("clauses")))
+    rows = rows.withColumn(prefix + "sections", sections(level("paragraphs")))
+    return rows.withColumn(prefix + "root", root(level("sections")))
 
 
-def leaves(text: Column) -> Column:
-    """Hashes of the distinct clauses below the paragraphs."""
-    return F.array_distinct(F.transform(F.split(text, CLAUSE), lambda c: F.xxhash64(c)))
+def nodes(prefix: str) -> Column:
+    """The distinct digests of all nodes of a tree."""
+    return F.array_distinct(F.concat(F.array(prefix + "root"), F.col(prefix + "sections"), F.col(prefix + "paragraphs"), F.flatten(prefix + "clauses")))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Dice coefficient of two sets of leaves (0 to 1)."""
+    """Dice coefficient of the nodes of two trees (0 to 1), 1 exactly where the roots are equal.
+
+    A branch that both trees have counts with all below it, wherever it stands;
+    of a branch that differs the parts below are still compared.
+    """
     return (2.0 * F.size(F.array_intersect(a, b))) / (F.size(a) + F.size(b))
 
 
 def trees(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``doc_id``, ``fingerprint``, ``sections``, ``paragraphs`` and ``leaves`` of every whole text.
+    """``doc_id``, ``fingerprint``, ``sections``, ``paragraphs`` and ``clauses`` of every whole text.
 
-    A null text is taken as empty; an empty text is one empty paragraph.
-    Repeated rows give equal rows; other columns are ignored.
+    A null text is taken as empty; an empty text is one paragraph without a
+    clause. Repeated rows give equal rows; other columns are ignored.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    return docs.select("doc_id", t.alias("__t")).withColumn("paragraphs", paragraphs(F.col("__t"))).select("doc_id", root(F.col("paragraphs")).alias("fingerprint"), sections(F.col("paragraphs")).alias("sections"), "paragraphs", leaves(F.col("__t")).alias("leaves"))
+    rows = with_tree(docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("__t")), "__t", "")
+    return rows.select("doc_id", F.col("root").alias("fingerprint"), "sections", "paragraphs", "clauses")
 
 
 def locate_edits(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -61,30 +82,35 @@ def locate_edits(before: DataFrame, after: DataFrame) -> DataFrame:
     return named.where(~F.col("x.a").eqNullSafe(F.col("x.b"))).select("doc_id", "section", F.col("x.n").alias("paragraph"), change.alias("change"))
 
 
-def with_next(docs: DataFrame, text: str = "text", chunk_rows: int = 256, most_chunks: int = 20_000) -> DataFrame:
+def with_next(docs: DataFrame, text: str = "text", chunk_rows: int = 256, most_chunks: int = 65_536) -> DataFrame:
     """``doc_id``, ``text`` and ``next_text``, that of the next document by id (after the last: the first).
 
-    Ids are cut into even ranges; a window in each range looks one row ahead,
-    and the first row of a range also stands at the end of the range before. So
-    no global order is needed and every text is shuffled once. Null ids come
-    first; rows of one id are ordered by a hash of their text. Only the first
-    ids of at most ``most_chunks`` ranges are broadcast.
+    Ids of any orderable type; null ids come first, and rows of one id are
+    ordered by a hash of their text. Rows are cut into ranges of like row count
+    by sampled bounds on id and hash, so neither ids that lie close nor a common
+    or null id fill one range. A window in each range looks one row ahead, and
+    the first row of a range also stands at the end of the range before: no
+    global order is needed and every text is shuffled once. Of tables of more
+    than ``chunk_rows`` times ``most_chunks`` rows the ranges grow; they are
+    sorted with spill and read as a stream. Only the bounds reach the driver.
     """
-    rows = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text"))
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    chunks = max(1, min(most_chunks, n // chunk_rows))
-    share = (F.col("doc_id").cast("double") - float(low or 0)) / (float(high or 0) - float(low or 0) + 1)
-    chunk = F.when(F.col("doc_id").isNull(), -1).otherwise(F.least(F.floor(share * chunks), F.lit(chunks - 1))).cast("int")
-    order = Window.orderBy("chunk")  # rows: one for each range
-    firsts = docs.groupBy(chunk.alias("chunk")).agg(F.min("doc_id").alias("first"))
-    firsts = firsts.withColumn("before", F.lag("chunk").over(order)).withColumn("last", F.max("chunk").over(Window.partitionBy()))
-    firsts = firsts.select("chunk", "first", F.coalesce("before", "last").alias("before"), F.col("before").isNull().cast("int").alias("wraps"))
-    held = rows.withColumn("chunk", chunk).join(F.broadcast(firsts), "chunk")
-    own = F.struct(F.col("chunk").alias("chunk"), F.lit(0).alias("wraps"), F.lit(False).alias("extra"))
-    more = F.struct(F.col("before").alias("chunk"), F.col("wraps").alias("wraps"), F.lit(True).alias("extra"))
-    stood = held.select("doc_id", "text", F.explode(F.when(F.col("doc_id").eqNullSafe(F.col("first")), F.array(own, more)).otherwise(F.array(own))).alias("at"))
-    ahead = Window.partitionBy("at.chunk").orderBy("at.wraps", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "at.extra")
-    return stood.withColumn("next_text", F.lead("text").over(ahead)).where(~F.col("at.extra")).select("doc_id", "text", "next_text")
+    rows = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("k", F.struct("doc_id", F.xxhash64("text").alias("h")))
+    parts = max(1, min(most_chunks, docs.count() // chunk_rows))
+    least = rows.select("k").repartitionByRange(parts, "k.doc_id", "k.h").groupBy(F.spark_partition_id()).agg(F.min("k").alias("k"))
+    bounds = json.loads(least.agg(F.to_json(F.array_sort(F.collect_list("k")))).first()[0])  # one for each range
+    if not bounds:
+        return rows.select("doc_id", "text", F.lit(None).cast("string").alias("next_text"))
+    width = math.isqrt(len(bounds) - 1) + 1
+    kind = rows.schema["k"].dataType.simpleString()
+    held = F.from_json(F.lit(json.dumps([bounds[at : at + width] for at in range(0, len(bounds), width)])), f"array<array<{kind}>>")
+    upto = lambda bs: F.size(F.filter(bs, lambda b: b <= F.col("k")))
+    rows = rows.withColumn("o", upto(F.transform(held, lambda bs: bs[0]))).withColumn("bs", F.element_at(held, F.col("o"))).withColumn("i", upto(F.col("bs")))
+    chunk = (F.col("o") - 1) * width + F.col("i") - 1
+    own = F.struct(chunk.alias("chunk"), F.lit(0).alias("wraps"), F.lit(False).alias("extra"))
+    more = F.struct(F.when(chunk > 0, chunk - 1).otherwise(len(bounds) - 1).alias("chunk"), (chunk == 0).cast("int").alias("wraps"), F.lit(True).alias("extra"))
+    stood = rows.select("k", "text", F.explode(F.when(F.element_at("bs", F.col("i")) == F.col("k"), F.array(own, more)).otherwise(F.array(own))).alias("at"))
+    ahead = Window.partitionBy("at.chunk").orderBy("at.wraps", "k", "at.extra")
+    return stood.withColumn("next_text", F.lead("text").over(ahead)).where(~F.col("at.extra")).select("k.doc_id", "text", "next_text")
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -96,26 +122,29 @@ def edited(text: Column, following: Column) -> Column:
 def compare_with_edit(docs: DataFrame, text: str = "text") -> DataFrame:
     """Fingerprints of every text and of its edited form, and how near the trees are.
 
-    Equal roots are likeness 1; else the Dice coefficient of the leaves, held
-    below 1 where two texts have the same clauses in another order.
+    A null text is taken as empty. Rows that share an id each have a row.
     """
-    pairs = with_next(docs, text).withColumn("edited", edited(F.col("text"), F.col("next_text")))
-    nodes = pairs.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), root(paragraphs(F.col("text"))).alias("fingerprint"), root(paragraphs(F.col("edited"))).alias("edited_fingerprint"), (F.col("text") == F.col("next_text")).alias("same_next"), leaves(F.col("text")).alias("own"), leaves(F.col("edited")).alias("edit"), leaves(F.col("next_text")).alias("following"))
-    below = lambda a, b: F.least(likeness(F.col(a), F.col(b)), F.lit(0.999999))
-    return nodes.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", F.when(F.col("fingerprint") == F.col("edited_fingerprint"), 1.0).otherwise(below("own", "edit")).alias("near_edited"), F.when(F.col("same_next"), 1.0).otherwise(below("own", "following")).alias("near_next"))
+    rows = with_next(docs, text).withColumn("edit", edited(F.col("text"), F.col("next_text")))
+    for column, prefix in (("text", "own_"), ("edit", "edit_"), ("next_text", "next_")):
+        rows = with_tree(rows, column, prefix)
+    rows = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edit", 256).alias("edited_sha256"), F.col("own_root").alias("fingerprint"), F.col("edit_root").alias("edited_fingerprint"), *[nodes(p).alias(p) for p in ("own_", "edit_", "next_")])
+    return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("own_"), F.col("edit_")).alias("near_edited"), likeness(F.col("own_"), F.col("next_")).alias("near_next"))
+
+
+def _tree_sql(text: str, k: int) -> str:
+    return f"""
+l{k} AS (SELECT doc_id, list_transform(string_split({text}, chr(10)), lambda x: list_transform(regexp_extract_all(x, '{CLAUSE}'), lambda c: sha256(c))) AS c FROM e),
+p{k} AS (SELECT doc_id, c, list_transform(c, lambda x: sha256(array_to_string(x, ''))) AS p FROM l{k}),
+s{k} AS (SELECT doc_id, c, p, list_transform(range(0, (len(p) - 1) // 8 + 1), lambda i: sha256(array_to_string(p[i * 8 + 1 : i * 8 + 8], ''))) AS s FROM p{k}),
+n{k} AS (SELECT doc_id, sha256(array_to_string(s, '')) AS root, list_distinct(list_concat([sha256(array_to_string(s, ''))], list_concat(s, list_concat(p, flatten(c))))) AS nodes FROM s{k})"""
 
 
-#: The same in DuckDB.
-COMPARE_SQL = r"""
+#: The same in DuckDB, for tables of unique ids.
+COMPARE_SQL = f"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 n AS (SELECT doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id), first_value(text) OVER (ORDER BY doc_id)) AS next_text FROM t),
-e AS (SELECT *, substring(text, 1, length(text) - length(text) // 2) || substring(next_text, 1, length(text) // 2) AS edited FROM n),
-p AS (SELECT *, list_transform(string_split(text, chr(10)), lambda x: sha256(x)) AS p0, list_transform(string_split(edited, chr(10)), lambda x: sha256(x)) AS p1,
-  list_distinct(string_split_regex(text, '[.,;:!?]+[ \n]+|\n')) AS l0, list_distinct(string_split_regex(edited, '[.,;:!?]+[ \n]+|\n')) AS l1, list_distinct(string_split_regex(next_text, '[.,;:!?]+[ \n]+|\n')) AS l2 FROM e),
-r AS (SELECT *, sha256(array_to_string(list_transform(range(0, (len(p0) - 1) // 8 + 1), lambda i: sha256(array_to_string(p0[i * 8 + 1 : i * 8 + 8], ''))), '')) AS fingerprint,
-  sha256(array_to_string(list_transform(range(0, (len(p1) - 1) // 8 + 1), lambda i: sha256(array_to_string(p1[i * 8 + 1 : i * 8 + 8], ''))), '')) AS edited_fingerprint FROM p)
-SELECT doc_id, length(text) AS n_chars, sha256(edited) AS edited_sha256, fingerprint, edited_fingerprint,
-  CASE WHEN fingerprint = edited_fingerprint THEN 1.0::DOUBLE ELSE least((2.0::DOUBLE * len(list_intersect(l0, l1))) / (len(l0) + len(l1)), 0.999999::DOUBLE) END AS near_edited,
-  CASE WHEN text = next_text THEN 1.0::DOUBLE ELSE least((2.0::DOUBLE * len(list_intersect(l0, l2))) / (len(l0) + len(l2)), 0.999999::DOUBLE) END AS near_next
-FROM r
+e AS (SELECT *, substring(text, 1, length(text) - length(text) // 2) || substring(next_text, 1, length(text) // 2) AS edited FROM n),{_tree_sql("text", 0)},{_tree_sql("edited", 1)},{_tree_sql("next_text", 2)}
+SELECT e.doc_id, length(e.text) AS n_chars, sha256(e.edited) AS edited_sha256, n0.root AS fingerprint, n1.root AS edited_fingerprint,
+  (2.0::DOUBLE * len(list_intersect(n0.nodes, n1.nodes))) / (len(n0.nodes) + len(n1.nodes)) AS near_edited, (2.0::DOUBLE * len(list_intersect(n0.nodes, n2.nodes))) / (len(n0.nodes) + len(n2.nodes)) AS near_next
+FROM e JOIN n0 USING (doc_id) JOIN n1 USING (doc_id) JOIN n2 USING (doc_id)
 """

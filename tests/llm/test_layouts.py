@@ -140,6 +140,30 @@ def test_next_document_over_many_ranges(spark):
     got = {r["doc_id"]: r["next_text"] for r in merkle.with_next(df, chunk_rows=10).collect()}
     assert got == {i: f"t{ids[(k + 1) % len(ids)]}" for k, i in enumerate(ids)}
     assert re.fullmatch("t\\d+", got[ids[-1]])
+    far = spark.createDataFrame([(f"id{i:06d}", f"t{i}") for i in [*ids, 999_999]] + [(None, f"n{k}") for k in range(90)] + [("id000000", f"s{k}") for k in range(80)], "doc_id string, text string")
+    rows = merkle.with_next(far, chunk_rows=10)
+    assert rows.count() == len(ids) + 171 and sorted(r["next_text"] for r in rows.collect()) == sorted(r["text"] for r in far.collect())
+    got = {r["doc_id"]: r["next_text"] for r in rows.collect()}
+    assert all(got[f"id{i:06d}"] == f"t{j}" for i, j in zip(ids, ids[1:], strict=False) if i) and got["id999999"][0] == "n"
+
+
+def test_likeness_goes_through_the_tree(spark):
+    import hashlib as h
+
+    sha = lambda x: h.sha256(x.encode()).hexdigest()
+    rows = [(1, "One, two. Three\n\nFour; five!"), (2, "One, two. Three\n\nFour; six!"), (3, "two. One, Three\n\nFour; six!"), (4, ""), (5, None)]
+
+    def tree(text):
+        c = [[sha(x) for x in re.findall(merkle.CLAUSE, line)] for line in (text or "").split("\n")]
+        p = [sha("".join(x)) for x in c]
+        s = [sha("".join(p[k : k + 8])) for k in range(0, len(p), 8)]
+        return sha("".join(s)), {sha("".join(s)), *s, *p, *(y for x in c for y in x)}
+
+    got = {r["doc_id"]: r for r in merkle.compare_with_edit(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, (i, text) in enumerate(rows):
+        (a, x), (_, y) = tree(text), tree(rows[(k + 1) % 5][1])
+        assert got[i]["fingerprint"] == a and abs(got[i]["near_next"] - 2 * len(x & y) / (len(x) + len(y))) < 1e-12
+    assert 0 < got[2]["near_next"] < 1 and got[4]["near_next"] == 1.0
 
 
 def test_pipeline_runs(spark, tmp_path):
