@@ -99,18 +99,19 @@ def beta_moments(mean: Column, var: Column) -> tuple[Column, Column]:
     return mean * k, (1 - mean) * k
 
 
-# The polynomial of Abramowitz and Stegun 7.1.26 for the error function.
-ERF_P = 0.3275911
-ERF_A = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
+# Hart's rational approximation of the normal tail to double precision, lowest power first, and where its continued fraction takes over.
+TAIL_NUM = (220.206867912376, 221.213596169931, 112.079291497871, 33.912866078383, 6.37396220353165, 0.700383064443688, 0.0352624965998911)
+TAIL_DEN = (440.413735824752, 793.826512519948, 637.333633378831, 296.564248779674, 86.7807322029461, 16.064177579207, 1.75566716318264, 0.0883883476483184)
+TAIL_SPLIT = 7.07106781186547
 
 
 def normal_cdf(z: Column) -> Column:
-    """Standard normal distribution function, to 7e-8."""
-    x = F.abs(z) / F.lit(2.0**0.5)
-    t = 1.0 / (1.0 + ERF_P * x)
-    poly = reduce(lambda acc, a: acc * t + a, reversed(ERF_A[:-1]), F.lit(ERF_A[-1])) * t
-    erf = 1.0 - poly * F.exp(-x * x)
-    return F.when(z >= 0, 0.5 * (1.0 + erf)).otherwise(0.5 * (1.0 - erf))
+    """Standard normal distribution function, to 1e-14."""
+    x = F.abs(z.cast("double"))
+    horner = lambda cs: reduce(lambda acc, c: acc * x + c, reversed(cs[:-1]), F.lit(cs[-1]))
+    far = x + 1.0 / (x + 2.0 / (x + 3.0 / (x + 4.0 / (x + 0.65))))
+    tail = F.exp(-x * x / 2.0) * F.when(x < TAIL_SPLIT, horner(TAIL_NUM) / horner(TAIL_DEN)).otherwise(1.0 / (far * 2.506628274631))
+    return F.when(z > 0, 1.0 - tail).otherwise(tail)
 
 
 def normal_pdf(z: Column) -> Column:
@@ -153,7 +154,8 @@ def poisson_cdf(k: Column, mean: Column) -> Column:
 
 
 def local_to_utc(day: Column, clock: Column, zone: str = "America/New_York") -> Column:
-    return F.to_utc_timestamp(F.try_to_timestamp(F.concat_ws(" ", day.cast("string"), clock)), zone)
+    """The instant of a local day and clock; null where either is unknown or unreadable."""
+    return F.to_utc_timestamp(F.try_to_timestamp(F.concat(day.cast("string"), F.lit(" "), clock)), zone)
 
 
 def zone_offset_hours(at: Column, zone: str) -> Column:

@@ -278,10 +278,25 @@ def candidate_record(board: DataFrame, stamps: Mapping[str, Column]) -> DataFram
     return board.withColumns(dict(stamps)).withColumn("digest", F.sha2(F.to_json(F.struct("*")), 256))
 
 
-def outscored_on_bench(rows: DataFrame, roster: str, category: str) -> DataFrame:
+def outscored_on_bench(rows: DataFrame, roster: Sequence[str] | str, category: str) -> DataFrame:
     """Bench entities with more points than a starter of their category, and by how much at most."""
-    low = rows.where("slot IS NOT NULL").groupBy(roster, category).agg(F.min("points").alias("__low"))
-    return rows.where("slot IS NULL").join(low, [roster, category]).where(F.col("points") > F.col("__low")).withColumn("by", F.col("points") - F.col("__low")).drop("__low")
+    key = [*([roster] if isinstance(roster, str) else roster), category]
+    low = rows.where("slot IS NOT NULL").groupBy(*key).agg(F.min("points").alias("__low"))
+    return rows.where("slot IS NULL").join(low, key).where(F.col("points") > F.col("__low")).withColumn("by", F.col("points") - F.col("__low")).drop("__low")
+
+
+def game_day(lineup: DataFrame, states: DataFrame, roster: Sequence[str], category: str) -> DataFrame:
+    """Each roster on game day: starters, points of those whose game is final, those still to come, and bench entities that outscore a starter of their category.
+
+    ``states`` has the entity, what it shares of ``roster``, and ``state``.
+    """
+    key = [c for c in states.columns if c != "state"]
+    now = lineup.join(states, key, "left")
+    started = F.col("slot").isNotNull()
+    final = F.coalesce(F.col("state") == "final", F.lit(False))
+    bench = outscored_on_bench(lineup, [*roster], category).groupBy(*roster).agg(F.count(F.lit(1)).alias("outscored"))
+    per = now.groupBy(*roster).agg(F.count_if(started).alias("starters"), F.sum(F.when(started & final, F.col("points"))).alias("final_points"), F.count_if(started & ~final).alias("to_come"))
+    return per.join(bench, list(roster), "left").fillna(0, ["outscored"])
 
 
 def review(usage: DataFrame, rosters: DataFrame, mine, ros: DataFrame) -> dict[str, DataFrame]:

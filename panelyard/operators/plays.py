@@ -47,17 +47,24 @@ def is_deep(yards: int = 20) -> Column:
     return is_aimed_pass() & (F.col("air_yards") >= yards)
 
 
-# Words of soft-tissue injuries, and of reports that are no injury.
-SOFT_TISSUE = ("hamstring", "calf", "groin", "quad", "quadricep", "hip flexor", "soleus", "achilles")
-NOT_INJURED = ("rest", "not injury related", "personal", "illness", "coach")
+# Sites of muscle strains (whole words, and one phrase), and reports that are no injury (phrases, words, whole texts).
+SOFT_TISSUE = "hamstring hamstrings groin calf calves quad quads quadricep quadriceps thigh pectoral oblique abdomen abdominal adductor".split()
+SOFT_PHRASES = ("hip flexor",)
+NOT_INJURED = ("not injury related", "personal", "coach", "suspension", "decision", "travel", "inactive", "load management", "covid", "discipline", "illness")
+NOT_INJURED_WORDS = ("rest", "resting")
+NOT_INJURED_TEXTS = ("other", "nir")
 
 
 def is_soft_tissue(c: Column) -> Column:
-    return F.coalesce(F.lower(c).rlike("|".join(SOFT_TISSUE)), F.lit(False))
+    """A report that names a muscle strain, by whole words."""
+    return F.coalesce(F.lower(c).rlike(r"\b(?:" + "|".join(SOFT_TISSUE) + r")\b|" + "|".join(SOFT_PHRASES)), F.lit(False))
 
 
 def is_real_injury(c: Column) -> Column:
-    return F.coalesce((F.trim(c) != "") & ~F.lower(c).rlike("|".join(NOT_INJURED)), F.lit(False))
+    """A report that names an injury: not blank, and not a rest day, personal matter, decision, journey or illness."""
+    text = F.lower(F.trim(c))
+    other = text.isin("", *NOT_INJURED_TEXTS) | text.rlike("|".join(NOT_INJURED)) | text.rlike(r"\b(?:" + "|".join(NOT_INJURED_WORDS) + r")\b")
+    return F.coalesce(~other, F.lit(False))
 
 
 def on_reserve(status: Column, code: Column) -> Column:
@@ -232,3 +239,22 @@ def last_group_game(rows: DataFrame, entity: str, group: str, on: str, col: str)
     calendar = rows.select(group, on).distinct().withColumn("__before", F.lag(on).over(Window.partitionBy(group).orderBy(on)))
     was = rows.groupBy(entity, group, F.col(on).alias("__before")).agg(F.sum(col).alias("__v"))
     return rows.join(calendar, [group, on]).join(was, [entity, group, "__before"], "left").withColumn("last_game", F.when(F.col("__before").isNotNull(), F.coalesce("__v", F.lit(0)))).drop("__before", "__v")
+
+
+def run_kinds(plays: DataFrame, by: Sequence[str], goal_line: int = 5) -> DataFrame:
+    """Runs by situation: designed, scrambles, sneaks (designed, at most one yard to go, by the passer) and near the goal."""
+    kinds = {"designed": is_designed_run(), "scrambles": is_scramble(), "sneaks": is_designed_run() & (F.col("ydstogo") <= 1) & (F.col("rusher_id") == F.col("passer_id")), "goal_line": is_designed_run() & (F.col("yardline_100") <= goal_line)}
+    return plays.groupBy(*by).agg(*[F.count_if(F.coalesce(p, F.lit(False))).alias(k) for k, p in kinds.items()])
+
+
+def kicker_features(games: DataFrame, season: str, on: str) -> DataFrame:
+    """A kicker's own points per game and the team's tries per game before each game."""
+    own = as_of_sums(games, ["kicker", season], on, ["points"])
+    team = as_of_sums(games.groupBy("team", season, on).agg(F.sum("tries").alias("tries")), ["team", season], on, ["tries"]).select("team", season, on, F.when(F.col("games") > 0, F.col("tries_std") / F.col("games")).alias("team_tries"))
+    return own.join(team, ["team", season, on]).withColumn("own_ppg", F.when(F.col("games") > 0, F.col("points_std") / F.col("games")))
+
+
+def games_from_two(box: DataFrame, snaps: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Games an entity played by either source, with those that say so."""
+    both = box.select(*keys, F.lit(1).alias("__b"), F.lit(0).alias("__s")).unionByName(snaps.select(*keys, F.lit(0).alias("__b"), F.lit(1).alias("__s")))
+    return both.groupBy(*keys).agg(F.max("__b").alias("in_box"), F.max("__s").alias("in_snaps"))

@@ -22,15 +22,13 @@ from panelyard.sources import tables as A
 def NOW():
     return F.to_timestamp(F.lit("2024-01-15 12:00:00"))
 
-CDF = "(CASE WHEN {z} >= 0 THEN 0.5::DOUBLE * (1.0::DOUBLE + {e}) ELSE 0.5::DOUBLE * (1.0::DOUBLE - {e}) END)"
-
-
 def cdf_sql(z: str) -> str:
-    """The normal distribution function of ``scalars.normal_cdf`` as SQL."""
-    x = f"(abs({z}) / 1.4142135623730951::DOUBLE)"
-    t = f"(1.0::DOUBLE / (1.0::DOUBLE + 0.3275911::DOUBLE * {x}))"
-    poly = f"(((((1.061405429::DOUBLE * {t} + -1.453152027::DOUBLE) * {t} + 1.421413741::DOUBLE) * {t} + -0.284496736::DOUBLE) * {t} + 0.254829592::DOUBLE) * {t})"
-    return CDF.format(z=f"({z})", e=f"(1.0::DOUBLE - {poly} * exp(-{x} * {x}))")
+    """The normal distribution function in SQL, another way than ``scalars.normal_cdf``: a power series within three deviations, a continued fraction beyond."""
+    x = f"abs({z})::DOUBLE"
+    density = f"(exp(-{x} * {x} / 2) / sqrt(2 * pi()))"
+    series = f"{density} * list_sum(list_transform(range(0, 60), lambda k: pow({x}, 2 * k + 1) * exp(ln(pi()) / 2 - (k + 1) * ln(2.0::DOUBLE) - lgamma(k + 1.5::DOUBLE))))"
+    beyond = f"{density} / list_reduce(list_concat([greatest({x}, 3)], list_transform(range(80, 0, -1), lambda k: k::DOUBLE)), lambda a, k: greatest({x}, 3) + k / a)"
+    return f"(CASE WHEN {x} < 3 THEN 0.5::DOUBLE + sign({z}) * {series} WHEN {z} > 0 THEN 1 - {beyond} ELSE {beyond} END)"
 
 
 # ---------------------------------------------------------------- flagship
