@@ -82,7 +82,7 @@ def locate_edits(before: DataFrame, after: DataFrame) -> DataFrame:
     return named.where(~F.col("x.a").eqNullSafe(F.col("x.b"))).select("doc_id", "section", F.col("x.n").alias("paragraph"), change.alias("change"))
 
 
-def with_next(docs: DataFrame, text: str = "text", chunk_rows: int = 256, most_chunks: int = 65_536) -> DataFrame:
+def with_next(docs: DataFrame, text: str = "text", chunk_rows: int = 4_096, most_chunks: int = 32_768) -> DataFrame:
     """``doc_id``, ``text`` and ``next_text``, that of the next document by id (after the last: the first).
 
     Ids of any orderable type; null ids come first, and rows of one id are
@@ -92,7 +92,8 @@ def with_next(docs: DataFrame, text: str = "text", chunk_rows: int = 256, most_c
     the first row of a range also stands at the end of the range before: no
     global order is needed and every text is shuffled once. Of tables of more
     than ``chunk_rows`` times ``most_chunks`` rows the ranges grow; they are
-    sorted with spill and read as a stream. Only the bounds reach the driver.
+    sorted with spill and read as a stream. Only the bounds and Spark's sample for
+    them, 100 ids a range, reach the driver.
     """
     rows = docs.select("doc_id", F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("k", F.struct("doc_id", F.xxhash64("text").alias("h")))
     parts = max(1, min(most_chunks, docs.count() // chunk_rows))
