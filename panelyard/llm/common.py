@@ -108,6 +108,18 @@ def _model(key: str, held):
     return _models[key]
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct, whatever their names: so other columns may stand beside them."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns])
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns of a row, those that hold maps by their JSON."""
+    names = ["`" + c.replace("`", "``") + "`" for c in df.columns]
+    held = [F.to_json(F.struct(F.col(c))) if "map<" in kind else F.col(c) for c, (_, kind) in zip(names, df.dtypes, strict=True)]
+    return F.xxhash64(*held)
+
+
 def id_crc32(column: str = "doc_id") -> Column:
     """CRC-32 of the id written as text."""
     return F.crc32(F.col(column).cast("string").cast("binary"))

@@ -15,6 +15,8 @@ from panelyard.llm.common import connected_components, cut
 BOX = 8
 #: Rows of a tile.
 TILE = 1024
+#: Cosines this near the threshold are summed again by one routine.
+NEAR = 1e-12
 
 
 def usable(column: str) -> Column:
@@ -96,6 +98,11 @@ class Forest:
         return np.array([self.find(k) for k in range(lo, hi)], dtype=np.int64)
 
 
+def cosines(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Products of rows, always summed in the same order: decides pairs at the threshold."""
+    return np.einsum("ij,ij->i", x[i], y[j])
+
+
 def compare(x: np.ndarray, y: np.ndarray, wx: np.ndarray, wy: np.ndarray, threshold: float, same: bool):
     """Links between unit rows of ``x`` and ``y`` (in principal axes) with cosine >= ``threshold``.
 
@@ -129,7 +136,10 @@ def compare(x: np.ndarray, y: np.ndarray, wx: np.ndarray, wy: np.ndarray, thresh
             if not n:
                 continue
             if n > alive.size // 32:
-                hit = alive & (x[ax] @ y[by].T >= threshold)
+                dense = x[ax] @ y[by].T
+                hit = alive & (dense >= threshold)
+                i, j = np.nonzero(alive & (np.abs(dense - threshold) < NEAR))
+                hit[i, j] = cosines(x, y, i + a, j + b) >= threshold
                 if not hit.any():
                     continue
                 cx[ax] += hit @ wy[by]
@@ -147,6 +157,9 @@ def compare(x: np.ndarray, y: np.ndarray, wx: np.ndarray, wy: np.ndarray, thresh
             dot, done = np.zeros(len(i)), 0
             for c, (sx, sy) in zip(cuts, tails, strict=True):
                 dot = dot + np.einsum("ij,ij->i", x[i, done:c], y[j, done:c])
+                if c == width:
+                    close = np.abs(dot - threshold) < NEAR
+                    dot[close] = cosines(x, y, i[close], j[close])
                 stay = dot + (sx[i] * sy[j] if c < width else 0.0) >= threshold - (1e-9 if c < width else 0.0)
                 i, j, dot, done = i[stay], j[stay], dot[stay], c
             np.add.at(cx, i, wy[j])
@@ -162,9 +175,10 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", column: str = "embe
     All vectors of one length are compared with each other by cosine; vectors
     of other lengths, and those that are null, empty, zero or hold a null or
     non-finite component, link with nothing. Equal vectors are compared once
-    and counted as often as they occur. Ids are taken to be unique: rows that
-    share one are one node of the components. An empty table gives an empty
-    result.
+    and counted as often as they occur. Rows may share an id or have none: they
+    link by their vectors, and ``component_id`` is the smallest id of the
+    component that is not null (null if there is none). Other columns are
+    ignored, and an empty table gives an empty result.
 
     Distinct vectors are dealt to blocks: leaves of a kd-tree on the leading
     principal axes, large leaves cut by a hash. Two blocks meet in one task
@@ -172,28 +186,31 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", column: str = "embe
     task returns sums of links and a spanning forest, never its pairs. The
     sample and the leaves' counts and boxes are all that reaches the driver.
     """
-    kind = vectors.schema[key].dataType
     element = vectors.schema[column].dataType.elementType.simpleString()
     clean = F.transform(F.col(column), lambda v: F.when(v == 0, F.lit(0).cast(element)).otherwise(v))
     rows = vectors.select(F.col(key).alias("vec_id"), F.when(usable(column), clean).alias("v"))
     rows = rows.withColumn("h1", F.xxhash64("v")).withColumn("h2", F.hash("v"))
     good = rows.where("v IS NOT NULL")
-    distinct = cut(good.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("h1").alias("h1"), F.first("h2").alias("h2")), "embeddings")
+    distinct = good.groupBy("v").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("h1").alias("h1"), F.first("h2").alias("h2"))
+    # A vector is a node by its hashes, so ids may be null or repeat.
+    distinct = cut(distinct.withColumn("rep", F.concat_ws(":", "h1", "h2")), "embeddings")
     widths = [r[0] for r in distinct.select(F.size("v").alias("d")).distinct().collect()]
-    parts = [p for d in sorted(widths) if (p := _linked(distinct.where(F.size("v") == d), d, kind, threshold, block, sample)) is not None]
+    parts = [p for d in sorted(widths) if (p := _linked(distinct.where(F.size("v") == d), d, threshold, block, sample)) is not None]
     if not parts:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     found = cut(reduce(DataFrame.union, parts), "embedding-links")
     counts = found.where("other IS NULL").groupBy("h1", "h2").agg(F.sum("n").alias("more"))
     comps = connected_components(found.where("other IS NOT NULL").select(F.col("rep").alias("src"), F.col("other").alias("dst")), "embedding-components")
-    every = distinct.select("rep", "n", "h1", "h2").join(counts, ["h1", "h2"], "left").join(comps, F.col("rep") == F.col("node"), "left")
-    every = every.select("h1", "h2", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    members = comps.join(distinct.select(F.col("rep").alias("node"), "least"), "node")
+    members = members.join(members.groupBy("component").agg(F.min("least").alias("first")), "component").select(F.col("node").alias("rep"), "first")
+    every = distinct.select("rep", "least", "n", "h1", "h2").join(counts, ["h1", "h2"], "left").join(members, "rep", "left")
+    every = every.select("h1", "h2", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("first", "least").alias("component_id"))
     lone = rows.where("v IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = good.select("vec_id", "h1", "h2").join(every, ["h1", "h2"]).select("vec_id", "n_links", "component_id").union(lone)
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
-def _linked(distinct: DataFrame, width: int, kind, threshold: float, block: int, sample: int) -> DataFrame | None:
+def _linked(distinct: DataFrame, width: int, threshold: float, block: int, sample: int) -> DataFrame | None:
     """Sums of linked weights (``other`` null) and forest edges (``rep``, ``other``) of vectors of one length."""
     n = distinct.count()
     if n < 2:
@@ -201,7 +218,7 @@ def _linked(distinct: DataFrame, width: int, kind, threshold: float, block: int,
     share = min(1.0, sample / n)
     some = distinct.where(F.pmod("h1", F.lit(2**31)) < int(share * 2**31) + 1).select("v").limit(2 * sample).toArrow()
     frame = Frame(matrix(some.column("v"), width), -(-n // block)) if some.num_rows else Frame(np.eye(width), 1)
-    lead, name = min(BOX, width), kind.simpleString()
+    lead, name = min(BOX, width), "string"
 
     def place(batches):
         for batch in batches:

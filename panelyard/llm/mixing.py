@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelyard.llm.common import cut, whole_row
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -78,13 +80,14 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), total: float = 1.
     null or repeated id are documents like any other. No document is taken more
     than ceil(``most``) times. An empty table gives an empty result.
     """
-    sizes = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(text).alias("size"))
+    # Words are counted once: what follows reads ids, sources and sizes alone.
+    sizes = cut(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(text).alias("size")), "mix-sizes")
     return copies(sizes, source_targets(sizes, weights, total, most))
 
 
 def take(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), total: float = 1.5, most: float = 2.0) -> DataFrame:
     """The rows of ``docs`` as the mix takes them: left out, once, or repeated; all columns as they were."""
-    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count().alias("size"), F.struct(*docs.columns).alias("__row"))
+    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count().alias("size"), whole_row(docs).alias("__row"))
     out = copies(sized, source_targets(sized.select("source", "size"), weights, total, most)).where("copies > 0")
     return out.select("__row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("__row.*")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelyard.llm.common import connected_components, cut, map_arrow
+from panelyard.llm.common import connected_components, cut, map_arrow, row_hash, whole_row
 
 BITS = 64
 
@@ -236,9 +236,9 @@ def one_of_each(docs: DataFrame, node: Column, roots: DataFrame) -> DataFrame:
     component. The least is found on ids and hashes alone, so a large group is
     pre-aggregated before it moves, and whole rows are joined to it afterwards.
     """
-    keys = ["__n", "__missing", "__id", "__h"]
-    rows = docs.withColumns({"__n": node, "__missing": F.col("doc_id").isNull(), "__id": F.coalesce(F.xxhash64("doc_id"), F.lit(0)), "__h": F.xxhash64(*docs.columns)})
-    labelled = rows.select(*keys, "doc_id").join(roots.select(F.col("node").alias("__n"), "component"), "__n", "left").withColumn("__root", F.coalesce("component", "__n")).withColumn("__alone", F.col("component").isNull())
-    least = labelled.groupBy("__alone", "__root").agg(F.min(F.struct("__missing", "doc_id", "__h", "__n", "__id")).alias("m")).select(*[F.col(f"m.{k}").alias(k) for k in keys])
-    row = F.struct(*docs.columns)
-    return rows.join(least, keys, "left_semi").groupBy(*keys).agg(F.first(row).alias("__row")).select(*[F.col(f"__row.{c}").alias(c) for c in docs.columns])
+    keys = ["n", "missing", "id", "h"]
+    doc = F.col("doc_id")
+    rows = docs.select(whole_row(docs).alias("whole"), doc.alias("doc"), node.alias("n"), doc.isNull().alias("missing"), F.coalesce(F.xxhash64(doc), F.lit(0)).alias("id"), row_hash(docs).alias("h"))
+    labelled = rows.select(*keys, "doc").join(roots.select(F.col("node").alias("n"), "component"), "n", "left").withColumn("root", F.coalesce("component", "n")).withColumn("alone", F.col("component").isNull())
+    least = labelled.groupBy("alone", "root").agg(F.min(F.struct("missing", "doc", "h", "n", "id")).alias("m")).select(*[F.col(f"m.{k}").alias(k) for k in keys])
+    return rows.join(least, keys, "left_semi").groupBy(*keys).agg(F.first("whole").alias("whole")).select("whole.*")

@@ -7,6 +7,7 @@ import hashlib
 import re
 import uuid
 import zlib
+from urllib.parse import unquote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -19,6 +20,8 @@ from panelyard.llm.common import cut, scratch_path, text_batches
 LEAST_REVISIT = 100
 #: Bytes of an archive file, and captures in a compressed index block.
 FILE_BYTES, BLOCK_LINES = 1 << 28, 512
+#: Captures of an index part, where that gives more parts than a shuffle has: bounds the directory that a task holds.
+PART_LINES = 131_072
 _NAMES = uuid.UUID("6ba7b812-9dad-11d1-80b4-00c04fd430c8")
 
 
@@ -50,6 +53,14 @@ def decide(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFr
     return rows.withColumn("record_type", F.when(again, "revisit").otherwise("response")).withColumn("refers_to", F.when(again, F.col("__first"))).drop("__first")
 
 
+def _escaped(value) -> str:
+    return re.sub(r"[\x00-\x20%\x7f]", lambda m: f"%{ord(m[0]):02X}", str(value))
+
+
+def _plain(value: str | None) -> str | None:
+    return None if value is None else unquote(value, errors="surrogatepass")
+
+
 def record(page_id, url, html: str | None, digest: str, revisit_of, date: str) -> bytes:
     """One WARC/1.1 record, uncompressed. A revisit keeps the headers of its response and no payload."""
     payload = (html or "").encode("utf-8", "surrogatepass")
@@ -58,9 +69,11 @@ def record(page_id, url, html: str | None, digest: str, revisit_of, date: str) -
     head = [("WARC-Type", "response" if revisit_of is None else "revisit"), ("WARC-Record-ID", ident(page_id)), ("WARC-Date", date)]
     if url is not None:
         head.append(("WARC-Target-URI", re.sub(r"[\x00-\x20]", lambda m: f"%{ord(m[0]):02X}", url)))
-    head += [("Content-Type", "application/http;msgtype=response"), ("WARC-Payload-Digest", f"sha256:{digest}"), ("WARC-Page-ID", "" if page_id is None else str(page_id))]
+    head += [("Content-Type", "application/http;msgtype=response"), ("WARC-Payload-Digest", f"sha256:{digest}")]
+    if page_id is not None:
+        head.append(("WARC-Page-ID", _escaped(page_id)))
     if revisit_of is not None:
-        head += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", ident(revisit_of)), ("WARC-Refers-To-Page-ID", str(revisit_of))]
+        head += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", ident(revisit_of)), ("WARC-Refers-To-Page-ID", _escaped(revisit_of))]
         payload = b""
     head.append(("Content-Length", str(len(http) + len(payload))))
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode("utf-8", "surrogatepass") + b"\r\n" + http + payload + b"\r\n\r\n"
@@ -116,7 +129,7 @@ def build_index(captures: DataFrame, folder: str, parts: int | None = None) -> D
     ``length`` and its place (``part``, ``seq``).
     """
     spark = captures.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-captures.count() // PART_LINES))
     ordered = captures.repartitionByRange(parts, "cap_key", "file", "offset").sortWithinPartitions("cap_key", "file", "offset")
 
     def run(batches):
@@ -175,20 +188,29 @@ def lookup(keys: DataFrame, directory: DataFrame, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ks, pa.string()), pa.array(ps, pa.int32())], names=["cap_key", "part"])
 
     wanted = keys.select("cap_key").mapInArrow(to_parts, "cap_key string, part int")
-
-    def to_blocks(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        d = right.sort_by("seq").to_pydict()
-        starts, ends = [x.encode("utf-8", "surrogatepass") for x in d["first"]], [x.encode("utf-8", "surrogatepass") for x in d["last"]]
-        out = {"cap_key": [], "file": [], "offset": [], "length": []}
-        for k in left.column("cap_key").to_pylist():
-            b = k.encode("utf-8", "surrogatepass")
-            for p in range(bisect.bisect_left(ends, b), bisect.bisect_right(starts, b)):
-                for c, v in zip(out.values(), (k, d["file"][p], d["offset"][p], d["length"][p]), strict=True):
-                    c.append(v)
-        return pa.table([pa.array(out["cap_key"], pa.string()), pa.array(out["file"], pa.string()), pa.array(out["offset"], pa.int64()), pa.array(out["length"], pa.int64())], names=list(out))
-
-    found = wanted.groupBy("part").cogroup(directory.select("first", "last", "file", "offset", "length", "part", "seq").groupBy("part")).applyInArrow(to_blocks, "cap_key string, file string, offset long, length long")
+    # The directory of a part comes before the keys that are sought in it; only that much is held at a time.
+    entries = directory.select("part", "seq", "first", "last", "file", "offset", "length", F.lit(None).cast("string").alias("cap_key"))
+    both = entries.unionByName(wanted, allowMissingColumns=True)
     width = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = both.repartition(width, "part").sortWithinPartitions("part", F.col("seq").asc_nulls_last())
+
+    def to_blocks(batches):
+        now, starts, ends, places = None, [], [], []
+        for batch in text_batches(batches, 4096):
+            out = [], [], [], []
+            for part, _, first, last, file, offset, length, k in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != now:
+                    now, starts, ends, places = part, [], [], []
+                if k is None:
+                    starts.append(first.encode("utf-8", "surrogatepass")), ends.append(last.encode("utf-8", "surrogatepass")), places.append((file, offset, length))
+                    continue
+                b = k.encode("utf-8", "surrogatepass")
+                for p in range(bisect.bisect_left(ends, b), bisect.bisect_right(starts, b)):
+                    for c, v in zip(out, (k, *places[p]), strict=True):
+                        c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64())], names=["cap_key", "file", "offset", "length"])
+
+    found = both.mapInArrow(to_blocks, "cap_key string, file string, offset long, length long")
     dealt = found.repartition(width, "file", "offset").sortWithinPartitions("file", "offset", "cap_key")
 
     def to_captures(batches):
@@ -234,8 +256,7 @@ def read_records(captures: DataFrame, folder: str, kind: str = "bigint") -> Data
                 digest, revisit = head["WARC-Payload-Digest"].removeprefix("sha256:"), head["WARC-Type"] == "revisit"
                 if not revisit and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
                     raise ValueError(f"record at {f}:{o} is damaged")
-                page = head["WARC-Page-ID"]
-                rows.append((page or None, head.get("WARC-Target-URI"), size, digest, head["WARC-Type"], head.get("WARC-Refers-To-Page-ID"), None if revisit else payload))
+                rows.append((_plain(head.get("WARC-Page-ID")), head.get("WARC-Target-URI"), size, digest, head["WARC-Type"], _plain(head.get("WARC-Refers-To-Page-ID")), None if revisit else payload))
             c = list(zip(*rows, strict=True)) or [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.string()), pa.array(c[1], pa.string()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.string()), pa.array(c[4], pa.string()), pa.array(c[5], pa.string()), pa.array(c[6], pa.binary())], names=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
 

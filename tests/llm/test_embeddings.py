@@ -47,3 +47,10 @@ def test_empty_and_unusable_tables(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert embeddings.near_duplicates(empty).count() == 0
     check(spark, [(1, None), (2, [0.0])])
+
+
+def test_null_and_repeated_ids_link_by_their_vectors(spark):
+    near = [[1.0, 0.0], [0.97, 0.2431], [0.8829, 0.4695], [-1.0, 0.0]]
+    rows = [(1, near[0], "x"), (None, near[1], "x"), (3, near[2], "x"), (7, near[3], "x"), (7, near[1], "x"), (None, [0.0, 0.0], "x")]
+    got = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, rep string")).collect()
+    assert sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"])) for r in got) == sorted([("1", 2, "1"), ("None", 3, "1"), ("3", 2, "1"), ("7", 0, "7"), ("7", 3, "1"), ("None", 0, "None")])

@@ -36,6 +36,8 @@ def test_mix_meets_targets(spark, docs, nothing):
     assert mixing.mix(nothing).count() == 0
     out = mixing.take(docs)
     assert out.columns == docs.columns and out.count() == sum(r["copies"] for r in edge)
+    odd = docs.withColumns({"a.b": F.lit(1), "m": F.create_map(F.lit("k"), "h"), "__row": F.lit("r")})
+    assert mixing.take(odd).columns == odd.columns and mixing.take(odd).count() == out.count()
 
 
 def whole(pieces, docs_tokens, length=2048):
@@ -101,7 +103,7 @@ def test_warc_round_trip(spark):
     big = "<p>" + "x" * 300
     rows = [(1, "http://b.example.com/x y", big), (2, "http://a.example.com", big), (3, None, None), (4, "http://a.example.com", "ü" * 40), (5, "http://a.example.com", "ü" * 40), (6, "HTTPS://u@Ex.org:8/p?q#f", "ü" * 60), (7, "x", ""), (8, "http://a.example.com\n", big)]
     rows += [(k, f"http://h{k % 7}.example.net/{k}", f"page {k % 50} " * 30) for k in range(100, 1700)]
-    pages = spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, payload_digest string").drop("payload_digest")
+    pages = spark.createDataFrame([(*r, "z", 7, "k") for r in rows], "page_id long, url string, html string, payload_digest string, part int, cap_key string")
     got = {r["page_id"]: r for r in warc.round_trip(pages).collect()}
     assert len(got) == len(rows)
     first = {}
@@ -112,6 +114,9 @@ def test_warc_round_trip(spark):
         assert (r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) == (len(data), hashlib.sha256(data).hexdigest(), "response" if own == k else "revisit", None if own == k else own)
         assert own != k or bytes(r["payload"]) == data
     assert warc.round_trip(pages.where("false")).count() == 0
+    odd = spark.createDataFrame([("", "http://a", big), (None, "http://a", big), ("a b%\n", None, "ü" * 60), ("a b%\n", None, "ü" * 60), ("z", "http://a", big)], "page_id string, url string, html string")
+    back = sorted(((r["page_id"], r["record_type"], r["refers_to"]) for r in warc.round_trip(odd).collect()), key=str)
+    assert back == sorted([("", "response", None), (None, "revisit", ""), ("a b%\n", "response", None), ("a b%\n", "response", None), ("z", "revisit", "")], key=str)
     assert warc.capture_key("https://blog.Example.com:81/a?b#c") == "com,example,blog:81)/a?b" and warc.capture_key(None) == ""
 
 

@@ -96,3 +96,11 @@ def test_keep_one_drops_every_copy_of_five_word_similarity(spark):
 def test_components_of_a_long_chain(spark):
     edges = spark.range(1, 60).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
     assert {r["component"] for r in connected_components(edges).collect()} == {1}
+
+
+def test_one_row_of_each_group_whatever_the_columns(spark, docs):
+    odd = docs.withColumns({"a.b": F.lit(1), "m": F.create_map(F.lit("k"), "h"), "__k": F.lit("mine"), "n": F.lit(2), "id": F.lit(3), "doc": F.lit(4), "whole": F.lit(5)})
+    got = simhash.keep_one(odd)
+    assert got.columns == odd.columns
+    rows = got.collect()
+    assert sorted(str(r["doc_id"]) for r in rows) == sorted(str(r["doc_id"]) for r in simhash.keep_one(docs).collect()) and all(r["__k"] == "mine" for r in rows)
