@@ -22,8 +22,12 @@ def _is_folder(t: Tables) -> bool:
 
 
 def place(t: Tables) -> tuple[str, str]:
-    """New output and checkpoint folders beside the session's checkpoints, or in a temporary folder where none are set."""
-    root = t.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="panelyard-")
+    """New output and checkpoint folders beside the session's checkpoints; in local mode, where none are set, in a temporary folder."""
+    root = t.spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not t.spark.sparkContext.master.startswith("local[") and t.spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="panelyard-")
     name = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
     return f"{name}/out", f"{name}/check"
 
