@@ -87,10 +87,12 @@ def pairs_over(df: DataFrame, systems: Sequence[str], actual: str, by: Sequence[
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str]) -> DataFrame:
     """Rank correlation with average ranks, by group."""
     both = df.dropna(subset=[x, y])
-    rank = lambda c: F.rank().over(Window.partitionBy(*by).orderBy(c)) * 2 + F.count(F.lit(1)).over(Window.partitionBy(*by, c)) - 1  # noqa: E731  twice the average rank
     from panelyard.operators.estimators import simple_fit
+    from panelyard.operators.panels import ranks
 
-    return simple_fit(both.withColumn("__a", rank(x)).withColumn("__b", rank(y)), by, "__a", "__b").select(*by, F.col("n").cast("long").alias("n"), F.col("r").alias("rho"))
+    both = ranks(ranks(both, by, F.col(x), "__a"), by, F.col(y), "__b")
+    twice = lambda r, c: F.col(r) * 2 + F.count(F.lit(1)).over(Window.partitionBy(*by, c)) - 1  # noqa: E731  twice the average rank
+    return simple_fit(both.withColumn("__a", twice("__a", x)).withColumn("__b", twice("__b", y)), by, "__a", "__b").select(*by, F.col("n").cast("long").alias("n"), F.col("r").alias("rho"))
 
 
 def probability_scores(df: DataFrame, p: str, won: str, by: Sequence[str] = ()) -> DataFrame:
@@ -150,10 +152,12 @@ def reconcile(a: DataFrame, b: DataFrame, key: Sequence[str], x: str, y: str, ne
 
 
 def ranked_above(mine: DataFrame, free: DataFrame, category: str, rank: str, entity: str) -> DataFrame:
-    """For each of mine, how many free ones of its category rank above it: one window over both, no pairs."""
+    """For each of mine, how many free ones of its category rank above it: one order over both, no pairs and no category in one task."""
+    from panelyard.operators.panels import running_sums
+
     both = mine.select(category, rank, entity, F.lit(0).alias("__free")).unionByName(free.select(category, rank, entity, F.lit(1).alias("__free")))
-    w = Window.partitionBy(category).orderBy(rank).rangeBetween(Window.unboundedPreceding, -1)
-    return both.withColumn("above", F.coalesce(F.sum("__free").over(w), F.lit(0))).where("__free = 0").select(category, entity, rank, "above")
+    # Of equal ranks mine come first, so free ones of the same rank are not above them.
+    return running_sums(both, [category], F.col(rank), ["__free"], {"above": F.col("__free")}).where("__free = 0").select(category, entity, rank, "above")
 
 
 def band_table(df: DataFrame, band: Column, systems: Sequence[str], actual: str) -> DataFrame:

@@ -6,7 +6,7 @@ a feature of a period reads earlier periods only.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -228,10 +228,49 @@ def replacement_level(df: DataFrame, category: str, value: str, entity: str, sta
     second pass, so its one window holds at most the rows that could start.
     """
     need = F.coalesce(*[F.when(F.col(category) == k, F.lit(n)) for k, n in starters.items()], F.lit(0))
-    w = Window.partitionBy(category).orderBy(F.desc(value), entity)
-    ranked = df.withColumn("cat_rank", F.row_number().over(w)).withColumn("need", need)
+    ranked = ranks(df, [category], -F.col(value), "cat_rank", [entity]).withColumn("need", need)
     pool = ranked.where((F.col("cat_rank") > F.col("need")) & (F.col("cat_rank") <= F.col("need") + flex_slots) & F.col(category).isin(*flex))
     flexed = pool.orderBy(F.desc(value), entity).limit(flex_slots).groupBy(category).agg(F.count(F.lit(1)).alias("flexed"))
     left = ranked.join(flexed, category, "left").withColumn("starts", F.col("cat_rank") <= F.col("need") + F.coalesce("flexed", F.lit(0)))
     level = left.where(~F.col("starts")).groupBy(category).agg(F.max(value).alias("replacement"))
     return left.join(level, category, "left").withColumn("over_replacement", F.col(value) - F.col("replacement")).drop("need", "flexed")
+
+
+# ---- orders within groups that may be large
+
+
+def ranged(rows: DataFrame, by: Keys, order: Column, chunks: int = 64) -> DataFrame:
+    """Adds ``__o`` (the order) and ``__chunk``: ranges of like row count of each group, in order.
+
+    Equal values share a range. The cuts are one short array a group.
+    """
+    rows = rows.withColumn("__o", order)
+    cuts = rows.groupBy(*by).agg(F.percentile_approx("__o", [k / chunks for k in range(1, chunks)], 10_000).alias("__cuts"))
+    return rows.join(cuts, list(by), "left").withColumn("__chunk", F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.col("__o"))), F.lit(0))).drop("__cuts")
+
+
+def running_sums(rows: DataFrame, by: Keys, order: Column, tie: Keys, sums: Mapping[str, Column]) -> DataFrame:
+    """Sums over the rows before each one of its group, in ascending order of ``order`` and ``tie``.
+
+    A window in each range of a group, plus the totals of the ranges before it:
+    no group is one task's, however large.
+    """
+    r = ranged(rows.withColumns({f"__v_{k}": v for k, v in sums.items()}), by, order)
+    inside = Window.partitionBy(*by, "__chunk").orderBy("__o", *tie).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*by).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)  # rows: the ranges of a group
+    totals = r.groupBy(*by, "__chunk").agg(*[F.sum(f"__v_{k}").alias(f"__t_{k}") for k in sums])
+    totals = totals.select(*by, "__chunk", *[F.sum(f"__t_{k}").over(before).alias(f"__b_{k}") for k in sums])
+    r = r.withColumns({k: F.sum(f"__v_{k}").over(inside) for k in sums}).join(totals, [*by, "__chunk"])
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return r.withColumns({k: zero(k) + zero(f"__b_{k}") for k in sums}).drop("__o", "__chunk", *[f"__{x}_{k}" for k in sums for x in "vb"])
+
+
+def ranks(rows: DataFrame, by: Keys, order: Column, name: str, tie: Keys = ()) -> DataFrame:
+    """The rank of each row in its group, ascending: with ``tie`` every row its own, without equal values one."""
+    r = ranged(rows, by, order)
+    w = Window.partitionBy(*by, "__chunk").orderBy("__o", *tie)
+    before = Window.partitionBy(*by).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)  # rows: the ranges of a group
+    totals = r.groupBy(*by, "__chunk").agg(F.count(F.lit(1)).alias("__rank_total"))
+    totals = totals.select(*by, "__chunk", F.coalesce(F.sum("__rank_total").over(before), F.lit(0)).alias("__rank_before"))
+    own = F.row_number().over(w) if tie else F.rank().over(w)
+    return r.withColumn(name, own).join(totals, [*by, "__chunk"]).withColumn(name, F.col(name) + F.col("__rank_before")).drop("__o", "__chunk", "__rank_before")

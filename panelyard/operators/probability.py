@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelyard.functions.scalars import leverage, normal_cdf, normal_pdf, win_probability
+from panelyard.operators.panels import running_sums
 
 
 def matchups(starters: DataFrame, matchup: str, side: str, mean: str, spread: str) -> DataFrame:
@@ -127,9 +128,8 @@ def dealt(rows: DataFrame, reps: int, seed: int, category: str, rank: str, group
 
 def best_still_there(players: DataFrame, category: str, value: str, survives: str) -> DataFrame:
     """Expected value of the best one left in each category: each value times its survival and the loss of all above it."""
-    w = Window.partitionBy(category).orderBy(F.desc(value), "entity").rowsBetween(Window.unboundedPreceding, -1)
-    gone = F.coalesce(F.exp(F.sum(F.log(F.greatest(1 - F.col(survives), F.lit(1e-300)))).over(w)), F.lit(1.0))
-    return players.withColumn("__e", F.col(value) * F.col(survives) * gone).groupBy(category).agg(F.sum("__e").alias("expected_best"))
+    lost = running_sums(players, [category], -F.col(value), ["entity"], {"__gone": F.log(F.greatest(1 - F.col(survives), F.lit(1e-300)))})
+    return lost.withColumn("__e", F.col(value) * F.col(survives) * F.exp("__gone")).groupBy(category).agg(F.sum("__e").alias("expected_best"))
 
 
 def completion(counts: DataFrame, needs: dict[str, int], left: str) -> DataFrame:

@@ -478,3 +478,59 @@ def k14(t: Tables):
     q = t.lineitem.select(c("l_orderkey").alias("event_id"), (c("l_suppkey") % 7).cast("int").alias("book"), F.lit(1).alias("market"), (c("l_partkey") % 3).cast("int").alias("player"), F.when(c("l_returnflag") == "R", "Under").otherwise("Over").alias("side"), F.floor(c("l_quantity") / 10).cast("int").alias("point"), (F.when(c("l_linestatus") == "O", 100).otherwise(-100) * (1.0 + c("l_discount") * 10)).alias("price"))
     view, _ = B.market_view(q)
     return view.select("event_id", "player", c("line").cast("double").alias("line"), F.round("p_over", 8).alias("p_over"), "books")
+
+
+@query("m15_matchup_slopes", """
+WITH r AS (SELECT cat, qty::DOUBLE AS x, lead(pts) OVER (PARTITION BY entity ORDER BY t)::DOUBLE AS y FROM facts), s AS (SELECT cat, count(*) AS n, avg(x) AS m, avg(y) AS my, sum(x * x) - count(*) * avg(x) ** 2 AS sxx, sum(x * y) - count(*) * avg(x) * avg(y) AS sxy FROM r WHERE y IS NOT NULL GROUP BY cat)
+SELECT cat, round(sxy / (sxx + 5 * sxx / (n - 1)), 6) AS slope FROM s""")
+def m15(t: Tables):
+    from panelyard.operators.estimators import ridge_fit
+
+    rows = t.facts.withColumn("y", F.lead("pts").over(Window.partitionBy("entity").orderBy("t"))).where("y IS NOT NULL")
+    return M.matchup_slopes(ridge_fit(rows, ["cat"], ["qty"], "y"), "qty").select("cat", F.round("slope", 6).alias("slope"))
+
+
+@query("m21_log_rank_residuals", """
+WITH f AS (SELECT cat, season, entity, t, pts::DOUBLE AS y, ln(entity % 40 + 1) AS x FROM facts), s AS (SELECT cat, season, count(*)::DOUBLE AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS xx, sum(x * y) AS xy FROM f GROUP BY ALL),
+r AS (SELECT cat, season, sum(n) OVER w - n AS n, sum(sx) OVER w - sx AS sx, sum(sy) OVER w - sy AS sy, sum(xx) OVER w - xx AS xx, sum(xy) OVER w - xy AS xy FROM s WINDOW w AS (PARTITION BY cat)), l AS (SELECT cat, season, (n * xy - sx * sy) / (n * xx - sx * sx) AS b, n, sx, sy FROM r)
+SELECT entity, t, round(y - (sy - b * sx) / n - b * x, 5) AS residual FROM f JOIN l USING (cat, season)""")
+def m21(t: Tables):
+    f = t.facts.select("cat", "season", "entity", "t", F.col("pts").cast("double").alias("y"), (F.col("entity") % 40 + 1).alias("rank"))
+    return M.log_rank_residuals(f, "cat", "rank", "y", "season").select("entity", "t", F.round("residual", 5).alias("residual"))
+
+
+@query("m31_composed_models", "SELECT entity, t, round(10 + 0.5::DOUBLE * (3 + 2 * qty + 7 * lines), 6) AS value FROM facts")
+def m31(t: Tables):
+    w = M.composed({"(1)": 3.0, "qty": 2.0, "lines": 7.0}, 10.0, 0.5)
+    return t.facts.select("entity", "t", F.round(sum((F.lit(v) * F.col(k) for k, v in w.items() if k != "(1)"), F.lit(w["(1)"])), 6).alias("value"))
+
+
+@query("p3_live_checkpoints", PROJ + f""", r AS (SELECT t, (grp // 2)::INT AS game, (grp % 2)::INT AS side, sum(qty * f + (1 - f) * sys_mean) AS m, sum(greatest(sqrt(1 - f) * (3 + 0.3::DOUBLE * sys_mean), 1e-6) ** 2) AS v, f FROM (SELECT pj.*, facts.qty FROM pj JOIN facts USING (entity, t)), (VALUES (0.25::DOUBLE), (0.75::DOUBLE)) c(f) WHERE sys_mean IS NOT NULL GROUP BY ALL),
+z AS (SELECT a.t, a.game, a.f, (a.m - b.m) / sqrt(a.v + b.v) AS z FROM r a JOIN r b ON a.t = b.t AND a.game = b.game AND a.f = b.f AND a.side = 0 AND b.side = 1)
+SELECT t * 100 + game AS matchup, f AS done, round({cdf_sql("z")}, 7) AS p_a FROM z""")
+def p3(t: Tables):
+    p = projections(t).where("sys_mean IS NOT NULL").join(t.facts.select("entity", "t", "qty"), ["entity", "t"]).withColumn("done", F.explode(F.array(F.lit(0.25), F.lit(0.75))))
+    rows = p.select((F.col("t") * 100 + F.floor(F.col("grp") / 2)).alias("matchup"), (F.col("grp") % 2).alias("side"), "done", (F.col("qty") * F.col("done")).alias("now"), F.col("sys_mean").alias("proj"), (1 - F.col("done")).alias("f"), F.lit(3.0).alias("a"), F.lit(0.3).alias("b"), F.lit(1.0).alias("g"))
+    return V.live_win_probability(rows, "matchup", "side", "done").select("matchup", "done", F.round("p_a", 7).alias("p_a"))
+
+
+@query("p20_completion", "SELECT grp, season, a, b, greatest(12 - a, 0) + greatest(9 - b, 0) AS missing, greatest(12 - a, 0) + greatest(9 - b, 0) <= picks AS feasible FROM (SELECT grp, season, count(DISTINCT entity) FILTER (WHERE cat = 'BUILDING') AS a, count(DISTINCT entity) FILTER (WHERE cat = 'MACHINERY') AS b, (grp % 6)::INT AS picks FROM facts GROUP BY ALL)")
+def p20(t: Tables):
+    c = t.facts.groupBy("grp", "season").agg(F.countDistinct(F.when(F.col("cat") == "BUILDING", F.col("entity"))).alias("a"), F.countDistinct(F.when(F.col("cat") == "MACHINERY", F.col("entity"))).alias("b")).withColumn("picks", (F.col("grp") % 6).cast("int"))
+    return V.completion(c, {"a": 12, "b": 9}, "picks").drop("picks")
+
+
+@query("e7_planted_leak", "SELECT entity, t FROM (SELECT entity, t, max(pts) OVER (PARTITION BY entity) AS a, max(CASE WHEN t <= 23955 THEN pts END) OVER (PARTITION BY entity) AS b FROM facts) WHERE t <= 23955 AND a <> b")
+def e7(t: Tables):
+    """A builder that looks ahead is found, with every row that it spoils."""
+    from panelyard.operators.features import leak_rows
+
+    build = lambda f: f.withColumn("best", F.max("pts").over(Window.partitionBy("entity"))).select("entity", "t", "best")
+    return leak_rows(build, t.facts.select("entity", "t", "pts"), "t", 23955, ["entity", "t"])
+
+
+@query("e27_found_differences", "SELECT (SELECT count(*) FROM facts) AS rows_compared, (SELECT count(*) FROM facts WHERE returns > 3) AS on_one_side, 7 * (SELECT max(lines) FROM facts WHERE returns <= 3)::DOUBLE AS largest_gap, false AS same")
+def e27(t: Tables):
+    """A stored table that lacks rows and differs in the rest is told apart."""
+    f = t.facts.select("entity", "t", "returns", F.col("pts").cast("double").alias("pts"), "lines")
+    return R.reproduced(f.where("returns <= 3").select("entity", "t", (F.col("pts") + 7 * F.col("lines")).alias("pts")), f.select("entity", "t", "pts"), ["entity", "t"], "pts", 0.5)

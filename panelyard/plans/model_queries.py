@@ -49,8 +49,8 @@ def flagship(t: Tables):
     w = Window.partitionBy("season").orderBy("period").rowsBetween(Window.unboundedPreceding, -1)
     league = per.select("season", "period", (F.sum("s").over(w) / F.sum("n").over(w)).alias("mean")).where("mean IS NOT NULL")
     p = own.join(league, ["season", "period"]).withColumn("projection", S.eb_shrink(F.coalesce("pts_std", F.lit(0)), F.col("games"), F.col("mean"), 4.0))
-    place = F.rank().over(Window.partitionBy("cat", "season", "period").orderBy(F.desc("projection")))
-    return p.select("entity", "cat", "season", "period", "pts", F.round("projection", 6).alias("projection"), place.alias("place"), F.round(F.abs(F.col("projection") - F.col("pts")), 6).alias("error"))
+    p = P.ranks(p, ["cat", "season", "period"], -F.col("projection"), "place")
+    return p.select("entity", "cat", "season", "period", "pts", F.round("projection", 6).alias("projection"), "place", F.round(F.abs(F.col("projection") - F.col("pts")), 6).alias("error"))
 
 
 def projections(t: Tables):
@@ -432,7 +432,9 @@ def p1(t: Tables):
     return R.matchups(sides(t), "matchup", "side", "mean", "sd").select("matchup", F.round("p_a", 7).alias("p_a"), "reason")
 
 
-@query("p2_season_wins")
+@query("p2_season_wins", """
+WITH r AS (SELECT entity, (qty % 100) / 100.0::DOUBLE AS p FROM facts), e AS (SELECT entity, count(*) AS n, sum(ln(1 - p)) AS l, sum(p / (1 - p)) AS a, sum((p / (1 - p)) ** 2) AS b FROM r GROUP BY entity)
+SELECT entity, (n + 1)::INT AS cells, round(CASE WHEN n < 3 THEN 0 ELSE 1 - exp(l) * (1 + a + (a * a - b) / 2) END, 9)::DOUBLE AS three_or_more FROM e""")
 def p2(t: Tables):
     p = t.facts.groupBy("entity").agg(F.array_sort(F.collect_list((F.col("qty") % 100) / 100.0)).alias("ps"))
     pmf = p.select("entity", R.poisson_binomial(F.col("ps")).alias("pmf"))
@@ -577,7 +579,7 @@ WITH s AS (SELECT cat, entity, sum(pts)::BIGINT AS pts FROM facts GROUP BY ALL),
 SELECT a.cat, a.entity, a.rnk, (SELECT count(*) FROM r b WHERE b.cat = a.cat AND b.entity % 10 <> 0 AND b.rnk < a.rnk) AS above FROM r a WHERE a.entity % 10 = 0""")
 def e17(t: Tables):
     s = t.facts.groupBy("cat", "entity").agg(F.sum("pts").alias("pts"))
-    r = s.withColumn("rnk", F.rank().over(Window.partitionBy("cat").orderBy(F.desc("pts"))))
+    r = P.ranks(s, ["cat"], -F.col("pts"), "rnk")
     return E.ranked_above(r.where("entity % 10 = 0"), r.where("entity % 10 <> 0"), "cat", "rnk", "entity")
 
 

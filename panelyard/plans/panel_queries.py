@@ -400,6 +400,12 @@ def o1(t: Tables):
     return best.withColumn("place", F.row_number().over(Window.orderBy(F.desc("pts"), "entity")))  # 50 rows
 
 
+@query("o1_whole_sort", "SELECT entity, sum(pts)::BIGINT AS pts FROM facts GROUP BY entity")
+def o1_whole(t: Tables):
+    """Every row, in one order over all partitions."""
+    return t.facts.groupBy("entity").agg(F.sum("pts").alias("pts")).orderBy(F.desc("pts"), "entity")
+
+
 @query("o2_top_k_per_group", "WITH s AS (SELECT grp, entity, sum(pts)::BIGINT AS pts FROM facts GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY grp ORDER BY pts DESC, entity) AS rank FROM s QUALIFY rank <= 5")
 def o2(t: Tables):
     return P.top_k(t.facts.groupBy("grp", "entity").agg(F.sum("pts").alias("pts")), ["grp"], [F.desc("pts"), F.col("entity")], 5)

@@ -19,6 +19,7 @@ from panelyard.operators import quality as Q
 from panelyard.operators import reports as R
 from panelyard.operators import scored as D
 from panelyard.plans.registry import Tables, query
+from panelyard.plans.stream_queries import place
 from panelyard.sources import tables as A
 
 # ---------------------------------------------------------------- sources
@@ -34,6 +35,34 @@ def quotes(t: Tables):
     return l.select(c("l_orderkey").alias("event_id"), (c("l_suppkey") % 7).cast("int").alias("book"), (c("l_linenumber") % 2).cast("int").alias("market"), c("l_partkey").alias("player"), F.when(c("l_returnflag") == "R", "under").otherwise("over").alias("side"), (F.floor("l_quantity") + 0.5).cast("double").alias("point"), (F.when(c("l_linestatus") == "O", 100).otherwise(-100) * (0.9 + c("l_discount") * 10)).alias("price"), c("l_shipdate").alias("seen"), (c("o_orderdate") + F.expr("INTERVAL 60 DAYS")).alias("kickoff"))
 
 
+@query("a1_read_csv", "SELECT p_partkey, CASE WHEN p_size % 4 > 0 THEN p_size END AS size, p_type FROM part")
+def a1(t: Tables):
+    """Parts written as CSV with the spellings of missing, and read back."""
+    out, _ = place(t)
+    spelled = F.get(F.array(*[F.lit(x) for x in ("NA", "", "nan", "null")]), (F.col("p_partkey") % 4).cast("int"))
+    t.part.select("p_partkey", F.when(F.col("p_size") % 4 > 0, F.col("p_size").cast("string")).otherwise(spelled).alias("SIZE"), F.col("p_type").alias(" p_type ")).write.option("header", True).csv(out)
+    return A.read_csv(t.spark, out, "p_partkey long, size int, p_type string")
+
+
+@query("a3_read_documents", "SELECT c_custkey AS entity, c_mktsegment AS segment, [c_nationkey, c_nationkey + 1] AS codes FROM customer")
+def a3(t: Tables):
+    """Customers written as nested documents, and read back by a declared shape."""
+    out, _ = place(t)
+    t.customer.select(F.struct(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment")).alias("who"), F.array("c_nationkey", F.col("c_nationkey") + 1).alias("codes")).write.json(out)
+    d = A.read_documents(t.spark, out, "who struct<id: long, segment: string>, codes array<int>, absent string", multi_line=False)
+    return d.select(F.col("who.id").alias("entity"), F.col("who.segment").alias("segment"), "codes")
+
+
+@query("a14_dated_snapshots", "SELECT year(o_orderdate)::INT AS season, count(*) AS n, count(DISTINCT o_orderkey) AS digests FROM orders GROUP BY 1")
+def a14(t: Tables):
+    """Orders appended to a dated table one status after another, each row with a digest of its content."""
+    out, _ = place(t)
+    o = t.orders.select("o_orderkey", "o_orderstatus", F.year("o_orderdate").alias("season"))
+    for state in ("F", "O", "P"):
+        A.append_snapshot(o.where(F.col("o_orderstatus") == state), out, ["season"])
+    return t.spark.read.parquet(out).groupBy("season").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("digest").alias("digests"))
+
+
 @query("a4_load_events", "SELECT o_orderkey, o_custkey, year(o_orderdate)::INT AS season FROM orders WHERE year(o_orderdate) IN (1995, 1997) AND o_orderstatus <> 'P'")
 def a4(t: Tables):
     path = f"{t.sf_dir}/orders.parquet"

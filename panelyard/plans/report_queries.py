@@ -12,7 +12,7 @@ from panelyard.operators import fitting as Z
 from panelyard.operators import panels as P
 from panelyard.operators import plays as Y
 from panelyard.operators import reports as R
-from panelyard.plans.model_queries import LINEUP, PROJ, lineup, lineups, projections
+from panelyard.plans.model_queries import LINEUP, PROJ, cdf_sql, lineup, lineups, projections
 from panelyard.plans.registry import Tables, query
 
 
@@ -218,7 +218,8 @@ def m34(t: Tables):
     return Z.band_calibration(projections(t), b, "sys_mean", "actual", "season").withColumn("factor", F.round("factor", 7))
 
 
-@query("p5_spread_fit")
+@query("p5_spread_fit", PROJ + f""", s AS (SELECT a, b, actual > 350 AS won, (sys_mean - 350) / greatest(sqrt(0.5::DOUBLE) * (a + b * sys_mean / 100), 1e-6) AS z FROM pj, (VALUES (50.0::DOUBLE), (150.0), (300.0)) x(a), (VALUES (0.0::DOUBLE), (20.0), (60.0)) y(b) WHERE sys_mean IS NOT NULL),
+g AS (SELECT a, b, count(*) AS n, avg(-ln(CASE WHEN won THEN p ELSE 1 - p END)) AS nll FROM (SELECT a, b, won, least(greatest({cdf_sql("z")}, 1e-6), 1 - 1e-6) AS p FROM s) GROUP BY a, b) SELECT n, a, b, round(nll, 7) AS nll FROM g ORDER BY g.nll, a, b LIMIT 1""")
 def p5(t: Tables):
     s = projections(t).where("sys_mean IS NOT NULL").select((F.col("sys_mean") - 350).alias("d"), F.lit(0.5).alias("f"), (F.col("sys_mean") / 100).alias("proj"), (F.col("actual") > 350).cast("int").alias("won"))
     return Z.spread_fit(s, [50.0, 150.0, 300.0], [0.0, 20.0, 60.0]).withColumn("nll", F.round("nll", 7))
@@ -249,7 +250,8 @@ def e5(t: Tables):
     return R.walk_forward(t.facts, "entity", "t", "pts").select("t", "n", F.round("mae", 6).alias("mae"), F.round("bias", 6).alias("bias"))
 
 
-@query("e12_shoot_out")
+@query("e12_shoot_out", PROJ + """, c AS (SELECT * FROM pj WHERE season >= 1996 AND sys_mean IS NOT NULL AND sys_recent IS NOT NULL), p AS (SELECT sign(a.actual - b.actual) AS w, sign(a.sys_mean - b.sys_mean) AS m, sign(a.sys_recent - b.sys_recent) AS r FROM c a JOIN c b ON a.cat = b.cat AND a.t = b.t AND a.entity < b.entity WHERE a.actual <> b.actual)
+SELECT 'sys_mean' AS system, (SELECT count(*) FROM c) AS n, (SELECT round(avg(abs(sys_mean - actual)), 6) FROM c) AS mae, count(*)::BIGINT AS pairs, round(count(*) FILTER (WHERE m = w)::DOUBLE / count(*), 9) AS pairwise FROM p UNION ALL SELECT 'sys_recent', (SELECT count(*) FROM c), (SELECT round(avg(abs(sys_recent - actual)), 6) FROM c), count(*)::BIGINT, round(count(*) FILTER (WHERE r = w)::DOUBLE / count(*), 9) FROM p""")
 def e12(t: Tables):
     return R.shoot_out(projections(t), ["sys_mean", "sys_recent"], "actual", F.col("season") >= 1996, "cat", "t").select("system", "n", F.round("mae", 6).alias("mae"), "pairs", F.round("pairwise", 9).alias("pairwise"))
 
@@ -362,6 +364,8 @@ def m14(t: Tables):
     return Z.rest_of_season(rates, sched, {"BUILDING": 2.0}, reserve).select("entity", "category", F.round("total", 5).alias("total"), "games", "unknown")
 
 
-@query("m8_split_half")
+@query("m8_split_half", """
+WITH h AS (SELECT entity, avg(pts) FILTER (WHERE t % 2 = 1) AS a, avg(pts) FILTER (WHERE t % 2 = 0) AS b, count(pts) AS n FROM facts GROUP BY entity), s AS (SELECT corr(a, b) AS r, avg(n) AS n FROM h WHERE a IS NOT NULL AND b IS NOT NULL)
+SELECT round(r, 6) AS r, round(CASE WHEN r > 0 THEN n / 2 * (1 - r) / r END, 4) AS n0 FROM s""")
 def m8b(t: Tables):
     return M.split_half_n0(t.facts, "entity", F.col("t") % 2 == 1, "pts").select(F.round("r", 6).alias("r"), F.round("n0", 4).alias("n0"))

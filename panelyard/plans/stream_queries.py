@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from panelyard.plans.model_queries import cdf_sql
 from panelyard.plans.registry import Tables, instants, query
 from panelyard.streaming import feeds
 
@@ -62,4 +63,46 @@ def s9(t: Tables):
 
 @query("s5_change_events", "SELECT user_id, ts, was, event_type AS now FROM (SELECT user_id, ts, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_type) AS was FROM events) WHERE was IS NOT NULL AND was <> event_type")
 def s5(t: Tables):
-    return feeds.collected(feeds.changes(source(t), "user_id", "ts", "event_type"), *place(t))
+    return feeds.collected(feeds.changes(source(t), "user_id", "ts", "event_type"), *place(t)).where("NOT late").drop("late")
+
+
+KICKOFF = "TIMESTAMP '2024-01-10 00:00:00' + to_days((user_id % 10)::INT)"
+
+
+@query("s3_open_close", f"SELECT user_id, event_type, kickoff, min_by(value, ts) FILTER (WHERE ts <= kickoff) AS open, max_by(value, ts) FILTER (WHERE ts <= kickoff) AS close, count(*) FILTER (WHERE ts <= kickoff) AS quotes, count(*) FILTER (WHERE ts > kickoff) AS in_play FROM (SELECT *, {KICKOFF} AS kickoff FROM events) GROUP BY ALL")
+def s3(t: Tables):
+    start = F.unix_timestamp(F.lit("2024-01-10 00:00:00"))
+    kick = t.events.select("user_id").distinct().select("user_id", F.timestamp_seconds(start + (F.col("user_id") % 10) * 86400).alias("kickoff"))
+    return feeds.collected(feeds.open_close(source(t).select("user_id", "event_type", "ts", "value"), kick, "user_id", ["event_type"], "ts", "value", "40 days"), *place(t), mode="complete")
+
+
+@query("s4_final_status", "SELECT user_id, CASE WHEN bool_or(event_type = 'purchase') THEN 'purchase' ELSE max_by(event_type, (ts, event_type)) END AS status FROM events GROUP BY user_id")
+def s4(t: Tables):
+    turns = feeds.collected(feeds.final_status(source(t), "user_id", "ts", "event_type", "purchase"), *place(t))
+    return turns.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", F.col("event_type") == "purchase")).alias("status"))
+
+
+@query("s6_fresh_again", "SELECT user_id, ts AS at_time FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM (SELECT DISTINCT user_id, ts FROM events)) WHERE ts - before > INTERVAL 6 HOUR")
+def s6(t: Tables):
+    alerts = feeds.collected(feeds.stale_alerts(source(t).select("user_id", "ts"), "user_id", "ts", 6.0, "40 days"), *place(t))
+    return alerts.where("event = 'FRESH'").select("user_id", F.col("at").alias("at_time"))
+
+
+@query("s10_split_sink", "SELECT value > 20 AS accepted, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events GROUP BY ALL")
+def s10(t: Tables):
+    out, check = place(t)
+    feeds.split_sink(source(t).select("event_id", "value"), F.col("value") > 20, f"{out}/good", f"{out}/bad", check).awaitTermination()
+    both = [t.spark.read.parquet(f"{out}/{k}").withColumn("accepted", F.lit(ok)) for k, ok in (("good", True), ("bad", False))]
+    return both[0].unionByName(both[1]).groupBy("accepted").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
+
+
+@query("s2_live_probability", f"""
+WITH p AS (SELECT user_id // 2 AS matchup, user_id % 2 AS side, count(*)::DOUBLE AS now FROM events GROUP BY ALL), w AS (SELECT a.matchup, (a.now - b.now) / (sqrt(2.0::DOUBLE) * sqrt(0.5::DOUBLE) * 9) AS z FROM p a JOIN p b ON a.matchup = b.matchup AND a.side = 0 AND b.side = 1)
+SELECT matchup, round({cdf_sql("z")}, 7) AS p_a FROM w""")
+def s2(t: Tables):
+    out, check = place(t)
+    points = source(t).groupBy(F.col("user_id").alias("entity")).agg(F.count(F.lit(1)).cast("double").alias("points"))
+    line = t.events.select("user_id").distinct().select(F.floor(F.col("user_id") / 2).alias("matchup"), (F.col("user_id") % 2).alias("side"), F.col("user_id").alias("entity"), *[F.lit(v).alias(k) for k, v in (("proj", 20.0), ("f", 0.5), ("a", 3.0), ("b", 0.3), ("g", 1.0))])
+    feeds.live_probability(points, line, out, check).awaitTermination()
+    done = t.spark.read.parquet(f"{out}/probability")
+    return done.where(F.col("batch") == done.agg(F.max("batch")).first()[0]).select("matchup", F.round("p_a", 7).alias("p_a"))

@@ -38,9 +38,9 @@ def read_columns(spark: SparkSession, path: str, columns: Sequence[str]) -> Data
     return spark.read.parquet(path).select(*columns)
 
 
-def read_documents(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """Nested JSON documents of a declared shape, with the file each came from."""
-    return spark.read.schema(schema).json(path, multiLine=True).withColumn("source_file", F.col("_metadata.file_name"))
+def read_documents(spark: SparkSession, path: str, schema: StructType | str, multi_line: bool = True) -> DataFrame:
+    """Nested JSON documents of a declared shape, one a file or one a line, with the file each came from."""
+    return spark.read.schema(schema).json(path, multiLine=multi_line).withColumn("source_file", F.col("_metadata.file_name"))
 
 
 def load_events(spark: SparkSession, path: str, seasons: Sequence[int], columns: Sequence[str], season: str = "season") -> DataFrame:
@@ -173,7 +173,7 @@ def game_calendar(games: DataFrame) -> tuple[DataFrame, DataFrame]:
 def ranking_as_of(rankings: DataFrame, event: Column, days: int, limits: Mapping[str, int]) -> DataFrame:
     """The latest scrape within ``days`` before the event: unique ids, at most so many of each category."""
     near = rankings.where((F.col("scraped") < event) & (F.col("scraped") >= event - F.expr(f"INTERVAL {days} DAYS")))
-    last = near.withColumn("__m", F.max("scraped").over(Window.partitionBy())).where("scraped = __m").drop("__m")
+    last = near.join(near.agg(F.max("scraped").alias("scraped")), "scraped", "left_semi")  # one row
     one = last.withColumn("__k", F.row_number().over(Window.partitionBy("id").orderBy("rank"))).where("__k = 1").drop("__k")
     most = F.coalesce(*[F.when(F.col("category") == c, F.lit(n)) for c, n in limits.items()], F.lit(0))
     return one.withColumn("cat_rank", F.row_number().over(Window.partitionBy("category").orderBy("rank", "id"))).where(F.col("cat_rank") <= most)

@@ -53,23 +53,32 @@ def enriched(rows: DataFrame, crosswalk: DataFrame, key: str) -> DataFrame:
 
 
 def changes(rows: DataFrame, key: str, ts: str, state: str) -> DataFrame:
-    """An event each time a key's state turns, with the state before; the last state of each key is kept."""
+    """An event each time a key's state turns, with the state before; the last state of each key is kept.
+
+    A row older than the last one seen of its key is told as well, with ``late``
+    set and no state before: whether it would have been a turn cannot be said.
+    """
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         last, at = held.get if held.exists else (None, pd.Timestamp.min)
-        out = []
-        for row in pd.concat(batches).sort_values([ts, state]).itertuples(index=False):
-            now, value = getattr(row, ts), getattr(row, state)
-            if now < at:  # late: a newer state is known
-                continue
-            if last is not None and value != last:
-                out.append((k[0], now, last, value))
-            last, at = value, now
-        held.update((last, at.to_pydatetime()))
-        yield pd.DataFrame(out, columns=[key, ts, "was", "now"])
+        df = pd.concat(batches).sort_values([ts, state])
+        late = df[ts] < pd.Timestamp(at)
+        fresh = df[~late]
+        was = fresh[state].shift().astype(object)
+        if len(fresh):
+            was.iloc[0] = last
+        turned = fresh[was.notna() & (was != fresh[state])]
+        out = [pd.DataFrame({key: k[0], ts: turned[ts], "was": was[turned.index], "now": turned[state], "late": False}), pd.DataFrame({key: k[0], ts: df.loc[late, ts], "was": None, "now": df.loc[late, state], "late": True})]
+        if len(fresh):
+            last, at = fresh[state].iloc[-1], fresh[ts].iloc[-1]
+        held.update((last, pd.Timestamp(at).to_pydatetime()))
+        yield from (part for part in out if len(part))
+
+    def fresh_index(k, batches, held):
+        return step(k, (b.reset_index(drop=True) for b in [pd.concat(batches)]), held)
 
     kind = dict(rows.dtypes)[key]
-    return rows.select(key, ts, state).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {ts} timestamp, was string, now string", "last string, at timestamp", "append", GroupStateTimeout.NoTimeout)
+    return rows.select(key, ts, state).groupBy(key).applyInPandasWithState(fresh_index, f"{key} {kind}, {ts} timestamp, was string, now string, late boolean", "last string, at timestamp", "append", GroupStateTimeout.NoTimeout)
 
 
 def final_status(rows: DataFrame, key: str, ts: str, status: str, final: str = "final") -> DataFrame:
@@ -77,15 +86,16 @@ def final_status(rows: DataFrame, key: str, ts: str, status: str, final: str = "
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         last, at = held.get if held.exists else (None, pd.Timestamp.min)
-        before = last
-        for row in pd.concat(batches).sort_values([ts, status]).itertuples(index=False):
-            now, value = getattr(row, ts), getattr(row, status)
-            if last == final:
-                break
-            if value == final or now >= at:
-                last, at = value, max(now, pd.Timestamp(at))
-        held.update((last, pd.Timestamp(at).to_pydatetime()))
-        yield pd.DataFrame([(k[0], pd.Timestamp(at), last)] if last != before else [], columns=[key, ts, status])
+        at, before = pd.Timestamp(at), last
+        df = pd.concat(batches).sort_values([ts, status])
+        if last != final:
+            done = df[df[status] == final]
+            fresh = done if len(done) else df[df[ts] >= at]
+            if len(fresh):
+                one = fresh.iloc[0 if len(done) else -1]
+                last, at = one[status], max(one[ts], at)
+        held.update((last, at.to_pydatetime()))
+        yield pd.DataFrame([(k[0], at, last)] if last != before else [], columns=[key, ts, status])
 
     kind = dict(rows.dtypes)[key]
     return rows.select(key, ts, status).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {ts} timestamp, {status} string", "last string, at timestamp", "append", GroupStateTimeout.NoTimeout)
@@ -148,15 +158,19 @@ def stale_alerts(pulls: DataFrame, source: str, ts: str, limit_hours: float, lat
             held.update((last, True))
         else:
             last, stale = held.get if held.exists else (None, False)
-            last, gap = last and pd.Timestamp(last), pd.Timedelta(milliseconds=wait)
-            for now in sorted(pd.concat(batches)[ts]):
-                if last is None or now > last:
-                    if last is not None and now > last + gap:
-                        out += [] if stale else [(k[0], last + gap, "STALE")]
-                        stale = True
-                    if stale:
-                        out.append((k[0], now, "FRESH"))
-                    last, stale = now, False
+            times, gap = pd.concat(batches)[ts].drop_duplicates().sort_values(), pd.Timedelta(milliseconds=wait)
+            last = last and pd.Timestamp(last)
+            times = times[times > last] if last is not None else times
+            before = times.shift()
+            if len(times):
+                before.iloc[0] = last if last is not None else times.iloc[0]
+                wide = times - before > gap
+                told = wide.copy()
+                told.iloc[0] = wide.iloc[0] and not stale  # its STALE has gone out already
+                back = wide.copy()
+                back.iloc[0] = wide.iloc[0] or stale
+                out = [(k[0], at, "STALE") for at in before[told] + gap] + [(k[0], at, "FRESH") for at in times[back]]
+                last, stale = times.iloc[-1], False
             held.update((last.to_pydatetime(), stale))
             due = int(last.timestamp() * 1000) + wait
             if due > held.getCurrentWatermarkMs():

@@ -31,10 +31,11 @@ def test_final_status_is_never_replaced(spark, tmp_path):
     assert sorted((r["game"], r["status"]) for r in got) == [("g", "final"), ("g", "pre"), ("h", "live"), ("h", "pre")]
 
 
-def test_change_events_ignore_late_rows(spark, tmp_path):
+def test_change_events_tell_late_rows(spark, tmp_path):
     s = stream_of(spark, str(tmp_path), [[(1, at(0), "a"), (1, at(5), "b")], [(1, at(2), "c"), (1, at(9), "b"), (1, at(12), "a")]], "k long, ts timestamp, st string")
     got = feeds.collected(feeds.changes(s, "k", "ts", "st"), f"{tmp_path}/out", f"{tmp_path}/cp").collect()
-    assert sorted((r["was"], r["now"]) for r in got) == [("a", "b"), ("b", "a")]
+    assert sorted((r["was"], r["now"]) for r in got if not r["late"]) == [("a", "b"), ("b", "a")]
+    assert [(r["ts"], r["was"], r["now"]) for r in got if r["late"]] == [(at(2), None, "c")]
 
 
 def test_staleness_alerts(spark, tmp_path):
