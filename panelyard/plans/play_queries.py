@@ -186,7 +186,7 @@ def h11(t: Tables):
 @query("h12_caller_blocks", f"""
 WITH o AS (SELECT passer_id AS person, posteam, season, week, avg(pass_attempt) AS rate, count(*) AS n FROM plays WHERE {SCRIMMAGE} GROUP BY ALL),
 w AS (SELECT *, sum(rate * n) OVER v AS x, sum(n) OVER v AS m FROM o WINDOW v AS (PARTITION BY person, season ORDER BY week RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-SELECT person, posteam, season, week, round(x / m, 8) AS caller_rate, round((x / m - 0.5) * (n - 1), 8) AS caller_x_volume FROM w""")
+SELECT person, posteam, season, week, round(x / m, 8) AS caller_rate, round((x / m - 0.5) * (n - 1), 8) + 0 AS caller_x_volume FROM w""")
 def h12(t: Tables):
     """A caller's pass rate to date, and its product with this week's volume."""
     o = plays(t).where(Y.is_scrimmage()).groupBy(F.col("passer_id").alias("person"), "posteam", "season", "week").agg(F.sum("pass_attempt").alias("passes"), F.count(F.lit(1)).alias("n"))
