@@ -82,8 +82,9 @@ def token_counts(docs: DataFrame, text: str = "text", path: str | None = None, h
     """``doc_id``, ``n_words``, ``n_tokens`` and ``most_in_word`` of every whole text.
 
     Words are runs without white space; each is read behind the start mark. A
-    null or blank text has no words and no tokens. Counts of words seen before
-    come from memory (``held`` words at most, none over 64 characters).
+    null or blank text has no words and no tokens. Repeated rows give equal rows,
+    rows with null ids theirs, other columns are ignored, and an empty table
+    gives an empty result. Counts of words seen before come from memory (``held`` words at most, none over 64 characters).
     """
 
     def start():

@@ -171,21 +171,58 @@ def test_likeness_goes_through_the_tree(spark):
     assert 0 < got[2]["near_next"] < 1 and got[4]["near_next"] == 1.0
 
 
-def test_pipeline_runs(spark, tmp_path):
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    import duckdb
+
     import corpus_pipeline
+    from panelyard.llm import language, toxicity
 
+    rng = random.Random(5)
     rows = [(k, f"the words of document {k} and the {'bad blorgh snarf' if k % 9 == 0 else f'good thing{k}'} with some more of {k * 31 % 97} them", "en", f"s{k % 3}", 50) for k in range(1, 200)]
     rows += [(500 + k, rows[4][1], "en", "s1", 50) for k in range(5)] + [(900, None, None, None, None), (901, "123", "en", "s0", 3)]
+    base = [" ".join(rng.choices([f"w{k}" for k in range(400)], k=120)) for _ in range(12)]
+    for k, t in enumerate(base):  # near copies on both sides of 0.8
+        for j, n in enumerate((0, 1, 2, 4, 9)):
+            words = t.split()
+            for at in rng.sample(range(120), n):
+                words[at] = "changed"
+            rows.append((1000 + 10 * k + j, "the and of them " + " ".join(words), "en", "s2", 600))
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(k, 1, int(k % 9 == 0)) for k in range(1, 200)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    seen = {}
+    seen, given = {}, {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
+        given[name] = docs
         docs = stage(spark, docs, str(tmp_path))
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-        seen[name] = docs.cache()
-    assert seen["toxicity"].where("doc_id % 9 = 0 AND doc_id < 200").count() == 0
-    assert seen["language_id"].where("doc_id IN (900, 901)").count() == 0
-    assert seen["simhash_near_dedup"].where("doc_id BETWEEN 500 AND 504").count() == 0
-    packed = corpus_pipeline.run(spark, str(tmp_path))
-    assert packed.select(F.sum("length")).first()[0] > 0
+        seen[name] = docs = docs.cache()
+    ids = lambda df: sorted(r["doc_id"] for r in df.select("doc_id").collect())
+    labels = spark.read.parquet(f"{tmp_path}/labels.parquet")
+    scored = toxicity.score(given["toxicity"], toxicity.fit(toxicity.training_rows(given["toxicity"], labels), given["toxicity"]))
+    assert ids(seen["toxicity"]) == ids(scored.where("predicted = 0")) and seen["toxicity"].where("doc_id % 9 = 0 AND doc_id < 200").count() == 0
+    told = language.identify(given["language_id"], language.fit(language.training_rows(given["language_id"])))
+    assert ids(seen["language_id"]) == ids(told.where("accepted")) and not {900, 901} & set(ids(seen["language_id"]))
+    texts = {r["doc_id"]: r["text"] for r in given["simhash_near_dedup"].collect()}
+    shingles = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in texts.items() for w in [t.split()]}
+    group = {i: i for i in texts}
+
+    def top(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    order = sorted(texts)
+    for k, i in enumerate(order):
+        for j in order[:k]:
+            if len(shingles[i] & shingles[j]) >= 0.8 * len(shingles[i] | shingles[j]):
+                a, b = top(i), top(j)
+                group[max(a, b)] = min(a, b)
+    kept = sorted(i for i in order if top(i) == i)
+    assert ids(seen["simhash_near_dedup"]) == kept and not {500, 501, 1001} & set(kept) and 1004 in kept
+    con = duckdb.connect()
+    documents = seen["simhash_near_dedup"].toPandas()  # noqa: F841  DuckDB reads it by name
+    want = {r[0]: r[1] for r in con.sql(f"SELECT doc_id, copies FROM ({mixing.MIX_SQL})").fetchall()}
+    assert Counter(ids(seen["mixing"])) == Counter({i: n for i, n in want.items() if n})
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    by_doc, _ = whole(packed, sum(p["length"] for p in packed))
+    assert {i: sum(p["length"] for p in ps) for i, ps in by_doc.items()} == {i: want[i] * ps[0]["doc_tokens"] for i, ps in by_doc.items()} and set(by_doc) == {i for i, n in want.items() if n}
