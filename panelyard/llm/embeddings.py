@@ -6,10 +6,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.dataset as pads
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelyard.llm.common import connected_components, cut
+from panelyard.llm.common import connected_components, cut, scratch_path, ship
 
 #: Leading coordinates on which blocks are boxed.
 BOX = 8
@@ -181,10 +183,12 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", column: str = "embe
     ignored, and an empty table gives an empty result.
 
     Distinct vectors are dealt to blocks: leaves of a kd-tree on the leading
-    principal axes, large leaves cut by a hash. Two blocks meet in one task
-    unless the boxes of their leaves are too far apart for the threshold. A
-    task returns sums of links and a spanning forest, never its pairs. The
-    sample and the leaves' counts and boxes are all that reaches the driver.
+    principal axes, large leaves cut by a hash. Every block is written once to
+    the shared folder. Two blocks meet in one task, which reads them there,
+    unless the boxes of their leaves are too far apart for the threshold; only
+    the numbers of block pairs are shuffled. A task returns sums of links and a
+    spanning forest, never its pairs. The sample and the leaves' counts and
+    boxes are all that reaches the driver.
     """
     element = vectors.schema[column].dataType.elementType.simpleString()
     clean = F.transform(F.col(column), lambda v: F.when(v == 0, F.lit(0).cast(element)).otherwise(v))
@@ -229,64 +233,78 @@ def _linked(distinct: DataFrame, width: int, threshold: float, block: int, sampl
     element = distinct.schema["v"].dataType.simpleString()
     placed = cut(distinct.select("rep", "n", "h1", "h2", "v").mapInArrow(place, f"rep {name}, n long, h1 long, h2 int, v {element}, leaf long, lead array<double>"), "embedding-places")
     boxes = placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), *[F.min(F.get("lead", F.lit(k))).alias(f"lo{k}") for k in range(lead)], *[F.max(F.get("lead", F.lit(k))).alias(f"hi{k}") for k in range(lead)]).orderBy("leaf").collect()
-    low, high = (np.array([[r[f"{s}{k}"] for k in range(lead)] for r in boxes]) for s in ("lo", "hi"))
-    blocks = [(i, s) for i, r in enumerate(boxes) for s in range(-(-r["n"] // block))]
-    first = np.cumsum([0, *(-(-r["n"] // block) for r in boxes)])
-    reach = 2 - 2 * threshold + 1e-9
-    meets: dict[int, list[int]] = {}
-    for i in range(len(boxes)):
-        gap = np.maximum(0, np.maximum(low[i] - high, low - high[i]))
-        meets[i] = [b for j in np.flatnonzero((gap * gap).sum(axis=1) <= reach) for b in range(first[j], first[j + 1])]
-    order, total = {r["leaf"]: i for i, r in enumerate(boxes)}, len(blocks)
-
-    def deal(batches):
+    cuts_of = np.array([-(-r["n"] // block) for r in boxes])
+    first, order = np.cumsum([0, *cuts_of]), {r["leaf"]: i for i, r in enumerate(boxes)}
+    low, high = (np.repeat(np.array([[r[f"{side}{k}"] for k in range(lead)] for r in boxes]), cuts_of, axis=0) for side in ("lo", "hi"))
+    reach, total = 2 - 2 * threshold + 1e-9, int(first[-1])
+    spark = distinct.sparkSession
+    held = ship(spark, (low, high))  # 16 numbers a block
+    path = _write_blocks(placed, name, element, first, order)
+
+    def meets(batches):
+        lo, hi = held()
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            leaf = np.array([order[x] for x in batch.column(5).to_pylist()])
-            sizes = first[leaf + 1] - first[leaf]
-            own = first[leaf] + (batch.column(2).to_numpy().view(np.uint64) % sizes.astype(np.uint64)).astype(np.int64)
-            take, pair = [], []
-            for r, (l, o) in enumerate(zip(leaf.tolist(), own.tolist(), strict=True)):
-                for b in meets[l]:
-                    take.append(r)
-                    pair.append(min(o, b) * total + max(o, b))
-            got = batch.take(pa.array(take, pa.int64()))
-            for at in range(0, len(take), 4096):
-                part = got.slice(at, 4096)
-                yield pa.RecordBatch.from_arrays([pa.array(pair[at : at + 4096], pa.int64()), pa.array(own[take[at : at + 4096]]), *(part.column(k) for k in range(5))], names=["pair", "own", "rep", "n", "h1", "h2", "v"])
-
-    dealt = placed.mapInArrow(deal, f"pair long, own long, rep {name}, n long, h1 long, h2 int, v {element}")
-
-    def meet(table: pa.Table) -> pa.Table:
-        a, b = divmod(table.column("pair")[0].as_py(), total)
-        own, w = table.column("own").to_numpy(), table.column("n").to_numpy()
-        z = frame.rotate(matrix(table.column("v"), width))
-        at_a, at_b = np.flatnonzero(own == a), np.flatnonzero(own == b)
-        cx, cy, edges = compare(z[at_a], z[at_b], w[at_a], w[at_b], threshold, a == b)
-        if a == b:
-            total_of = cx + cy
-            pos, sums = at_a[total_of > 0], total_of[total_of > 0]
-            ends = at_a
-        else:
-            both, sums = np.concatenate([at_a, at_b]), np.concatenate([cx, cy])
-            ends = both
-            pos, sums = both[sums > 0], sums[sums > 0]
-        reps, h1, h2 = table.column("rep").combine_chunks(), table.column("h1").combine_chunks(), table.column("h2").combine_chunks()
-        src, dst = pa.array(ends[[e[0] for e in edges]] if edges else [], pa.int64()), pa.array(ends[[e[1] for e in edges]] if edges else [], pa.int64())
-        pos = pa.array(pos, pa.int64())
-        none = len(src)
-        return pa.table(
-            {
-                "rep": pa.concat_arrays([reps.take(pos), reps.take(src)]),
-                "other": pa.concat_arrays([pa.nulls(len(pos), reps.type), reps.take(dst)]),
-                "h1": pa.concat_arrays([h1.take(pos), pa.nulls(none, h1.type)]),
-                "h2": pa.concat_arrays([h2.take(pos), pa.nulls(none, h2.type)]),
-                "n": pa.concat_arrays([pa.array(sums, pa.int64()), pa.nulls(none, pa.int64())]),
-            }
-        )
-
-    return dealt.groupBy("pair").applyInArrow(meet, f"rep {name}, other {name}, h1 long, h2 int, n long")
+            for i in batch.column(0).to_pylist():
+                gap = np.maximum(0, np.maximum(lo[i] - hi[i:], lo[i:] - hi[i]))
+                j = i + np.flatnonzero((gap * gap).sum(axis=1) <= reach)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), i)), pa.array(j)], names=["i", "j"])
+
+    width_of = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total)
+    pairs = spark.range(total).repartition(min(total, width_of)).mapInArrow(meets, "i long, j long").repartition(width_of, "i", "j").sortWithinPartitions("i", "j")
+
+    def meet(batches):
+        fs, root = pafs.FileSystem.from_uri(path)
+        read: dict[int, tuple] = {}
+
+        def load(b):
+            if b not in read:
+                table = pads.dataset(f"{root}/block={b}", filesystem=fs, format="parquet").to_table(columns=["rep", "n", "h1", "h2", "v"]).combine_chunks()
+                order = np.lexsort((table.column("h2").to_numpy(), table.column("h1").to_numpy()))
+                table = table.take(pa.array(order)).combine_chunks()
+                read[b] = (table, table.column("n").to_numpy(), frame.rotate(matrix(table.column("v"), width)))
+            return read[b]
+
+        for batch in batches:
+            for i, j in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for b in [b for b in read if b not in (i, j)]:
+                    del read[b]  # at most two blocks at a time
+                (ta, wa, za), (tb, wb, zb) = load(i), load(j)
+                cx, cy, edges = compare(za, zb, wa, wb, threshold, i == j)
+                both = ta if i == j else pa.concat_tables([ta, tb])
+                sums = cx + cy if i == j else np.concatenate([cx, cy])
+                pos = pa.array(np.flatnonzero(sums), pa.int64())
+                src, dst = (pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1))
+                col = lambda c: both.column(c).combine_chunks()  # noqa: B023, E731
+                reps, h1, h2, none = col("rep"), col("h1"), col("h2"), len(src)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.concat_arrays([reps.take(pos), reps.take(src)]),
+                        pa.concat_arrays([pa.nulls(len(pos), reps.type), reps.take(dst)]),
+                        pa.concat_arrays([h1.take(pos), pa.nulls(none, h1.type)]),
+                        pa.concat_arrays([h2.take(pos), pa.nulls(none, h2.type)]),
+                        pa.concat_arrays([pa.array(sums[sums > 0], pa.int64()), pa.nulls(none, pa.int64())]),
+                    ],
+                    names=["rep", "other", "h1", "h2", "n"],
+                )
+
+    return pairs.mapInArrow(meet, f"rep {name}, other {name}, h1 long, h2 int, n long")
+
+
+def _write_blocks(placed: DataFrame, name: str, element: str, first: np.ndarray, order: dict[int, int]) -> str:
+    """Writes every block once to the shared folder, a folder each, and returns where; large leaves are cut by a hash."""
+
+    def own(batches):
+        for batch in batches:
+            leaf = np.array([order[x] for x in batch.column(5).to_pylist()], dtype=np.int64)
+            sizes = (first[leaf + 1] - first[leaf]).astype(np.uint64)
+            at = first[leaf] + (batch.column(2).to_numpy().view(np.uint64) % np.maximum(sizes, np.uint64(1))).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(5)), pa.array(at, pa.int64())], names=["rep", "n", "h1", "h2", "v", "block"])
+
+    path = scratch_path(placed.sparkSession, "embedding-blocks")
+    dealt = placed.select("rep", "n", "h1", "h2", "v", "leaf").mapInArrow(own, f"rep {name}, n long, h1 long, h2 int, v {element}, block long")
+    width = max(int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(first[-1]))
+    dealt.repartition(width, "block").write.option("compression", "zstd").partitionBy("block").parquet(path)
+    return path
 
 
 #: ``near_duplicates`` in DuckDB, for small tables.

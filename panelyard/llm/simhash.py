@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -139,6 +140,10 @@ def sketches(docs: DataFrame, text: str = "text", shingle: int = 5, rows: int =
     return map_arrow(docs.select(text_node(text).alias("node"), text), start, "node long, n long, keys array<long>")
 
 
+#: Texts of a bucket whose pairs may become rows; texts of a block of a larger one; shingles that a task's matrices hold at once.
+FEW, BLOCK, COLUMNS = 48, 256, 8_192
+
+
 def text_node(text: str) -> Column:
     """The hash by which equal texts are one node; a null text is an empty one."""
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
@@ -182,14 +187,70 @@ def similar_pairs(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataF
     return map_arrow(pairs.join(a, "src").join(b, "dst").select("src", "dst", "x", "y"), start, "src long, dst long")
 
 
+def block_links(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (src, dst) that join the components of large buckets; ``rows`` has key, node, comp and the bucket's ``main`` component.
+
+    A bucket's texts are cut by a hash into blocks of about BLOCK, those of the
+    main component apart; every two blocks meet in one task unless both are of
+    the main one. A task counts common shingles of its two blocks by products of
+    0/1 matrices, some thousand shingles at a time, and returns a spanning
+    forest of the links between different components.
+    """
+    own = F.col("comp") == F.col("main")
+    size = rows.groupBy("key").agg(F.ceil(F.count_if(own) / BLOCK).alias("mains"), F.ceil(F.count_if(~own) / BLOCK).alias("rest"))
+    spot = lambda n: F.pmod(F.xxhash64("node"), F.greatest(n, F.lit(1)))
+    placed = rows.join(size, "key").withColumn("own", F.when(own, spot(F.col("mains"))).otherwise(F.col("mains") + spot(F.col("rest"))))
+    meets = F.sequence(F.when(own, F.col("mains")).otherwise(F.lit(0)), F.col("mains") + F.col("rest") - 1)
+    dealt = placed.select("key", "node", "comp", "own", F.explode(meets).alias("with")).select("key", "node", "comp", "own", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"))
+
+    def meet(table: pa.Table) -> pa.Table:
+        import numpy as np
+
+        node, comp, own, lo = (table.column(c).to_numpy() for c in ("node", "comp", "own", "lo"))
+        hashes = [np.frombuffer(x, dtype="<u8") for x in table.column("hashes").to_pylist()]
+        n = np.array([len(h) for h in hashes])
+        ax = np.flatnonzero(own == lo)
+        by = ax if table.column("hi")[0].as_py() == lo[0] else np.flatnonzero(own != lo)
+        _, col, seen = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(n)), n)
+        shared = seen[col] > 1
+        row, col = row[shared], np.unique(col[shared], return_inverse=True)[1]
+        both = np.zeros((len(ax), len(by)))
+        for at in range(0, int(col.max(initial=-1)) + 1, COLUMNS):
+            inside = (col >= at) & (col < at + COLUMNS)
+            x = np.zeros((len(n), COLUMNS), dtype=np.float32)
+            x[row[inside], col[inside] - at] = 1
+            both += x[ax] @ x[by].T
+        hit = both >= similarity * (n[ax][:, None] + n[by][None, :] - both) - 1e-9
+        hit &= comp[ax][:, None] != comp[by][None, :]
+        up: dict[int, int] = {}
+
+        def top(c):
+            while up.get(c, c) != c:
+                c = up[c]
+            return c
+
+        src, dst = [], []
+        for i, j in zip(*np.nonzero(hit), strict=True):
+            p, q = top(int(comp[ax[i]])), top(int(comp[by[j]]))
+            if p != q:
+                up[max(p, q)] = min(p, q)
+                src.append(int(node[ax[i]])), dst.append(int(node[by[j]]))
+        return pa.table({"src": pa.array(src, pa.int64()), "dst": pa.array(dst, pa.int64())})
+
+    return dealt.join(sets, "node").groupBy("key", "lo", "hi").applyInArrow(meet, "src long, dst long")
+
+
 def similar_links(docs: DataFrame, text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """Components (node, component) of the texts under exact Jaccard similarity of at least ``similarity``.
 
     Candidates share a band key. First every text of a bucket is compared with
     the bucket's least, which joins large groups in linear work; then all pairs
-    of a bucket whose two texts are still in different components. A pair is left
-    out only if it is in one component already, was compared, or its sizes alone
-    rule the similarity out.
+    of a bucket whose two texts are still in different components: in a bucket of
+    up to FEW texts as rows, in a larger one block by block inside the tasks
+    (``block_links``), so that no pair of a large group becomes a row. A pair is
+    left out only if it is in one component already, was compared, or its sizes
+    alone rule the similarity out.
     """
     placed = cut(sketches(docs, text, shingle).distinct().select("node", "n", F.explode("keys").alias("key")), "near-sketches")
     buckets = placed.groupBy("key").agg(F.min("node").alias("rep"), F.max("node").alias("last")).where("rep < last").select("key", "rep")
@@ -208,13 +269,16 @@ def similar_links(docs: DataFrame, text: str = "text", shingle: int = 5, similar
     held = cut(shared.join(joined, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("comp")), "near-held")
     mixed = held.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     left = cut(held.join(mixed, "key"), "near-mixed")
-    comps = left.select("key", "comp").distinct()
+    count = left.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min_by("comp", "node").alias("main"))
+    few = left.join(count.where(F.col("size") <= FEW).select("key"), "key")
+    comps = few.select("key", "comp").distinct()
     two = comps.join(comps.select("key", F.col("comp").alias("other")), "key").where("comp < other")
-    a, b = left.select("key", "comp", F.col("node").alias("p"), F.col("n").alias("pn")), left.select("key", F.col("comp").alias("other"), F.col("node").alias("q"), F.col("n").alias("qn"))
+    a, b = few.select("key", "comp", F.col("node").alias("p"), F.col("n").alias("pn")), few.select("key", F.col("comp").alias("other"), F.col("node").alias("q"), F.col("n").alias("qn"))
     pairs = two.join(a, ["key", "comp"]).join(b, ["key", "other"]).where(F.least("pn", "qn") >= similarity * F.greatest("pn", "qn") - 1e-9)
     fresh = pairs.select(F.greatest("p", "q").alias("src"), F.least("p", "q").alias("dst")).distinct().join(stars, ["src", "dst"], "left_anti")
     second = similar_pairs(cut(fresh, "near-pairs"), sets, similarity)
-    return connected_components(first.union(second), "near-components")
+    many = left.join(count.where(F.col("size") > FEW).select("key", "main"), "key")
+    return connected_components(first.union(second).union(cut(block_links(many, sets, similarity), "near-block-links")), "near-components")
 
 
 def keep_one(docs: DataFrame, text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -104,3 +104,31 @@ def test_one_row_of_each_group_whatever_the_columns(spark, docs):
     assert got.columns == odd.columns
     rows = got.collect()
     assert sorted(str(r["doc_id"]) for r in rows) == sorted(str(r["doc_id"]) for r in simhash.keep_one(docs).collect()) and all(r["__k"] == "mine" for r in rows)
+
+
+def test_large_groups_of_near_copies_equal_brute_force(spark, monkeypatch):
+    """One base text with more or fewer words changed: buckets above FEW, cut into several blocks."""
+    monkeypatch.setattr(simhash, "FEW", 6)
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    rng = random.Random(9)
+    base = rng.choices([f"w{k}" for k in range(300)], k=150)
+    texts = []
+    for k in range(160):
+        words = list(base)
+        for at in rng.sample(range(150), k % 9):
+            words[at] = f"x{rng.randrange(40)}"
+        texts.append(" ".join(words))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    group = list(range(160))
+
+    def top(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i in range(160):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                group[max(top(i), top(j))] = min(top(i), top(j))
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()}
+    assert kept == {i for i in range(160) if top(i) == i} and 1 < len(kept) < 120
