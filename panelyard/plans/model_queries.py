@@ -463,7 +463,9 @@ def p6(t: Tables):
     return p.select("entity", "t", F.round(R.normal_crps(F.col("actual"), F.col("sys_mean"), F.lit(150.0)), 6).alias("crps"), F.round(R.pinball(F.col("actual"), F.col("sys_mean"), 0.75), 6).alias("pinball"))
 
 
-@query("p7_p8_lattice")
+@query("p7_p8_lattice", f"""
+WITH z AS (SELECT p_partkey, p_size, k, (k + 0.5 - p_size) / 6.0::DOUBLE AS z FROM part, range(61) r(k)), c AS (SELECT p_partkey, p_size, least(greatest(p_size + 3.0::DOUBLE - k, 0), 1) AS b, CASE WHEN k = 60 THEN 1 ELSE {cdf_sql("z")} END AS f FROM z)
+SELECT p_partkey, round(sum(b * f * f + (1 - b) * (1 - f) * (1 - f)) + greatest(p_size + 3.0::DOUBLE - 61, 0), 6) AS crps, least(count(*) FILTER (WHERE f < 0.9 - 1e-12), 60)::INT AS q90 FROM c GROUP BY p_partkey, p_size""")
 def p7(t: Tables):
     pmf = R.discretised_normal(F.col("p_size").cast("double"), F.lit(6.0), 0, 60)
     rows = t.part.select("p_partkey", "p_size", pmf.alias("pmf"))
