@@ -93,6 +93,43 @@ def discretised_normal(mean: Column, sd: Column, lo: int, hi: int) -> Column:
     return F.transform(cells, lambda k: F.when(k == hi, 1.0).otherwise(normal_cdf((k + 0.5 - mean) / sd)) - F.when(k == lo, 0.0).otherwise(normal_cdf((k - 0.5 - mean) / sd)))
 
 
+def total(xs: Column) -> Column:
+    return F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+
+
+def poisson_lattice(mean: Column, most: int) -> Column:
+    """Poisson mass of 0 to ``most``, what lies above in the last cell: counts of kicks or touchdowns."""
+    cells = F.aggregate(F.sequence(F.lit(1), F.lit(most)), F.array(F.exp(-mean)), lambda pmf, k: F.concat(pmf, F.array(F.element_at(pmf, -1) * mean / k)))
+    return F.transform(cells, lambda p, k: p + F.when(k == most, F.greatest(1.0 - total(cells), F.lit(0.0))).otherwise(0.0))
+
+
+def compound_lattice(counts: Column, worth: int, rest: Column) -> Column:
+    """Distribution of a sum: ``worth`` cells for each of a count, and the rest's own distribution."""
+    n = F.size(rest) + (F.size(counts) - 1) * worth
+    at = lambda i, k: F.when((i >= k * worth) & (i < k * worth + F.size(rest)), F.get(rest, (i - k * worth).cast("int"))).otherwise(0.0)
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: total(F.transform(counts, lambda p, k: p * at(i, k))))
+
+
+def tier_lattice(allowed: Column, tiers: list[tuple[int, float]], rest: float) -> Column:
+    """From a distribution of points allowed (from 0 in ones) that of the tier's points: (points, p), tiers of equal points together."""
+    cells, low = [], -1
+    for most, points in [*tiers, (10**6, rest)]:
+        p = F.aggregate(F.slice(allowed, low + 2, most - low), F.lit(0.0), lambda a, x: a + x)
+        cells.append(F.struct(F.lit(float(points)).alias("points"), p.alias("p")))
+        low = most
+    return F.array_sort(F.array(*cells))
+
+
+def regridded(pmf: Column, mean: Column) -> Column:
+    """A distribution on 0, 1, ... moved to another mean: every cell's mass is split between the two cells where it falls; mass that would leave the grid stays in its end cells."""
+    now = total(F.transform(pmf, lambda p, k: p * k))
+    move = mean - now
+    whole, part = F.floor(move), move - F.floor(move)
+    last = F.size(pmf) - 1
+    spot = lambda k, by: F.least(F.greatest(k + by, F.lit(0)), last)
+    return F.transform(pmf, lambda _, i: total(F.transform(pmf, lambda p, k: p * (F.when(spot(k, whole) == i, 1.0 - part).otherwise(0.0) + F.when(spot(k, whole + 1) == i, part).otherwise(0.0)))))
+
+
 def convolved(starters: DataFrame, matchup: str, side: str, pmf: str) -> DataFrame:
     """The distribution of each side's total: starters' whole-number distributions convolved, one bounded group at a time."""
 

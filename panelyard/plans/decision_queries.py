@@ -534,3 +534,35 @@ def e27(t: Tables):
     """A stored table that lacks rows and differs in the rest is told apart."""
     f = t.facts.select("entity", "t", "returns", F.col("pts").cast("double").alias("pts"), "lines")
     return R.reproduced(f.where("returns <= 3").select("entity", "t", (F.col("pts") + 7 * F.col("lines")).alias("pts")), f.select("entity", "t", "pts"), ["entity", "t"], "pts", 0.5)
+
+
+@query("p7_count_lattices", """
+WITH m AS (SELECT p_partkey, p_size / 20.0::DOUBLE AS m FROM part), c AS (SELECT p_partkey, k, exp(-m + k * ln(m) - lgamma(k + 1)) AS p FROM m, range(9) r(k)), d AS (SELECT p_partkey, k, p + CASE WHEN k = 8 THEN greatest(1 - sum(p) OVER (PARTITION BY p_partkey), 0) ELSE 0 END AS p FROM c),
+t AS (SELECT p_partkey, d.k * 6 + r.i AS x, sum(d.p * r.q) AS p FROM d, (VALUES (0, 0.5::DOUBLE), (1, 0.3), (2, 0.2)) r(i, q) GROUP BY ALL)
+SELECT p_partkey, round(sum(p * x), 6) AS mean, round(sum(p) FILTER (WHERE x >= 12), 8) AS twelve_or_more FROM t GROUP BY p_partkey""")
+def p7_counts(t: Tables):
+    """Six points for each of a Poisson count, and a rest of 0 to 2."""
+    pmf = V.compound_lattice(V.poisson_lattice(F.col("p_size") / 20.0, 8), 6, F.array(F.lit(0.5), F.lit(0.3), F.lit(0.2)))
+    rows = t.part.select("p_partkey", pmf.alias("pmf"))
+    return rows.select("p_partkey", F.round(V.total(F.transform("pmf", lambda p, k: p * k)), 6).alias("mean"), F.round(V.at_least(F.col("pmf"), 12), 8).alias("twelve_or_more"))
+
+
+@query("p7_tier_lattices", f"""
+WITH z AS (SELECT p_partkey, k, (k + 0.5 - p_size) / 9.0::DOUBLE AS z FROM part, range(61) r(k)), f AS (SELECT p_partkey, k, CASE WHEN k = 60 THEN 1 ELSE {cdf_sql("z")} END AS f FROM z), g AS (SELECT p_partkey, k, f - coalesce(lag(f) OVER (PARTITION BY p_partkey ORDER BY k), 0) AS p FROM f)
+SELECT p_partkey, CASE WHEN k <= 0 THEN 10 WHEN k <= 6 THEN 7 WHEN k <= 13 THEN 4 WHEN k <= 20 THEN 1 WHEN k <= 27 THEN 0 WHEN k <= 34 THEN -1 ELSE -4 END::DOUBLE AS points, round(sum(p), 7) + 0 AS p FROM g GROUP BY ALL""")
+def p7_tiers(t: Tables):
+    """Points allowed about the size, and the tier points that follow."""
+    from panelyard.operators.scored import ALLOWED_REST, ALLOWED_TIERS
+
+    pmf = V.discretised_normal(F.col("p_size").cast("double"), F.lit(9.0), 0, 60)
+    return t.part.select("p_partkey", F.inline(V.tier_lattice(pmf, ALLOWED_TIERS, ALLOWED_REST))).withColumn("p", F.round("p", 7) + 0)
+
+
+@query("p7_regridded", """
+WITH d AS (SELECT p_partkey, p_size % 7 / 2.0::DOUBLE AS mv, k, CASE WHEN k IN (10, 11) THEN 0.25 WHEN k = 12 THEN 0.5 ELSE 0 END::DOUBLE AS p FROM part, range(25) r(k)), s AS (SELECT p_partkey, k + floor(mv) AS i, p * (1 - (mv - floor(mv))) AS p FROM d UNION ALL SELECT p_partkey, k + floor(mv) + 1, p * (mv - floor(mv)) FROM d)
+SELECT p_partkey, i::INT AS cell, round(sum(p), 8) AS p FROM s WHERE p > 0 GROUP BY ALL""")
+def p7_regridded(t: Tables):
+    """A distribution of mean 11.25 moved by the size modulo 7, halved."""
+    pmf = F.array(*[F.lit({10: 0.25, 11: 0.25, 12: 0.5}.get(k, 0.0)) for k in range(25)])
+    got = t.part.select("p_partkey", F.posexplode(V.regridded(pmf, F.lit(11.25) + F.col("p_size") % 7 / 2.0)).alias("cell", "p"))
+    return got.where("p > 0").withColumn("p", F.round("p", 8))
