@@ -36,7 +36,10 @@ def shared_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="panelyard-")
         spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    # Spark writes a path without a scheme to the cluster's default store; what else reads it must look there too.
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found)
+    at = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at)
+    return at.toUri().toString().rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelyard.llm import embeddings, html_text, language, merkle, mixing, packing, simhash, toxicity, warc, wordpiece
+from panelyard.llm import embeddings, html_text, language, manifest, merkle, mixing, negatives, packing, secrets, simhash, toxicity, warc, wordpiece
 from panelyard.llm.common import id_crc32
 
 
@@ -62,6 +62,18 @@ def op10_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.compare_with_edit(_table(spark, sf_dir, "documents"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(secrets.find(_table(spark, sf_dir, "documents")))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(negatives.relabelled(_table(spark, sf_dir, "embeddings")))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -74,14 +86,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc": op8_warc,
         "op9_token_counts": op9_token_counts,
         "op10_merkle": op10_merkle,
+        "op11_secret_scan": op11_secret_scan,
+        "op12_hard_negatives": op12_hard_negatives,
+        "op13_manifest": op13_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    """Compression, neural labels, SimHash, kNN and tokenizers are beyond SQL; their queries are tested by brute force."""
+    """Compression, neural labels, SimHash, kNN, tokenizers and decoded layers are beyond SQL; their queries are tested by brute force."""
     return {
         "op2_embedding_dedup": embeddings.NEAR_SQL,
         "op7_mixing": mixing.MIX_SQL,
         "op8_warc": warc.ROUND_TRIP_SQL,
         "op10_merkle": merkle.COMPARE_SQL,
+        "op12_hard_negatives": negatives.MINE_SQL,
+        "op13_manifest": manifest.MANIFEST_SQL,
     }
