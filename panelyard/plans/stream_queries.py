@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panelyard.plans.model_queries import cdf_sql
 from panelyard.plans.registry import Tables, instants, query
-from panelyard.streaming import feeds
+from panelyard.streaming import feeds, timers
 
 
 def source(t: Tables):
@@ -106,3 +106,89 @@ def s2(t: Tables):
     feeds.live_probability(points, line, out, check).awaitTermination()
     done = t.spark.read.parquet(f"{out}/probability")
     return done.where(F.col("batch") == done.agg(F.max("batch")).first()[0]).select("matchup", F.round("p_a", 7).alias("p_a"))
+
+
+def arrivals(t: Tables, batch, *more) -> tuple:
+    """The events (and ``more`` frames like them) as a stream of files that come one after the other by ``batch``, a column; with its output and checkpoint folders.
+
+    Files are written batch by batch, as a feed would leave them, and read in
+    order of their times.
+    """
+    out, check = place(t)
+    rows = instants(t.spark.read.parquet(f"{t.sf_dir}/events.parquet"))
+    for frame in more:
+        rows = rows.unionByName(frame(rows))
+    path = out.removesuffix("/out") + "/in"
+    rows.withColumn("batch", batch).repartition("batch").write.partitionBy("batch").parquet(out.removesuffix("/out") + "/dealt")
+    dealt = t.spark.read.parquet(out.removesuffix("/out") + "/dealt")
+    for (b,) in sorted(dealt.select("batch").distinct().collect()):  # one for each of a fixed few batches
+        dealt.where(F.col("batch") == b).drop("batch").coalesce(1).write.mode("append").parquet(path)
+    return feeds.events(t.spark, path, rows.schema), out, check
+
+
+#: Five days a batch; every eleventh event comes two batches later.
+ARRIVE = "floor((date_part('day', ts) - 1) / 5)"
+DELAYED = f"{ARRIVE} + CASE WHEN event_id % 11 = 0 THEN 2 ELSE 0 END"
+#: Batches of events and the marks of a watermark of two hours, in milliseconds.
+MARKS = """
+e AS (SELECT *, ({batch})::INT AS b FROM {rows}),
+g AS (SELECT b, max(epoch_ms(ts)) AS top FROM e GROUP BY b),
+w AS (SELECT g.b, coalesce(max(h.top) - 7200000, 0) AS mark FROM g LEFT JOIN g h ON h.b < g.b GROUP BY g.b),
+z AS (SELECT max(top) - 7200000 AS last FROM g)"""
+
+
+@query("s3_close_at_kickoff", f"""
+WITH {MARKS.format(batch=DELAYED, rows="events")},
+k AS (SELECT *, TIMESTAMP '2024-01-10 00:00:00' + to_days((user_id % 20)::INT) AS kickoff FROM e JOIN w USING (b)),
+p AS (SELECT *, epoch_ms(kickoff) <= mark AS closed, ts <= kickoff AS early FROM k)
+SELECT user_id, event_type, kickoff, min_by(value, (ts, value)) FILTER (WHERE early AND NOT closed) AS open, max_by(value, (ts, value)) FILTER (WHERE early AND NOT closed) AS close,
+  count(*) FILTER (WHERE early AND NOT closed) AS quotes, count(*) FILTER (WHERE NOT early) AS in_play, count(*) FILTER (WHERE early AND closed) AS late
+FROM p, z WHERE epoch_ms(kickoff) <= last GROUP BY ALL HAVING count(*) FILTER (WHERE NOT closed) > 0""")
+def s3_timers(t: Tables):
+    stream, out, check = arrivals(t, F.expr(DELAYED).cast("int"))
+    start = F.unix_timestamp(F.lit("2024-01-10 00:00:00"))
+    kick = t.events.select("user_id").distinct().select("user_id", F.timestamp_seconds(start + (F.col("user_id") % 20) * 86400).alias("kickoff"))
+    rows = feeds.collected(timers.close_at_kickoff(stream, kick, "user_id", ["event_type"], "ts", "value", "2 hours"), out, check)
+    sums = [F.sum(c).alias(c) for c in ("quotes", "in_play", "late")]
+    return rows.groupBy("user_id", "event_type", "kickoff").agg(F.max("open").alias("open"), F.max("close").alias("close"), *sums, F.max(F.col("event") == "close").alias("closed")).where("closed").drop("closed")
+
+
+@query("s4_expiring_status", f"""
+WITH {MARKS.format(batch=ARRIVE, rows="events")},
+f AS (SELECT user_id, min(ts) FILTER (WHERE event_type = 'purchase') AS done FROM e GROUP BY user_id),
+o AS (SELECT user_id, ts, event_type AS status, done FROM e JOIN f USING (user_id) WHERE done IS NULL OR ts < done),
+n AS (SELECT *, lag(status) OVER u AS was, lag(ts) OVER u AS before, coalesce(lead(ts) OVER u, done) AS next FROM o WINDOW u AS (PARTITION BY user_id ORDER BY ts, status))
+SELECT user_id, ts, status FROM n WHERE was IS NULL OR was <> status OR ts > before + INTERVAL 12 HOUR
+UNION ALL SELECT user_id, ts + INTERVAL 12 HOUR, 'UNKNOWN' FROM n, z WHERE next > ts + INTERVAL 12 HOUR OR next IS NULL AND epoch_us(ts) + 43200000000 <= last * 1000
+UNION ALL SELECT user_id, done, 'purchase' FROM f WHERE done IS NOT NULL""")
+def s4_timers(t: Tables):
+    stream, out, check = arrivals(t, F.expr(ARRIVE).cast("int"))
+    return feeds.collected(timers.expiring_status(stream, "user_id", "ts", "event_type", 12.0, "purchase", late="2 hours"), out, check).select("user_id", "ts", F.col("event_type").alias("status"))
+
+
+AGAIN = "SELECT * FROM events UNION ALL SELECT event_id, ts, user_id, 'again', value, props FROM events WHERE event_id % 5 = 0"
+TWICE = f"{DELAYED} + CASE WHEN event_type = 'again' AND event_id % 10 = 0 THEN 1 ELSE 0 END"
+
+
+@query("s7_late_counted", f"""
+WITH {MARKS.format(batch=TWICE, rows=f"({AGAIN})")},
+l AS (SELECT b, lag(mark, 1, 0) OVER (ORDER BY b) AS mark FROM w),
+r AS (SELECT e.*, epoch_us(ts) <= mark * 1000 AS late FROM e JOIN l USING (b)),
+k AS (SELECT *, row_number() OVER (PARTITION BY event_id, late ORDER BY b) AS n FROM r)
+SELECT b::BIGINT AS batch, count(*) AS n_in, count(*) FILTER (WHERE NOT late AND n = 1) AS n_kept, count(*) FILTER (WHERE NOT late AND n > 1) AS n_repeated, count(*) FILTER (WHERE late) AS n_late FROM k GROUP BY b""")
+def s7_counted(t: Tables):
+    stream, out, check = arrivals(t, F.expr(TWICE).cast("int"), lambda e: e.where("event_id % 5 = 0").withColumn("event_type", F.lit("again")))
+    return timers.deduplicated(stream.select("event_id", "ts"), "ts", ["event_id"], "2 hours", out, check)
+
+
+@query("s2_live_matchups", f"""
+WITH e AS (SELECT *, ({ARRIVE})::INT AS b FROM events), t AS (SELECT DISTINCT b, user_id // 2 AS matchup FROM e),
+p AS (SELECT t.b, t.matchup, count(*) FILTER (WHERE user_id % 2 = 0)::DOUBLE AS a_now, count(*) FILTER (WHERE user_id % 2 = 1)::DOUBLE AS b_now FROM t JOIN e ON e.user_id // 2 = t.matchup AND e.b <= t.b GROUP BY ALL),
+w AS (SELECT *, (a_now - b_now) / (sqrt(2.0::DOUBLE) * sqrt(0.5::DOUBLE) * 9) AS z FROM p WHERE matchup IN (SELECT user_id // 2 FROM events GROUP BY 1 HAVING count(DISTINCT user_id) = 2))
+SELECT b AS batch, matchup, round({cdf_sql("z")}, 7) AS p_a FROM w""")
+def s2_matchups(t: Tables):
+    stream, out, check = arrivals(t, F.expr(ARRIVE).cast("int"))
+    credits = stream.select(F.col("user_id").alias("entity"), F.lit(1.0).alias("points"))
+    line = t.events.select("user_id").distinct().select(F.floor(F.col("user_id") / 2).alias("matchup"), (F.col("user_id") % 2).alias("side"), F.col("user_id").alias("entity"), *[F.lit(v).alias(k) for k, v in (("proj", 20.0), ("f", 0.5), ("a", 3.0), ("b", 0.3), ("g", 1.0))])
+    timers.live_matchups(credits, line, out, check).awaitTermination()
+    return t.spark.read.parquet(out).select("batch", "matchup", F.round("p_a", 7).alias("p_a"))
