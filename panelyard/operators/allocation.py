@@ -35,8 +35,10 @@ def swaps(lineup: DataFrame, roster: Sequence[str], category: str, value: str, s
 
 
 def add_drop_board(pool: DataFrame, lineup: DataFrame, roster: Sequence[str], category: str, value: str, entity: str, flex: Sequence[str], per_category: int = 12) -> DataFrame:
-    """What each of the best free entities of a category would add to each roster's lineup, and whom it would replace.
+    """A quick screen: what each of the best free entities of a category has over each roster's weakest starters.
 
+    It looks at filled slots and one drop alone; ``exchange.add_drop_gains`` has
+    the gain of the whole lineup, for every free entity and drop.
     The gain of one addition is its value over the weakest starter of a slot
     that takes it; that starter sits down and the least of the bench is dropped.
     """

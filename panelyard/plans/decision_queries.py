@@ -11,6 +11,7 @@ from panelyard.operators import blocks as B
 from panelyard.operators import changes as C
 from panelyard.operators import context as X
 from panelyard.operators import evaluation as E
+from panelyard.operators import exchange as XC
 from panelyard.operators import fitting as M
 from panelyard.operators import market as K
 from panelyard.operators import probability as V
@@ -51,6 +52,58 @@ def l4(t: Tables):
     return L.add_drop_board(pool, season_lineup(t), ["grp", "season"], "cat", "pts", "entity", FLEX)
 
 
+#: Season rosters with a current lineup (by months played), fixed rows and rows without a value.
+HELD = """
+WITH s AS (SELECT grp, season, cat, entity, CASE WHEN entity % 31 <> 0 THEN sum(pts)::BIGINT END AS pts, count(*) AS months, entity % 5 <> 0 AS movable FROM facts GROUP BY grp, season, cat, entity),
+n0 AS (SELECT *, row_number() OVER (PARTITION BY grp, season, cat ORDER BY months DESC, entity) <= CASE cat WHEN 'BUILDING' THEN 1 WHEN 'MACHINERY' THEN 2 WHEN 'HOUSEHOLD' THEN 2 ELSE 0 END AS own FROM s),
+n1 AS (SELECT *, NOT own AND cat IN ('MACHINERY', 'HOUSEHOLD', 'FURNITURE') AS can FROM n0),
+h AS (SELECT * EXCLUDE (own, can), CASE WHEN own THEN cat WHEN can AND row_number() OVER (PARTITION BY grp, season, can ORDER BY months DESC, entity) <= 2 THEN 'FLEX' END AS now FROM n1)"""
+
+
+def _locked_sql(rows: str, key: str, out: str) -> str:
+    return f"""
+{out}0 AS (SELECT *, coalesce(now IS NOT NULL AND NOT (movable AND pts IS NOT NULL), false) AS fixed FROM {rows}),
+{out}1 AS (SELECT *, movable AND pts IS NOT NULL AND NOT fixed AS inn, CASE cat WHEN 'BUILDING' THEN 1 WHEN 'MACHINERY' THEN 2 WHEN 'HOUSEHOLD' THEN 2 ELSE 0 END - count(*) FILTER (WHERE fixed AND now = cat) OVER (PARTITION BY {key}, cat) AS need, 2 - count(*) FILTER (WHERE fixed AND now = 'FLEX') OVER (PARTITION BY {key}) AS places FROM {out}0),
+{out}2 AS (SELECT *, inn AND row_number() OVER (PARTITION BY {key}, cat, inn ORDER BY pts DESC NULLS LAST, entity) <= need AS own FROM {out}1),
+{out}3 AS (SELECT *, inn AND NOT own AND cat IN ('MACHINERY', 'HOUSEHOLD', 'FURNITURE') AS can FROM {out}2),
+{out} AS (SELECT *, CASE WHEN fixed THEN now WHEN own THEN cat WHEN can AND row_number() OVER (PARTITION BY {key}, can ORDER BY pts DESC NULLS LAST, entity) <= places THEN 'FLEX' END AS slot FROM {out}3)"""
+
+
+def held_lineups(t: Tables):
+    s = t.facts.groupBy("grp", "season", "cat", "entity").agg(F.sum("pts").alias("pts"), F.count(F.lit(1)).alias("months"))
+    s = s.withColumn("pts", F.when(F.col("entity") % 31 != 0, F.col("pts"))).withColumn("movable", F.col("entity") % 5 != 0)
+    return L.best_lineup(s, ["grp", "season"], "cat", "months", "entity", SLOTS, FLEX, 2).withColumnRenamed("slot", "now")
+
+
+LOCKED = ("cat", "pts", "entity", SLOTS, FLEX, 2, "now", "movable")
+
+
+@query("l1_locked_lineup", HELD + "," + _locked_sql("h", "grp, season", "lk") + " SELECT grp, season, entity, now, slot, fixed FROM lk WHERE slot IS NOT NULL OR now IS NOT NULL")
+def l1_locked(t: Tables):
+    return XC.locked_lineup(held_lineups(t), ["grp", "season"], *LOCKED).where("slot IS NOT NULL OR now IS NOT NULL").select("grp", "season", "entity", "now", "slot", "fixed")
+
+
+#: By filling every lineup anew for each addition and drop; of the bench the cheapest stands for all, as any of them changes nothing.
+@query("l4_exchange_board", HELD + ", r AS (SELECT * FROM h WHERE grp < 20)," + _locked_sql("r", "grp, season", "lk") + """,
+b AS (SELECT grp, season, coalesce(sum(pts) FILTER (WHERE slot IS NOT NULL), 0) AS base FROM lk GROUP BY ALL),
+d AS (SELECT grp, season, entity AS dr, pts AS dv FROM lk WHERE inn AND slot IS NOT NULL UNION ALL SELECT grp, season, entity, pts FROM lk WHERE inn AND slot IS NULL QUALIFY row_number() OVER (PARTITION BY grp, season ORDER BY pts, entity) = 1),
+f AS (SELECT season, cat, entity, pts FROM h WHERE grp >= 20 AND pts IS NOT NULL),
+v AS (SELECT r.grp, r.season, dr, f.entity AS ad, r.cat, r.entity, r.pts, r.now, r.movable FROM r JOIN d USING (grp, season) JOIN f ON f.season = r.season WHERE r.entity <> dr
+  UNION ALL SELECT d.grp, d.season, dr, f.entity, f.cat, f.entity, f.pts, NULL, true FROM d JOIN f USING (season)),""" + _locked_sql("v", "grp, season, dr, ad", "x") + """,
+g AS (SELECT grp, season, dr, ad, coalesce(sum(pts) FILTER (WHERE slot IS NOT NULL), 0) AS now_points FROM x GROUP BY grp, season, dr, ad),
+k AS (SELECT g.grp, g.season, ad, dr, now_points - base AS gain FROM g JOIN b USING (grp, season) JOIN d USING (grp, season, dr) QUALIFY row_number() OVER (PARTITION BY g.grp, g.season, ad ORDER BY now_points DESC, dv, dr) = 1),
+c AS (SELECT grp, season, cat, min(pts) AS cv FROM lk WHERE inn GROUP BY ALL)
+SELECT m.grp, m.season, f.entity AS "add", CASE WHEN gain IS NOT NULL THEN dr END AS "drop", gain::BIGINT AS gain, CASE WHEN gain > 0 THEN 'LINEUP' WHEN cv IS NULL THEN 'COVERAGE' WHEN f.pts > cv THEN 'RESEARCH' ELSE 'BELOW' END AS verdict
+FROM (SELECT DISTINCT grp, season FROM r) m JOIN f USING (season) LEFT JOIN k ON k.grp = m.grp AND k.season = m.season AND k.ad = f.entity LEFT JOIN c ON c.grp = m.grp AND c.season = m.season AND c.cat = f.cat
+WHERE f.cat IN ('BUILDING', 'MACHINERY', 'HOUSEHOLD', 'FURNITURE')""")
+def l4_board(t: Tables):
+    rows, key = held_lineups(t), ["grp", "season"]
+    own, droppable = rows.where("grp < 20"), F.col("movable") & F.col("pts").isNotNull()
+    ways = XC.exchanges(own, key, *LOCKED, droppable=droppable)
+    board = XC.add_drop_gains(rows.where("grp >= 20"), ways, key, ["season"], "cat", "pts", "entity")
+    return XC.verdicts(board, XC.cheapest_of_category(own, key, "cat", "pts", "entity", droppable), key, "cat").select(*key, "add", "drop", "gain", "verdict")
+
+
 @query("l7_pool_coverage", SEASON_LINEUP + " SELECT cat, count(*) FILTER (WHERE slot IS NOT NULL) AS starts, count(*) FILTER (WHERE slot IS NULL) AS depth FROM lu GROUP BY cat")
 def l7(t: Tables):
     return R.coverage_of_pool(season_lineup(t).withColumn("verdict", F.when(F.col("slot").isNotNull(), "starts").otherwise("depth")), "cat", ["starts", "depth"])
