@@ -41,7 +41,13 @@ def query(name: str, sql: str | None = None):
     def add(fn):
         QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir.rstrip("/")))
         if sql is not None:
-            SQL[name] = (FACTS if "facts" in sql else "") + sql if sql.lstrip()[:4].upper() != "WITH" or "facts" not in sql else FACTS.rstrip() + ",\n" + sql.lstrip()[4:].lstrip()
+            body = sql.lstrip()
+            if "facts" not in sql:
+                SQL[name] = sql
+            elif body.upper().startswith("WITH RECURSIVE"):
+                SQL[name] = FACTS.replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + ",\n" + body[14:].lstrip()
+            else:
+                SQL[name] = FACTS.rstrip() + ",\n" + body[4:].lstrip() if body[:4].upper() == "WITH" else FACTS + sql
         return fn
 
     return add
