@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelyard.functions.scalars import normal_cdf
-from panelyard.operators import likelihood, nested, resampling
-from panelyard.plans.decision_queries import history
+from panelyard.operators import blocks, likelihood, nested, resampling
 from panelyard.plans.model_queries import PROJ, projections
 from panelyard.plans.registry import Tables, query
 
@@ -87,13 +86,23 @@ def e11_pairs(t: Tables):
     return resampling.pairwise_interval(p, ["cat"], ["season", "period"], "entity", ("sys_mean", "sys_eb"), "actual", reps=100)
 
 
+GRID = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0)
+
+
+def complete_history(t: Tables):
+    """Matchups of every period from the entities whose mean is known."""
+    rows = projections(t).where("sys_mean IS NOT NULL")
+    sides = rows.select("season", "t", F.floor(F.col("grp") / 2).cast("int").alias("game"), (F.col("grp") % 2).alias("side"), F.col("sys_mean").alias("projection"), F.lit(120.0).alias("spread"), "actual")
+    return blocks.historical_matchups(sides, ["season", "t", "game"])[0]
+
+
 @query("p18_calibration_interval")
 def p18_interval(t: Tables):
-    m = history(t)
+    m = complete_history(t)
     s = F.sqrt(F.col("sd") * F.col("sd") + F.col("sd_b") * F.col("sd_b"))
 
     def loss(k: float):
         p = F.least(F.greatest(normal_cdf((F.col("mean") - F.col("mean_b")) / (s * k)), F.lit(1e-6)), F.lit(1 - 1e-6))
         return -(F.col("won") * F.log(p) + (1 - F.col("won")) * F.log(1 - p))
 
-    return resampling.grid_interval(m, ["season", "t"], F.col("season") <= 1995, {k: loss(k) for k in (0.5, 1.0, 1.5, 2.0, 3.0, 5.0)}, 1.0, reps=300)
+    return resampling.grid_interval(m, ["season", "t"], F.col("season") <= 1995, {k: loss(k) for k in GRID}, 1.0, reps=300)

@@ -8,7 +8,6 @@ from test_nested import ridge
 
 from panelyard.operators import likelihood
 from panelyard.plans import catalog, fitting_queries
-from panelyard.plans.decision_queries import history
 from panelyard.plans.model_queries import projections
 from panelyard.plans.registry import Tables
 
@@ -103,12 +102,12 @@ def test_intervals(spark, table):
         if n:
             assert pairs.loc[cat, "n"] == n and abs(pairs.loc[cat, "estimate"] - right / n) < 1e-12
     study = table("p18_calibration_interval").iloc[0]
-    m = history(Tables(spark, SF)).toPandas()
+    m = fitting_queries.complete_history(Tables(spark, SF)).toPandas()
     from math import erf
 
     z = (m["mean"] - m["mean_b"]) / np.sqrt(m["sd"] ** 2 + m["sd_b"] ** 2)
     loss = {}
-    for k in (0.5, 1.0, 1.5, 2.0, 3.0, 5.0):
+    for k in fitting_queries.GRID:
         q = np.clip([0.5 * (1 + erf(v / k / 2**0.5)) for v in z], 1e-6, 1 - 1e-6)
         loss[k] = -(m["won"] * np.log(q) + (1 - m["won"]) * np.log(1 - q))
     fit = m["season"] <= 1995
