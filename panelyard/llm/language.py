@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,12 +13,13 @@ from panelyard.llm.common import id_crc32, map_arrow, text_batches
 
 #: Texts are compressed whole, in blocks of this many bytes, so that the dictionary counts all along a long text.
 BLOCK = 8192
-_BREAK = re.compile(r"[\W\d_]+")
+_BREAK, _ASCII_BREAK = regex.compile(r"[^\p{L}\p{M}]+"), re.compile(r"[^a-z]+")
 
 
 def plain(text: str | None) -> str:
-    """Lower-cased letters with one space for whatever stands between them."""
-    return _BREAK.sub(" ", (text or "").lower()).strip()
+    """Lower-cased letters and their marks (Unicode L and M), with one space for whatever stands between them."""
+    low = (text or "").lower()
+    return (_ASCII_BREAK if low.isascii() else _BREAK).sub(" ", low).strip()
 
 
 def fit(labelled: DataFrame, rows: int = 512, chars: int = 256) -> dict[str, bytes]:
@@ -62,9 +64,10 @@ def classifier(dictionaries: dict[str, bytes], level: int = 6):
     ready = [(lang, compressor(content)) for lang, content in sorted(dictionaries.items())]
 
     def classify(text):
-        data = plain(text).encode("utf-8", "surrogatepass")
-        if not data or not ready:
+        letters = plain(text)
+        if not ready or not any(map(str.isalpha, letters)):  # marks alone are no letter
             return "und", 0.0, 0.0
+        data = letters.encode("utf-8", "surrogatepass")
         sizes = sorted((sum(len(compress(data[at : at + BLOCK])) for at in range(0, len(data), BLOCK)), lang) for lang, compress in ready)
         if len(sizes) == 1:
             return sizes[0][1], 1.0, 1.0

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelyard.llm.common import cut, whole_row
+from panelyard.llm.common import cut, row_hash, whole_row
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -42,7 +42,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (3, 1, 2), total
     return full.withColumn("free", free).select("source", "source_size", F.when(F.col("free").isNull() | F.col("held"), F.col("limit")).otherwise(F.col("weight") * F.col("free.level")).alias("target"))
 
 
-def copies(docs: DataFrame, targets: DataFrame, seed: str = "mix", digits: int = 2) -> DataFrame:
+def copies(docs: DataFrame, targets: DataFrame, seed: str = "mix", digits: int = 2, tie: str | None = None) -> DataFrame:
     """Adds ``source_size``, ``target`` and ``copies`` to rows that have ``source`` and ``size``.
 
     Within a source every document expects target / source_size copies. The
@@ -53,18 +53,19 @@ def copies(docs: DataFrame, targets: DataFrame, seed: str = "mix", digits: int =
     order are alike in size, so the words taken come near the target. The rank
     behind the prefix sum comes from counts of each (source, class, salt) and a
     rank within it: no source is ever one task's. The order is total up to
-    rows equal in all of it, and the offset comes from the source's name, so
-    reruns agree. An empty source (all sizes 0) gets no copies.
+    rows equal in all of it (``tie`` is a column that tells apart rows of one or
+    no id, as a hash of the row), and the offset comes from the source's name,
+    so reruns agree. An empty source (all sizes 0) gets no copies.
     """
     rows = docs.withColumn("__class", F.expr("length(bin(size)) * 4 + (shiftright(size * 4, length(bin(size)) - 1) & 3)").cast("int"))
-    rows = rows.withColumn("__salt", F.coalesce(F.substring(F.md5(F.col("doc_id").cast("string")), 1, digits), F.lit(""))).withColumn("__src", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))
+    rows = rows.withColumn("__salt", F.coalesce(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col(tie).cast("string") if tie else F.lit(None).cast("string"))), 1, digits), F.lit(""))).withColumn("__src", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))
     counts = rows.groupBy("__src", "__class", "__salt").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy("__src").orderBy("__class", "__salt").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
     goal = targets.select(F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")).alias("__src"), "source_size", "target")
     # At most (size classes x salts) rows a source, and one row a source.
     base = counts.join(goal, "__src")
-    rank = F.row_number().over(Window.partitionBy("__src", "__class", "__salt").orderBy("size", F.col("doc_id").asc_nulls_last()))
+    rank = F.row_number().over(Window.partitionBy("__src", "__class", "__salt").orderBy("size", F.col("doc_id").asc_nulls_last(), *([tie] if tie else [])))
     out = rows.withColumn("__rank", rank).join(base, ["__src", "__class", "__salt"])
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.col("__src"))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
@@ -86,9 +87,14 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), total: float = 1.
 
 
 def take(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), total: float = 1.5, most: float = 2.0) -> DataFrame:
-    """The rows of ``docs`` as the mix takes them: left out, once, or repeated; all columns as they were."""
-    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count().alias("size"), whole_row(docs).alias("__row"))
-    out = copies(sized, source_targets(sized.select("source", "size"), weights, total, most)).where("copies > 0")
+    """The rows of ``docs`` as the mix takes them: left out, once, or repeated; all columns as they were.
+
+    Which rows are taken depends on their contents alone: rows of one id, or of
+    none, stand in order of a hash of the whole row, so any order of the input
+    gives the same texts.
+    """
+    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count().alias("size"), row_hash(docs).alias("__tie"), whole_row(docs).alias("__row"))
+    out = copies(sized, source_targets(sized.select("source", "size"), weights, total, most), tie="__tie").where("copies > 0")
     return out.select("__row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("__row.*")
 
 

@@ -40,6 +40,15 @@ def test_mix_meets_targets(spark, docs, nothing):
     assert mixing.take(odd).columns == odd.columns and mixing.take(odd).count() == out.count()
 
 
+def test_the_mix_takes_the_same_texts_in_any_order(spark):
+    rows = [(None if k % 5 else k, f"one two three {k}", "s", k) for k in range(400)] + [(None, "four words stand here", "t", 1)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    want = sorted(map(str, mixing.take(df).collect()))
+    for parts in (1, 7):
+        assert sorted(map(str, mixing.take(df.orderBy(F.desc("text")).repartition(parts)).collect())) == want
+    assert want != sorted(map(str, df.collect()))
+
+
 def whole(pieces, docs_tokens, length=2048):
     by_doc, by_seq = {}, {}
     for p in pieces:
@@ -152,23 +161,54 @@ def test_next_document_over_many_ranges(spark):
     assert all(got[f"id{i:06d}"] == f"t{j}" for i, j in zip(ids, ids[1:], strict=False) if i) and got["id999999"][0] == "n"
 
 
-def test_likeness_goes_through_the_tree(spark):
-    import hashlib as h
+def leaves(line):
+    """The leaves of a line by the rule, with Python's own expressions."""
+    import regex
+
+    line = line.replace("\u0002", "\u0002\u0004").replace("\u0001", "\u0002\u0003")
+    out = []
+    for piece in regex.sub(merkle.END, "\\1\u0001", line).split("\u0001"):
+        out += [m[0] for m in regex.finditer(merkle.FURTHER, piece)] if len(piece) > merkle.LONG else [piece] if piece else []
+    return out
+
+
+def tree(text):
+    """The root and the nodes with their weights, those that repeat as often as they stand."""
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    c = [[(sha(x), len(x)) for x in leaves(line)] for line in (text or "").split("\n")]
+    p = [sha("".join(f"{d}{n}" for d, n in x)) for x in c]
+    s = [sha("".join(p[k : k + 8])) for k in range(0, len(p), 8)]
+    root = sha("".join(s))
+    return root, Counter([(d, 1) for d in (root, *s, *p)] + [y for x in c for y in x])
 
-    sha = lambda x: h.sha256(x.encode()).hexdigest()
-    rows = [(1, "One, two. Three\n\nFour; five!"), (2, "One, two. Three\n\nFour; six!"), (3, "two. One, Three\n\nFour; six!"), (4, ""), (5, None)]
 
-    def tree(text):
-        c = [[sha(x) for x in re.findall(merkle.CLAUSE, line)] for line in (text or "").split("\n")]
-        p = [sha("".join(x)) for x in c]
-        s = [sha("".join(p[k : k + 8])) for k in range(0, len(p), 8)]
-        return sha("".join(s)), {sha("".join(s)), *s, *p, *(y for x in c for y in x)}
+def alike(x, y):
+    weight = lambda c: sum(n * k for (_, n), k in c.items())
+    return 2 * weight(x & y) / (weight(x) + weight(y))
 
+
+def test_likeness_goes_through_the_tree(spark):
+    rows = [(1, "One, two. Three\n\nFour; five!"), (2, "One, two. Three\n\nFour; six!"), (3, "two. One, Three\n\nFour; six!"), (4, ""), (5, None), (6, "a\u0001b \u0002c the"), (7, "ab \u0001\u0002c the"), (8, "Thea " * 60 + "orn " * 60), (9, "Thea " * 30 + "orn " * 60), (10, "x" * 300 + "e" + "y" * 90), (11, "x" * 300 + "e" + "z" * 90)]
     got = {r["doc_id"]: r for r in merkle.compare_with_edit(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     for k, (i, text) in enumerate(rows):
-        (a, x), (_, y) = tree(text), tree(rows[(k + 1) % 5][1])
-        assert got[i]["fingerprint"] == a and abs(got[i]["near_next"] - 2 * len(x & y) / (len(x) + len(y))) < 1e-12
-    assert 0 < got[2]["near_next"] < 1 and got[4]["near_next"] == 1.0
+        (a, x), (_, y) = tree(text), tree(rows[(k + 1) % len(rows)][1])
+        assert got[i]["fingerprint"] == a and abs(got[i]["near_next"] - alike(x, y)) < 1e-12, i
+    assert 0 < got[2]["near_next"] < 1 and got[4]["near_next"] == 1.0 and got[6]["fingerprint"] != got[7]["fingerprint"]
+
+
+def test_half_of_a_text_is_about_half_alike_in_any_script(spark):
+    rng = random.Random(4)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(rng.randint(2, 9)))
+    alphabets = ["abcdefghijklmnopqrstuvwxyz", "абвгдежзиклмнопрстуфхцчшы", "αβγδεζηθικλμνξοπρστυφχψω", "अआइईउऊएऐओऔकखगघचछजझटठडढणतथदधनपफबभमयरलवशषसह", "的一是不了人我在有他这中大来上国个到说们为子和你地出道也时年得就那要下以生会自着去之过家学对可她里后小么心多天而能好都然没日于起还发成事只作当想看文无开手十用主行方又如前所本见经头面公同三已老从动两长"]
+    rows = []
+    for k in range(60):
+        letters = alphabets[k % 5]
+        text = " ".join(word(letters) for _ in range(120)) if k % 5 != 4 else "".join(word(letters) for _ in range(80))
+        rows.append((k, text.upper() if k % 10 == 5 else text.replace(" ", "!! ") if k % 10 == 0 else text))
+    rows += [(100, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(2000))), (101, "la " * 400), (102, "no end in\n" * 60)]
+    got = {r["doc_id"]: r for r in merkle.compare_with_edit(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(r["near_edited"] > 0.3 for r in got.values()), sorted((r["near_edited"], i) for i, r in got.items())[:3]
+    assert all(got[k]["near_next"] < 0.2 for k in range(59))
 
 
 def test_pipeline_equals_brute_force(spark, tmp_path):

@@ -34,6 +34,10 @@ def test_language_on_held_out_rows_and_edge_cases(spark, docs, nothing):
             sizes = sorted((size(content, data), lang) for lang, content in dicts.items())
             same = [x for x in language.identify(docs.where(docs.doc_id.eqNullSafe(r["doc_id"])), dicts).collect()]
             assert all(x["lang_pred"] == sizes[0][1] and abs(x["margin"] - (sizes[1][0] - sizes[0][0]) / sizes[1][0]) < 0.02 for x in same)
+    odd = spark.createDataFrame([(1, "½ ² ①"), (2, "\u0301\u0302 12"), (3, "हिन्दी भाषा"), (4, "١٢٣ 45"), (5, "ª"), (6, "Ünï-CÖDE")], "doc_id long, text string")
+    told = {r["doc_id"]: (r["lang_pred"], r["score"], r["accepted"]) for r in language.identify(odd, dicts).collect()}
+    assert told[1] == told[2] == told[4] == ("und", 0.0, False) and all(told[k][0] in dicts for k in (3, 5, 6))
+    assert language.plain("हिन्दी, भाषा 12½x") == "हिन्दी भाषा x" and language.plain("A1b") == "a b"
     kept = language.keep_known(docs, dicts)
     assert kept.columns == docs.columns and {3, 4, 5, 8}.isdisjoint(r["doc_id"] for r in kept.collect())
 
