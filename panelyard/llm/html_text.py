@@ -110,14 +110,15 @@ def blocks(page: str | None) -> list[Block]:
 def structural_labels(pages: list[list[Block]]) -> list[list[int]]:
     """1 for blocks of the article, from the structure of pages seen together; no word of a class or text has a part in it.
 
-    A text on REPEATED pages or more is repeated. Every element is scored by the
+    A text on REPEATED pages or more is repeated; pages that are copies of each
+    other count as one (``originals``). Every element is scored by the
     characters, not repeated and not in links, of the paragraphs that it holds
-    itself; the element with most is the article. Of what stands in it, blocks
-    count unless they are mostly links, stand in an element that by its standard
-    meaning is no part of the article, or have a tag path whose texts are mostly
-    repeated.
+    itself; from the element with most, ``lifted`` goes up to the one that holds
+    all the article's parts. Of what stands in it, blocks count unless they are
+    mostly links, stand in an element that by its standard meaning is no part of
+    the article, or have a tag path whose texts are mostly repeated.
     """
-    on = Counter(t for leaf in pages for t in {b.text for b in leaf})
+    on = Counter(t for _, t in {(g, b.text) for g, leaf in zip(originals(pages), pages, strict=True) for b in leaf})
     tags = lambda b: tuple(words[0] for words in b.path)
     seen, again = Counter(), Counter()
     for leaf in pages:
@@ -127,17 +128,80 @@ def structural_labels(pages: list[list[Block]]) -> list[list[int]]:
     out = []
     for leaf in pages:
         mass: Counter = Counter()
+        held: Counter = Counter()
         plain = [not ASIDE.intersection(tags(b)) and 2 * b.links < len(b.text) for b in leaf]
         for b, ok in zip(leaf, plain, strict=True):
             if ok and on[b.text] < REPEATED and b.nodes:
                 up = b.path[-1][0] in PARAGRAPHS and len(b.nodes) > 1
                 mass[b.nodes[-2] if up else b.nodes[-1]] += len(b.text)
-        best = max(mass, key=lambda n: (mass[n], -n), default=0)
+                if up:
+                    for n in b.nodes[:-1]:
+                        held[n] += len(b.text)
+        best = lifted(leaf, max(mass, key=lambda n: (mass[n], -n), default=0), held)
         bare = not any(b.nodes for b in leaf)  # a page without elements
         out.append([int(ok and (bare or best in b.nodes) and 2 * again[tags(b)] <= seen[tags(b)]) for b, ok in zip(leaf, plain, strict=True)])
     return out
 
 
+def originals(pages: list[list[Block]], least: int = 40) -> list[int]:
+    """For every page the first of those it is a copy of, by the running text that they share.
+
+    Two pages are copies if the blocks that both have (of ``least`` characters
+    and more, not mostly links) hold most characters of those blocks of either.
+    Pages are few (the sample of ``fit``); only such as share a block are compared.
+    """
+    texts = [{b.text for b in leaf if len(b.text) >= least and 2 * b.links < len(b.text)} for leaf in pages]
+    sizes, where = [sum(map(len, t)) for t in texts], {}
+    up = list(range(len(pages)))
+
+    def top(k: int) -> int:
+        while up[k] != k:
+            k = up[k]
+        return k
+
+    for k, own in enumerate(texts):
+        shared: Counter = Counter()
+        for t in own:
+            for j in where.setdefault(t, []):
+                shared[j] += len(t)
+            where[t].append(k)
+        for j, n in shared.items():
+            if 2 * n > max(sizes[k], sizes[j]):
+                a, b = sorted((top(k), top(j)))
+                up[b] = a
+    return [top(k) for k in range(len(pages))]
+
+
+#: An element is one of several parts of an article if those of its tag beside it hold this many times its paragraphs together.
+PARTS = 1.15
+
+
+def lifted(leaf: list[Block], best: int, held: Counter) -> int:
+    """The element above ``best`` that holds all parts of an article whose paragraphs or sections stand in elements of their own.
+
+    ``held`` has the characters of the paragraphs in every element. As long as
+    the elements of one tag under one parent hold clearly more together than the
+    one alone, the parent takes its place. Elements that stand alone in their
+    parent are passed on the way, as wrappers of wrappers are; what holds text
+    but no paragraph, as adverts do, has no part in it.
+    """
+    tag, parent, children = {}, {}, {}
+    for b in leaf:
+        for k, n in enumerate(b.nodes):
+            if n not in tag:
+                tag[n], parent[n] = b.path[k][0], b.nodes[k - 1] if k else 0
+                children.setdefault(parent[n], []).append(n)
+    at = best
+    while (up := parent.get(at, 0)) and tag[at] not in ("body", "html", "main", "article"):
+        together = sum(held[n] for n in children[up] if tag[n] == tag[at])
+        if together >= PARTS * max(held[at], 1):
+            best = up
+        elif together < held[up] / PARTS:
+            break  # what stands beside it is of another kind
+        at = up
+    return best
+
+
 def features(leaf: list[Block]) -> np.ndarray:
     """A row for each block: hashed path words (those of its own element again, marked), hashed words of its text, and six numbers."""
     x = np.zeros((len(leaf), PATH_DIM + WORD_DIM + NUMBERS), dtype=np.float32)
@@ -235,8 +299,8 @@ def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
-def disguised(leaf: list[Block], labels: list[int], rng: np.random.Generator, others: list[list[Block]]) -> tuple[list[Block], list[int]]:
-    """A page made from a real one: container elements and their words renamed or dropped, and runs of other pages' blocks outside the article set in.
+def disguised(leaf: list[Block], labels: list[int], rng: np.random.Generator, others: list[list[Block]], said: list[str] = ()) -> tuple[list[Block], list[int]]:
+    """A page made from a real one: container elements and their words renamed or dropped, paragraphs wrapped, runs of other pages' blocks outside the article set in, and readers' remarks behind it.
 
     So the net cannot go by one site's names; what stays is how blocks follow
     each other, their texts and their places.
@@ -254,16 +318,48 @@ def disguised(leaf: list[Block], labels: list[int], rng: np.random.Generator, ot
         return b._replace(path=tuple(level(w) for w in b.path))
 
     out, kinds = [], []
+    wrap = rng.random() < 0.3  # every paragraph in an element of its own
     for b, y in zip(leaf, labels, strict=True):
+        if wrap and y and b.path and b.path[-1][0] in PARAGRAPHS:
+            b = b._replace(path=(*b.path[:-1], ("div",), b.path[-1]))
         if others and rng.random() < 0.08:
             run = others[rng.integers(len(others))]
             out += [renamed(o) for o in run]
             kinds += [0] * len(run)
         out.append(renamed(b))
         kinds.append(y)
+    last = max((k for k, y in enumerate(kinds) if y), default=None)
+    if last is not None and rng.random() < 0.35:
+        run = remarks(said, rng)
+        out[last + 1 : last + 1] = [renamed(o) for o in run]
+        kinds[last + 1 : last + 1] = [0] * len(run)
     return out, kinds
 
 
+def remarks(said: list[str], rng: np.random.Generator) -> list[Block]:
+    """What readers write below an article, made up from pieces of other pages' texts: lists or boxes of short runs of words, most under a name.
+
+    The given pages have none; a net that has never seen any takes them for the
+    article's last paragraphs.
+    """
+    outer, inner = [(("section",), ("ol",), ("li",)), (("div",), ("div",)), (("ul",), ("li",)), (("section",), ("article",)), (("div",),)][rng.integers(5)], [("p",), ("div",), None][rng.integers(3)]
+    base = (("html",), ("body",), *outer)
+
+    def words(most: int) -> str:
+        text = said[rng.integers(len(said))].split() if said else ["yes"]
+        at = int(rng.integers(len(text)))
+        return " ".join(text[at : at + int(rng.integers(1, most + 1))])
+
+    out, named, lead = [], rng.random() < 0.75, rng.random() < 0.6
+    if lead:
+        out.append(Block((*base[:2], outer[0], (str(rng.choice(["h2", "h3", "h4"])),)), words(3), 0, ()))
+    for _ in range(int(rng.integers(1, 7))):
+        if named:
+            out.append(Block((*base, (str(rng.choice(["div", "h4", "p", "header"])),)), words(3), 0, ()))
+        out.append(Block((*base, inner) if inner else base, words(24), 0, ()))
+    return out
+
+
 def runs_outside(leaf: list[Block], labels: list[int]) -> list[list[Block]]:
     """Runs of blocks outside the article, at most eight long, without those of the page's head."""
     runs: list[list[Block]] = [[]]
@@ -300,13 +396,14 @@ def train(leaves: list[list[Block]], rounds: int = 180, batch: int = 24, most_bl
     rng = np.random.default_rng(seed)
     known = structural_labels(leaves)
     others = [run for leaf, labels in zip(leaves, known, strict=True) for run in runs_outside(leaf, labels)]
+    said = [b.text for leaf, labels in zip(leaves, known, strict=True) for b, y in zip(leaf, labels, strict=True) if y and len(b.text) > 60][:4096]
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in net.p.items()}
     for step in range(1, rounds + 1):
         xs, ys = [], []
         for k in rng.integers(len(leaves), size=batch):
             leaf, labels = leaves[k], known[k]
             if rng.random() < 0.6:
-                leaf, labels = disguised(leaf, labels, rng, others)
+                leaf, labels = disguised(leaf, labels, rng, others, said)
             at = int(rng.integers(0, max(1, len(leaf) - most_blocks + 1)))
             xs.append(features(leaf)[at : at + most_blocks])
             ys.append(labels[at : at + most_blocks])

@@ -225,3 +225,45 @@ def test_batches_do_not_change_a_page(spark):
                 states[d, at] = hid
         want = [float(sig(np.concatenate([states["f", at], states["b", at]]) @ net.p["v"] + net.p["o"][0])) for at in range(len(x))]
         assert np.allclose([b["main"] for b in got[k]], want, atol=1e-3)
+
+
+def article_pages(n, wrap="<p>{}</p>", around="<article>{}</article>", below=""):
+    """Pages of one site with articles of their own, copies of the first among them, and the text of every article's blocks."""
+    rng = random.Random(9)
+    made = lambda k: " ".join(rng.choice(["river", "stone", "bend", "water", "field", "grass", "cloud"]) + str(rng.randrange(60)) for _ in range(k))
+    pages, texts = [], []
+    for k in range(n):
+        paragraphs = [f"Title {k} {made(3)}"] + [made(rng.randint(8, 40)) + "." for _ in range(rng.randint(2, 6))] if k % 7 or not k else texts[0]
+        body = "".join(wrap.format(p) for p in paragraphs)
+        pages.append("<html><body><nav><a href=/>Home</a><a href=/b>About us</a></nav><div class=ad>Buy it now " + made(2) + "</div>" + around.format(body) + below.format(a=made(1), b=made(6)) + "<footer>All rights reserved by the site</footer></body></html>")
+        texts.append(paragraphs)
+    return pages, texts
+
+
+@pytest.mark.parametrize("shape", [{}, {"wrap": "<div><p>{}</p></div>"}, {"wrap": "<section><div><p>{}</p></div></section>"}, {"wrap": "<div><p>{}</p></div>", "around": "<div><div>{}</div></div>"}, {"below": "<section><h3>Comments</h3><ul><li><b>{a}</b><p>{b}</p></li><li><b>{a}</b><p>{b} yes</p></li></ul></section>"}])
+def test_labels_whatever_holds_the_paragraphs(shape):
+    pages, texts = article_pages(60, **shape)
+    leaves = [html_text.blocks(p) for p in pages]
+    labelled = [[b.text for b, y in zip(leaf, kinds, strict=True) if y] for leaf, kinds in zip(leaves, html_text.structural_labels(leaves), strict=True)]
+    right = sum(len(set(g) & set(w)) for g, w in zip(labelled, texts, strict=True))
+    assert right >= 0.95 * sum(map(len, labelled)) and right >= 0.95 * sum(len(set(w)) for w in texts)
+
+
+def test_copies_of_a_page_count_as_one():
+    leaves = [html_text.blocks(p) for p in article_pages(30)[0]]
+    first = html_text.originals(leaves)
+    assert {first[k] for k in range(0, 30, 7)} == {0} and len(set(first)) == 30 - 4
+
+
+def test_readers_remarks_are_left_out():
+    pages, texts = article_pages(80)
+    net = html_text.train([html_text.blocks(p) for p in pages])
+    shape = "<div><h3>Comments</h3><div>{a}</div><div>{b}</div><div>Ann</div><div>I do not think so {a}</div></div>"
+    kept = extra = missed = 0
+    for page, want in zip(*article_pages(80, below=shape), strict=True):
+        leaf = html_text.blocks(page)
+        got = Counter(b.text for b, v in zip(leaf, net.forward(*html_text.padded([html_text.features(leaf)]))[:, 0], strict=True) if v >= 0.5)
+        kept += sum((got & Counter(want)).values())
+        extra += sum((got - Counter(want)).values())
+        missed += sum((Counter(want) - got).values())
+    assert 2 * kept / (2 * kept + extra + missed) >= 0.95, (kept, extra, missed)
