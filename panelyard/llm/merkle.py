@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 
 #: Paragraphs in a section.
 SECTION = 8
-#: Last characters of words that end a leaf, about a third of each alphabet; and characters that do so in scripts without spaces, about an eighth and their full stops. Few ranges, as every character is held against all.
-LAST = "a-hA-H0-4" "à-ïÀ-Ï" "α-θά-ή" "а-иА-И" "א-ו" "ا-د" "क-ञा-ू" "ก-ฉะ-า"
-INNER = "\u3000-\u303f" "\u3040-\u304f" "\u30a0-\u30af" "\u4e00-\u4fff" "\u6600-\u67ff" "\u8a00-\u8bff" "\uac00-\ub0ff" "\uff00-\uff1f"
+#: Last characters of words that end a leaf, about a third of each alphabet: of Latin letters one by one, of others by ranges; and characters that do so in scripts without spaces, about an eighth and their full stops.
+LATIN, FURTHER_LETTERS = "abcdefghABCDEFGH01234àáâãäåæçèéêëìíîïÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏ", "α-θά-ήа-иА-Иא-וا-دक-ञा-ूก-ฉะ-า"
+INNER = "\u3000-\u303f\u3040-\u304f\u30a0-\u30af\u4e00-\u4fff\u6600-\u67ff\u8a00-\u8bff\uac00-\ub0ff\uff00-\uff1f"
 #: The end of a leaf: behind such a word, what marks stand behind it and the space, or behind such a character.
-END = f"([{LAST}][^\\p{{L}}\\p{{N}} ]* |[{INNER}])"
+END = f"([{LATIN}{FURTHER_LETTERS}][^\\p{{L}}\\p{{N}} ]* |[{INNER}])"
+#: The same for Java, which holds a character against every range of a class: Latin ones are told first, and by one look.
+END_JVM = f"([{LATIN}[\u0370-\uffff&&[{FURTHER_LETTERS}]]][^\\p{{L}}\\p{{N}} ]* |[\u3000-\uffff&&[{INNER}]])"
 #: Where nothing for so many characters ended a leaf: every eighth word does, or in what has no spaces a digit, vowel or upper-case letter 32 characters on.
 LONG, FURTHER = 96, "(?:[^ ]{0,64} ){8}|[^ ]{32,}?[0-9aeiouA-Z]|[^\u0001]+"
 #: Marks the end of a leaf; where a text has it itself, both stand escaped.
@@ -26,7 +28,7 @@ def marked(paragraph: Column) -> Column:
     """A paragraph with a mark behind every leaf."""
     for found, put in ESCAPES:
         paragraph = F.replace(paragraph, F.lit(found), F.lit(put))
-    return F.regexp_replace(paragraph, END, "$1" + MARK)
+    return F.regexp_replace(paragraph, END_JVM, "$1" + MARK)
 
 
 def clauses(text: Column) -> Column:
