@@ -11,36 +11,24 @@ from pyspark.sql import functions as F
 
 #: Paragraphs in a section.
 SECTION = 8
-#: Last characters of words that end a leaf, about a third of each alphabet: of Latin letters one by one, of others by ranges; and characters that do so in scripts without spaces, about an eighth and their full stops.
-LATIN, FURTHER_LETTERS = "abcdefghABCDEFGH01234àáâãäåæçèéêëìíîïÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏ", "α-θά-ήа-иА-Иא-וا-دक-ञा-ूก-ฉะ-า"
-INNER = "\u3000-\u303f\u3040-\u304f\u30a0-\u30af\u4e00-\u4fff\u6600-\u67ff\u8a00-\u8bff\uac00-\ub0ff\uff00-\uff1f"
-#: The end of a leaf: behind such a word, what marks stand behind it and the space, or behind such a character.
-END = f"([{LATIN}{FURTHER_LETTERS}][^\\p{{L}}\\p{{N}} ]* |[{INNER}])"
-#: The same for Java, which holds a character against every range of a class: Latin ones are told first, and by one look.
-END_JVM = f"([{LATIN}[\u0370-\uffff&&[{FURTHER_LETTERS}]]][^\\p{{L}}\\p{{N}} ]* |[\u3000-\uffff&&[{INNER}]])"
-#: Where nothing for so many characters ended a leaf: every eighth word does, or in what has no spaces a digit, vowel or upper-case letter 32 characters on.
-LONG, FURTHER = 96, "(?:[^ ]{0,64} ){8}|[^ ]{32,}?[0-9aeiouA-Z]|[^\u0001]+"
-#: Marks the end of a leaf; where a text has it itself, both stand escaped.
-MARK, ESCAPES = "\u0001", (("\u0002", "\u0002\u0004"), ("\u0001", "\u0002\u0003"))
-
-
-def marked(paragraph: Column) -> Column:
-    """A paragraph with a mark behind every leaf."""
-    for found, put in ESCAPES:
-        paragraph = F.replace(paragraph, F.lit(found), F.lit(put))
-    return F.regexp_replace(paragraph, END_JVM, "$1" + MARK)
+#: Marks that end a clause, of Latin and of East Asian writing.
+MARKS = ".,;:!?。，、；：！？"
+#: A clause: up to and with its closing marks and the blanks after them, or what is left of the line.
+CLAUSE = f"[^{MARKS}]*[{MARKS}]+ *|[^{MARKS}]+"
+#: A clause of more than LONG characters is cut further by its own content: after four to nine words at one whose last letter is among these, else after eight words; what has no spaces 32 characters on at a digit, vowel or upper-case letter, else whole.
+LONG, LAST = 96, "abcdefghABCDEFGH01234"
+FURTHER = f"(?:[^ ]{{0,64}} ){{3,8}}?[^ ]{{0,64}}?[{LAST}][^\\p{{L}}\\p{{N}} ]* |(?:[^ ]{{0,64}} ){{8}}|[^ ]{{32,64}}?[0-9aeiouA-Z]|[^ ]{{64}}|[^\u0001]+|\u0001"
 
 
 def clauses(text: Column) -> Column:
-    """The leaves: of every paragraph (line) of a text its runs of words, in order, each as its SHA-256 followed by its length.
+    """The leaves: the clauses of every paragraph (line) of a text, in order, long ones cut further, each as its SHA-256 followed by its length.
 
-    A run ends behind a word chosen by its last letter, about every third, in
-    scripts without spaces behind about every eighth character; so an edit
-    changes the leaves that it touches and those beside it. Leaves keep every
-    character of the line.
+    Where a leaf ends depends on what stands near, not on its place, so an edit
+    changes the leaves that it touches and those beside it, in any script and
+    without any punctuation. Leaves keep every character of the line.
     """
     parts = lambda c: F.when(F.length(c) > LONG, F.regexp_extract_all(c, F.lit(FURTHER), F.lit(0))).otherwise(F.array(c))
-    pieces = lambda p: F.flatten(F.transform(F.filter(F.split(marked(p), MARK), lambda x: x != ""), parts))
+    pieces = lambda p: F.flatten(F.transform(F.regexp_extract_all(p, F.lit(CLAUSE), F.lit(0)), parts))
     return F.transform(F.split(text, "\n"), lambda p: F.transform(pieces(p), lambda c: F.concat(F.sha2(c, 256), F.length(c).cast("string"))))
 
 
@@ -194,10 +182,8 @@ def compare_with_edit(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _tree_sql(text: str, k: int) -> str:
-    paragraph = "replace(replace(x, chr(2), chr(2) || chr(4)), chr(1), chr(2) || chr(3))"
-    marked = f"regexp_replace({paragraph}, '{END}', '\\1' || chr(1), 'g')"
     return f"""
-l{k} AS (SELECT doc_id, list_transform(string_split({text}, chr(10)), lambda x: list_transform(flatten(list_transform(list_filter(string_split({marked}, chr(1)), lambda c: c <> ''), lambda c: CASE WHEN length(c) > {LONG} THEN regexp_extract_all(c, '{FURTHER}') ELSE [c] END)), lambda c: sha256(c) || length(c))) AS c FROM e),
+l{k} AS (SELECT doc_id, list_transform(string_split({text}, chr(10)), lambda x: list_transform(flatten(list_transform(regexp_extract_all(x, '{CLAUSE}'), lambda c: CASE WHEN length(c) > {LONG} THEN regexp_extract_all(c, '{FURTHER}') ELSE [c] END)), lambda c: sha256(c) || length(c))) AS c FROM e),
 p{k} AS (SELECT doc_id, c, list_transform(c, lambda x: sha256(array_to_string(x, ''))) AS p FROM l{k}),
 s{k} AS (SELECT doc_id, c, p, list_transform(range(0, (len(p) - 1) // 8 + 1), lambda i: sha256(array_to_string(p[i * 8 + 1 : i * 8 + 8], ''))) AS s FROM p{k}),
 n{k} AS (SELECT doc_id, sha256(array_to_string(s, '')) AS root, list_concat(list_transform(list_concat([sha256(array_to_string(s, ''))], list_concat(s, p)), lambda d: d || '1'), flatten(c)) AS nodes FROM s{k}),

@@ -165,10 +165,10 @@ def leaves(line):
     """The leaves of a line by the rule, with Python's own expressions."""
     import regex
 
-    line = line.replace("\u0002", "\u0002\u0004").replace("\u0001", "\u0002\u0003")
     out = []
-    for piece in regex.sub(merkle.END, "\\1\u0001", line).split("\u0001"):
-        out += [m[0] for m in regex.finditer(merkle.FURTHER, piece)] if len(piece) > merkle.LONG else [piece] if piece else []
+    for piece in [m[0] for m in regex.finditer(merkle.CLAUSE, line)]:
+        out += [m[0] for m in regex.finditer(merkle.FURTHER, piece)] if len(piece) > merkle.LONG else [piece]
+    assert "".join(out) == line
     return out
 
 
