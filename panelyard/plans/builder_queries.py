@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from panelyard.operators import builders, evaluation
+from panelyard.operators import blocks, builders, evaluation, market
 from panelyard.operators import reports as R
 from panelyard.operators.probability import normal_crps
 from panelyard.plans.model_queries import PROJ, projections
 from panelyard.plans.registry import Tables, query
+from panelyard.sources import tables
 
 
 @query("f22_pick_grid", "SELECT s_nationkey AS league, r AS round, CASE WHEN s_nationkey % 2 = 0 AND r % 2 = 0 THEN n + 1 - k ELSE k END AS slot, (r - 1) * n + k AS pick FROM (SELECT s_nationkey, count(*)::INT AS n FROM supplier GROUP BY 1), (SELECT unnest(range(1, 5))::INT AS r), (SELECT unnest(range(1, 2001))::INT AS k) WHERE k <= n")
@@ -107,3 +108,36 @@ def j15(t: Tables):
     """All pairs of the lines of an order (seven at most), summed by order."""
     pairs = builders.pairs_within(t.lineitem, ["l_orderkey"], "l_linenumber", ["l_quantity", "l_suppkey"])
     return pairs.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("pairs"), F.sum(F.abs(F.col("a.l_quantity") - F.col("b.l_quantity"))).cast("long").alias("apart"), F.count_if(F.col("a.l_suppkey") == F.col("b.l_suppkey")).alias("same_supplier"))
+
+
+# ---- forms of earlier queries on inputs that give them rows
+
+
+KINDS = "concat(p_type, ' ', p_size, ' ', p_partkey % 7)"
+
+
+@query("k5_ids_by_kind", f"WITH k AS (SELECT p_partkey, {KINDS} AS name, p_brand FROM part), n AS (SELECT name FROM k GROUP BY 1 HAVING count(DISTINCT p_brand) = 1) SELECT p_partkey FROM k JOIN n USING (name)")
+def k5_kinds(t: Tables):
+    return market.unambiguous(t.part.select("p_partkey", F.expr(KINDS).alias("name"), "p_brand"), "name", "p_brand")[0].select("p_partkey")
+
+
+@query("a26_rederived_by_kind", f"WITH k AS (SELECT p_partkey, {KINDS} AS name, p_brand FROM part), u AS (SELECT name, min(p_brand) AS entity FROM k WHERE p_partkey % 3 = 0 GROUP BY 1 HAVING count(DISTINCT p_brand) = 1) SELECT p_partkey, name, entity FROM k JOIN u USING (name)")
+def a26_kinds(t: Tables):
+    named = t.part.select("p_partkey", F.expr(KINDS).alias("name"), "p_brand")
+    return blocks.rederived(named.drop("p_brand"), named.where("p_partkey % 3 = 0").select("name", F.col("p_brand").alias("entity")), "name", "entity")
+
+
+@query("a17_stamps_of_orders", "SELECT (o_orderkey % 40)::VARCHAR AS stamp, count(*) AS n FROM orders GROUP BY 1")
+def a17_orders(t: Tables):
+    named = t.orders.withColumn("source_file", F.concat(F.lit("scan-"), F.col("o_orderkey") % 40, F.lit(".json")))
+    return tables.record_files(named, r"-(\d+)\.json").groupBy("stamp").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("q12_degraded_users", """
+WITH s AS (SELECT user_id AS source FROM events GROUP BY 1 HAVING max(ts) < TIMESTAMP '2024-01-30'), g AS (SELECT user_id AS source, count(DISTINCT date_part('day', ts)) AS n FROM events GROUP BY 1)
+SELECT source, 'STALE' AS fault, 'too old' AS reason FROM s UNION ALL SELECT source, 'GAPPED', 'periods ' || n FROM g WHERE n < 28""")
+def q12_users(t: Tables):
+    e = t.events.groupBy(F.col("user_id").alias("source"))
+    s = e.agg(F.when(F.max("ts") < F.to_timestamp(F.lit("2024-01-30")), "STALE").otherwise("FRESH").alias("state")).withColumn("reason", F.lit("too old"))
+    n = F.countDistinct(F.dayofmonth("ts"))
+    return R.degradations(s, e.agg(F.when(n < 28, n.cast("string")).otherwise("").alias("missing")))
