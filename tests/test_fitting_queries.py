@@ -114,3 +114,54 @@ def test_intervals(spark, table):
     best = min(loss, key=lambda k: loss[k][fit].mean())
     assert study["value"] == best and study["n_fit"] == fit.sum() and study["value_low"] <= best <= study["value_high"]
     assert abs(study["gain"] - (loss[1.0][~fit].mean() - loss[best][~fit].mean())) < 1e-6
+
+
+@pytest.fixture(scope="module")
+def ahead(spark):
+    """The facts with the next period's points."""
+    f = Tables(spark, SF).facts.toPandas().sort_values(["entity", "t"]).reset_index(drop=True)
+    f["y"] = f.groupby("entity")["pts"].shift(-1)
+    return f[f["y"].notna()]
+
+
+def test_ablation_equals_refits(table, ahead):
+    got = table("m28_ablation").set_index(["features", "cat"])
+    sets = {"one": ["qty"], "two": ["qty", "lines"], "all": ["qty", "lines", "returns"]}
+    assert len(got) == 3 * ahead["cat"].nunique()
+    for name, cols in sets.items():
+        for cat, d in ahead.groupby("cat"):
+            sse = sum(((ridge(d.loc[d["season"] != s, cols].to_numpy(float), d.loc[d["season"] != s, "y"].to_numpy(), 5.0)(own[cols].to_numpy(float)) - own["y"]) ** 2).sum() for s, own in d.groupby("season"))
+            assert got.loc[(name, cat), "n"] == len(d) and abs(got.loc[(name, cat), "mse"] - sse / len(d)) < 1e-3 * sse / len(d)
+
+
+def test_frozen_holdout_equals_one_fit(table, ahead):
+    got = table("e26_frozen_holdout").set_index(["entity", "t"])["predicted"]
+    cols, checked = ["qty", "lines"], 0
+    for _, d in ahead.groupby("cat"):
+        old, new = d[d["season"] <= 1997], d[d["season"] > 1997]
+        want = ridge(old[cols].to_numpy(float), old["y"].to_numpy(), 5.0)(new[cols].to_numpy(float))
+        assert np.allclose([got[k] for k in zip(new["entity"], new["t"], strict=True)], want, atol=1e-4)
+        checked += len(new)
+    assert checked == len(got) > 100
+
+
+def test_median_line_is_no_worse_than_any_near_it(spark, table):
+    got = table("m7_median_line").set_index(["entity", "t"])["calibrated"]
+    p = projections(Tables(spark, SF)).dropna().toPandas()
+    line = np.array([got[k] for k in zip(p["entity"], p["t"], strict=True)])
+    slope, first = np.polyfit(p["sys_mean"], line, 1)
+    assert np.allclose(first + slope * p["sys_mean"], line, atol=1e-2)
+    loss = lambda a, b: np.abs(p["actual"] - a - b * p["sys_mean"]).mean()
+    assert all(loss(first, slope) <= loss(first + da, slope + db) + 0.02 for da in (-20, -5, 0, 5, 20) for db in (-0.05, -0.01, 0, 0.01, 0.05))
+
+
+def test_bootstrap_interval_is_that_of_whole_periods(spark, table):
+    got = table("e11_bootstrap").iloc[0]
+    p = projections(Tables(spark, SF)).where("sys_mean IS NOT NULL").toPandas()
+    error = (p["sys_mean"] - p["actual"]).abs()
+    sums = error.groupby([p["season"], p["period"]]).agg(["sum", "count"])
+    rng = np.random.default_rng(1)
+    means = [s["sum"].sum() / s["count"].sum() for s in (sums.iloc[rng.integers(0, len(sums), len(sums))] for _ in range(1000))]
+    assert got["reps"] == 200
+    for name, q in (("q05", 0.05), ("q50", 0.5), ("q95", 0.95)):  # within the noise of two hundred draws
+        assert abs(got[name] - np.quantile(means, q)) < 0.6 * np.std(means), (name, got[name], np.quantile(means, q))
