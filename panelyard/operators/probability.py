@@ -87,10 +87,17 @@ def lattice_quantile(pmf: Column, x0: Column, step: Column | float, level: float
     return x0 + F.least(end["n"], F.size(pmf) - 1) * step
 
 
+def bound(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often ``body`` names it: inside array functions Spark works out every mention anew."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def discretised_normal(mean: Column, sd: Column, lo: int, hi: int) -> Column:
-    """Normal mass of each whole number in [lo, hi], tails in the end cells."""
-    cells = F.sequence(F.lit(lo), F.lit(hi))
-    return F.transform(cells, lambda k: F.when(k == hi, 1.0).otherwise(normal_cdf((k + 0.5 - mean) / sd)) - F.when(k == lo, 0.0).otherwise(normal_cdf((k - 0.5 - mean) / sd)))
+    """Normal mass of each whole number in [lo, hi], tails in the end cells; each edge's distribution function is worked out once."""
+    if lo == hi:
+        return F.array(F.lit(1.0))
+    edges = F.transform(F.transform(F.sequence(F.lit(lo), F.lit(hi - 1)), lambda k: (k + 0.5 - mean) / sd), lambda z: normal_cdf(z))
+    return bound(edges, lambda up: F.zip_with(F.concat(up, F.array(F.lit(1.0))), F.concat(F.array(F.lit(0.0)), up), lambda a, b: a - b))
 
 
 def total(xs: Column) -> Column:
@@ -99,35 +106,57 @@ def total(xs: Column) -> Column:
 
 def poisson_lattice(mean: Column, most: int) -> Column:
     """Poisson mass of 0 to ``most``, what lies above in the last cell: counts of kicks or touchdowns."""
-    cells = F.aggregate(F.sequence(F.lit(1), F.lit(most)), F.array(F.exp(-mean)), lambda pmf, k: F.concat(pmf, F.array(F.element_at(pmf, -1) * mean / k)))
-    return F.transform(cells, lambda p, k: p + F.when(k == most, F.greatest(1.0 - total(cells), F.lit(0.0))).otherwise(0.0))
+    cells = F.aggregate(F.sequence(F.lit(1), F.lit(most)), F.array(F.exp(-mean)), lambda pmf, k: F.concat(pmf, F.array(F.element_at(pmf, -1) * mean / k))) if most else F.array(F.exp(-mean))
+    return bound(cells, lambda c: F.concat(F.slice(c, 1, most), F.array(F.element_at(c, -1) + F.greatest(1.0 - total(c), F.lit(0.0)))))
 
 
 def compound_lattice(counts: Column, worth: int, rest: Column) -> Column:
-    """Distribution of a sum: ``worth`` cells for each of a count, and the rest's own distribution."""
-    n = F.size(rest) + (F.size(counts) - 1) * worth
-    at = lambda i, k: F.when((i >= k * worth) & (i < k * worth + F.size(rest)), F.get(rest, (i - k * worth).cast("int"))).otherwise(0.0)
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda i: total(F.transform(counts, lambda p, k: p * at(i, k))))
+    """Distribution of a sum: ``worth`` (1 or more) cells for each of a count, and the rest's own distribution. A cell adds only the counts that reach it."""
+
+    def sums(c: Column, r: Column) -> Column:
+        def cell(i: Column) -> Column:
+            low = F.greatest(F.ceil((i - F.size(r) + 1) / worth).cast("int"), F.lit(0))
+            high = F.least(F.floor(i / worth).cast("int"), F.size(c) - 1)
+            held = F.aggregate(F.sequence(low, high), F.lit(0.0), lambda a, k: a + F.get(c, k) * F.get(r, i - k * worth))
+            return F.when(low <= high, held).otherwise(0.0)
+
+        return F.transform(F.sequence(F.lit(0), F.size(r) + (F.size(c) - 1) * worth - 1), cell)
+
+    return bound(counts, lambda c: bound(rest, lambda r: sums(c, r)))
 
 
 def tier_lattice(allowed: Column, tiers: list[tuple[int, float]], rest: float) -> Column:
     """From a distribution of points allowed (from 0 in ones) that of the tier's points: (points, p), tiers of equal points together."""
-    cells, low = [], -1
-    for most, points in [*tiers, (10**6, rest)]:
-        p = F.aggregate(F.slice(allowed, low + 2, most - low), F.lit(0.0), lambda a, x: a + x)
-        cells.append(F.struct(F.lit(float(points)).alias("points"), p.alias("p")))
-        low = most
-    return F.array_sort(F.array(*cells))
+
+    def cells(pmf: Column) -> Column:
+        out, low = [], -1
+        for most, points in [*tiers, (10**6, rest)]:
+            out.append(F.struct(F.lit(float(points)).alias("points"), total(F.slice(pmf, low + 2, most - low)).alias("p")))
+            low = most
+        return F.array_sort(F.array(*out))
+
+    return bound(allowed, cells)
 
 
 def regridded(pmf: Column, mean: Column) -> Column:
-    """A distribution on 0, 1, ... moved to another mean: every cell's mass is split between the two cells where it falls; mass that would leave the grid stays in its end cells."""
-    now = total(F.transform(pmf, lambda p, k: p * k))
-    move = mean - now
-    whole, part = F.floor(move), move - F.floor(move)
-    last = F.size(pmf) - 1
-    spot = lambda k, by: F.least(F.greatest(k + by, F.lit(0)), last)
-    return F.transform(pmf, lambda _, i: total(F.transform(pmf, lambda p, k: p * (F.when(spot(k, whole) == i, 1.0 - part).otherwise(0.0) + F.when(spot(k, whole + 1) == i, part).otherwise(0.0)))))
+    """A distribution on 0, 1, ... moved to another mean: every cell's mass is split between the two cells where it falls; mass that would leave the grid stays in its end cells.
+
+    A cell inside the grid takes from two cells; only the end cells add up all that would leave.
+    """
+
+    def moved(q: Column, move: Column) -> Column:
+        whole, n = F.floor(move), F.size(q)
+        part = move - whole
+
+        def landed(i: Column, by: Column) -> Column:
+            start = F.greatest(F.least(i - by, n), F.lit(0)).cast("int")
+            stop = F.greatest(F.least(i - by + 1, n), F.lit(0)).cast("int")
+            low, high = F.when(i == 0, 0).otherwise(start), F.when(i == n - 1, n).otherwise(stop)
+            return total(F.slice(q, low + 1, high - low))
+
+        return F.transform(q, lambda _, i: (1.0 - part) * landed(i, whole) + part * landed(i, whole + 1))
+
+    return bound(pmf, lambda q: bound(mean - total(F.transform(q, lambda p, k: p * k)), lambda move: moved(q, move)))
 
 
 def convolved(starters: DataFrame, matchup: str, side: str, pmf: str) -> DataFrame:

@@ -589,6 +589,12 @@ def e27(t: Tables):
     return R.reproduced(f.where("returns <= 3").select("entity", "t", (F.col("pts") + 7 * F.col("lines")).alias("pts")), f.select("entity", "t", "pts"), ["entity", "t"], "pts", 0.5)
 
 
+def by_size(t: Tables, worked):
+    """Every part beside what is ``worked`` out once for its size, which alone makes its distribution."""
+    part = t.part.select("p_partkey", F.col("p_size").alias("__size"))
+    return part.join(worked, F.col("__size").eqNullSafe(F.col("p_size"))).drop("__size")
+
+
 @query("p7_count_lattices", """
 WITH m AS (SELECT p_partkey, p_size / 20.0::DOUBLE AS m FROM part), c AS (SELECT p_partkey, k, exp(-m + k * ln(m) - lgamma(k + 1)) AS p FROM m, range(9) r(k)), d AS (SELECT p_partkey, k, p + CASE WHEN k = 8 THEN greatest(1 - sum(p) OVER (PARTITION BY p_partkey), 0) ELSE 0 END AS p FROM c),
 t AS (SELECT p_partkey, d.k * 6 + r.i AS x, sum(d.p * r.q) AS p FROM d, (VALUES (0, 0.5::DOUBLE), (1, 0.3), (2, 0.2)) r(i, q) GROUP BY ALL)
@@ -596,8 +602,9 @@ SELECT p_partkey, round(sum(p * x), 6) AS mean, round(sum(p) FILTER (WHERE x >=
 def p7_counts(t: Tables):
     """Six points for each of a Poisson count, and a rest of 0 to 2."""
     pmf = V.compound_lattice(V.poisson_lattice(F.col("p_size") / 20.0, 8), 6, F.array(F.lit(0.5), F.lit(0.3), F.lit(0.2)))
-    rows = t.part.select("p_partkey", pmf.alias("pmf"))
-    return rows.select("p_partkey", F.round(V.total(F.transform("pmf", lambda p, k: p * k)), 6).alias("mean"), F.round(V.at_least(F.col("pmf"), 12), 8).alias("twelve_or_more"))
+    worked = t.part.select("p_size").distinct().select("p_size", pmf.alias("pmf"))
+    sums = worked.select("p_size", F.round(V.total(F.transform("pmf", lambda p, k: p * k)), 6).alias("mean"), F.round(V.at_least(F.col("pmf"), 12), 8).alias("twelve_or_more"))
+    return by_size(t, sums).drop("p_size")
 
 
 @query("p7_tier_lattices", f"""
@@ -608,7 +615,9 @@ def p7_tiers(t: Tables):
     from panelyard.operators.scored import ALLOWED_REST, ALLOWED_TIERS
 
     pmf = V.discretised_normal(F.col("p_size").cast("double"), F.lit(9.0), 0, 60)
-    return t.part.select("p_partkey", F.inline(V.tier_lattice(pmf, ALLOWED_TIERS, ALLOWED_REST))).withColumn("p", F.round("p", 7) + 0)
+    worked = t.part.select("p_size").distinct().select("p_size", V.tier_lattice(pmf, ALLOWED_TIERS, ALLOWED_REST).alias("cells"))
+    rounded = worked.select("p_size", F.transform("cells", lambda c: F.struct(c["points"].alias("points"), (F.round(c["p"], 7) + 0).alias("p"))).alias("cells"))
+    return by_size(t, rounded).select("p_partkey", F.inline_outer("cells"))  # the plain one would work the cells out for every part, to tell whether there are any
 
 
 @query("p7_regridded", """
@@ -617,5 +626,7 @@ SELECT p_partkey, i::INT AS cell, round(sum(p), 8) AS p FROM s WHERE p > 0 GROUP
 def p7_regridded(t: Tables):
     """A distribution of mean 11.25 moved by the size modulo 7, halved."""
     pmf = F.array(*[F.lit({10: 0.25, 11: 0.25, 12: 0.5}.get(k, 0.0)) for k in range(25)])
-    got = t.part.select("p_partkey", F.posexplode(V.regridded(pmf, F.lit(11.25) + F.col("p_size") % 7 / 2.0)).alias("cell", "p"))
-    return got.where("p > 0").withColumn("p", F.round("p", 8))
+    worked = t.part.select("p_size").distinct().select("p_size", V.regridded(pmf, F.lit(11.25) + F.col("p_size") % 7 / 2.0).alias("pmf"))
+    held = F.filter(F.transform("pmf", lambda p, k: F.struct(k.alias("cell"), p.alias("p"))), lambda c: c["p"] > 0)
+    rounded = worked.select("p_size", F.transform(held, lambda c: F.struct(c["cell"].alias("cell"), F.round(c["p"], 8).alias("p"))).alias("cells"))
+    return by_size(t, rounded).select("p_partkey", F.inline_outer("cells")).where("cell IS NOT NULL")  # the plain one would work the cells out for every part, to tell whether there are any

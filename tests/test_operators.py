@@ -363,3 +363,33 @@ def test_playoff_probability_and_leverage(spark):
     want = [(-1, 1.0, 0.0), (0, 1.0, 0.0), (1, 0.72, 0.4), (2, 0.25, 0.5), (3, 0.03, 0.1), (4, 0.0, 0.0)]
     assert [r[0] for r in got] == [w[0] for w in want]
     assert [v for r in got for v in r[1:]] == pytest.approx([v for w in want for v in w[1:]])
+
+
+# ---- lattices
+
+
+def test_long_lattices_are_worked_out_once_a_cell(spark):
+    import time
+
+    rng = np.random.default_rng(3)
+    counts, rest, pmf = rng.dirichlet(np.ones(40)), rng.dirichlet(np.ones(300)), rng.dirichlet(np.ones(300))
+    df = spark.createDataFrame([(counts.tolist(), rest.tolist(), pmf.tolist(), float(m)) for m in (-40.3, 150.25, 155.0, 420.5)], "counts array<double>, rest array<double>, pmf array<double>, mean double").repartition(4)
+    start = time.time()
+    got = df.select("mean", probability.compound_lattice(F.reverse(F.reverse("counts")), 6, F.col("rest")).alias("sums"), probability.regridded(F.reverse(F.reverse("pmf")), F.col("mean")).alias("moved")).collect()
+    assert time.time() - start < 20
+    far = np.zeros((39 * 6 + 300))
+    for k, p in enumerate(counts):
+        far[6 * k : 6 * k + 300] += p * rest
+    for r in got:
+        assert np.allclose(r["sums"], far, atol=1e-12)
+        move = r["mean"] - (pmf * np.arange(300)).sum()
+        want, whole = np.zeros(300), math.floor(move)
+        for k, p in enumerate(pmf):
+            want[min(max(k + whole, 0), 299)] += p * (1 - (move - whole))
+            want[min(max(k + whole + 1, 0), 299)] += p * (move - whole)
+        assert np.allclose(r["moved"], want, atol=1e-12)
+
+
+def test_counts_that_leave_gaps_and_a_lattice_of_one_cell(spark):
+    one = spark.range(1).select(probability.compound_lattice(F.array(F.lit(0.5), F.lit(0.5)), 3, F.array(F.lit(1.0))).alias("g"), probability.regridded(F.array(F.lit(1.0)), F.lit(2.5)).alias("r"), probability.poisson_lattice(F.lit(2.0), 0).alias("p"), probability.discretised_normal(F.lit(0.0), F.lit(1.0), 3, 3).alias("d")).first()
+    assert one["g"] == [0.5, 0.0, 0.0, 0.5] and one["r"] == [1.0] and one["d"] == [1.0] and one["p"] == pytest.approx([1.0])
