@@ -163,9 +163,18 @@ def coverage_of_pool(board: DataFrame, category: str, verdicts: Sequence[str]) -
 
 
 def behind(vacancies: DataFrame, charts: DataFrame, work: DataFrame, take: int = 2) -> DataFrame:
-    """Those next in line for vacated work: by chart, then by their own work."""
-    j = vacancies.select("team", "category", F.col("entity").alias("away")).join(charts, ["team", "category"]).where("entity <> away").join(work, "entity", "left")
-    return top_k(j, ["team", "category", "away"], [F.col("depth").asc_nulls_last(), F.desc_nulls_last("work"), F.col("entity")], take)
+    """Those next in line for vacated work: by chart, then by their own work.
+
+    A vacancy passes over its own entity alone, so only the first places of a
+    team's category can be next in line, not all of its chart: ``take`` rows of
+    an entity at most, and of these twice ``take``.
+    """
+    order = [F.col("depth").asc_nulls_last(), F.desc_nulls_last("work"), F.col("entity")]
+    line = charts.where("entity IS NOT NULL").join(work, "entity", "left")
+    own = top_k(line, ["team", "category", "entity"], order, take).drop("rank")
+    first = top_k(own, ["team", "category"], order, 2 * take).drop("rank")
+    j = vacancies.select("team", "category", F.col("entity").alias("away")).join(first, ["team", "category"]).where("entity <> away")
+    return top_k(j, ["team", "category", "away"], order, take)
 
 
 def notable_free(stats: DataFrame, drops: DataFrame, held: DataFrame, now: Column, ranks: Mapping[str, int], min_games: int = 4, days: int = 10) -> DataFrame:

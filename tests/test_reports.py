@@ -125,3 +125,23 @@ def test_cards_and_roll_ups(spark):
     assert (out["folds"], out["better"], out["accepted"]) == (2, 1, False)
     bad = reports.reproduced(spark.createDataFrame([(1, 1.0)], "k int, v double"), spark.createDataFrame([(1, 1.5)], "k int, v double"), ["k"], "v", 0.1).first()
     assert not bad["same"] and bad["largest_gap"] == 0.5
+
+
+def test_next_in_line_reads_the_first_places_and_not_whole_charts(spark):
+    n = 6000  # every one of one team's category is away: pairs would be 36 million rows
+    who = spark.range(n).select(F.col("id").alias("entity"), F.lit(1).alias("team"), F.lit("a").alias("category"), (F.col("id") % 4).alias("depth"))
+    out = reports.behind(who, who, who.select("entity", (F.col("entity") % 100).alias("work")))
+    got = out.groupBy("away").agg(F.sort_array(F.collect_list(F.struct("rank", "entity"))).alias("x")).collect()
+    assert len(got) == n
+    for r in got:
+        # Depth 0 are multiples of 4; the most work among them is 96, at 96, 196, 296.
+        assert [x["entity"] for x in r["x"]] == [e for e in (96, 196, 296) if e != r["away"]][:2]
+    joined = [line for line in out._jdf.queryExecution().toString().split("\n") if "WindowGroupLimit" in line]
+    assert joined  # a group's rows are cut before they meet the vacancies
+
+
+def test_next_in_line_with_rows_repeated_in_a_chart(spark):
+    charts = spark.createDataFrame([("x", 1, "a", 0), ("x", 1, "a", 0), ("x", 1, "a", 0), ("y", 1, "a", 1), ("z", 1, "a", 2), (None, 1, "a", 0)], "entity string, team int, category string, depth int")
+    away = spark.createDataFrame([("x", 1, "a"), ("y", 1, "a"), ("q", 1, "a"), ("y", 2, "a")], "entity string, team int, category string")
+    work = spark.createDataFrame([("y", 5)], "entity string, work long")
+    assert rows(reports.behind(away, charts, work), "away", "entity", "rank") == [("q", "x", 1), ("q", "x", 2), ("x", "y", 1), ("x", "z", 2), ("y", "x", 1), ("y", "x", 2)]
