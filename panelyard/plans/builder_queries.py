@@ -13,7 +13,7 @@ from panelyard.plans.registry import Tables, query
 from panelyard.sources import tables
 
 
-@query("f22_pick_grid", "SELECT s_nationkey AS league, r AS round, CASE WHEN s_nationkey % 2 = 0 AND r % 2 = 0 THEN n + 1 - k ELSE k END AS slot, (r - 1) * n + k AS pick FROM (SELECT s_nationkey, count(*)::INT AS n FROM supplier GROUP BY 1), (SELECT unnest(range(1, 5))::INT AS r), (SELECT unnest(range(1, 2001))::INT AS k) WHERE k <= n")
+@query("f22_pick_grid", "SELECT s_nationkey AS league, r AS round, CASE WHEN s_nationkey % 2 = 0 AND r % 2 = 0 THEN n + 1 - k ELSE k END AS slot, (r - 1) * n + k AS pick FROM (SELECT s_nationkey, n, unnest(range(1, n + 1))::INT AS k FROM (SELECT s_nationkey, count(*)::INT AS n FROM supplier GROUP BY 1)), (SELECT unnest(range(1, 5))::INT AS r)")
 def f22_grid(t: Tables):
     """A draft for every nation: its suppliers are the slots, four rounds, every second one as a snake."""
     builders.table_functions(t.spark)
