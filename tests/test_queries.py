@@ -183,3 +183,26 @@ def test_sides_of_every_season_and_deals_of_every_rank(spark):
     assert len({r["matchup"] // 100 for r in sides}) == 7
     dealt = catalog.queries()["p10_random_deals"](spark, SF).groupBy("rep").sum("pts").collect()
     assert {r[1] for r in dealt} == {Tables(spark, SF).facts.groupBy().sum("pts").first()[0]}
+
+
+def test_pick_grid_of_a_nation_with_more_than_two_thousand_suppliers(spark, duck, tmp_path):
+    from pyspark.sql import functions as F
+
+    spark.range(2003).select(F.col("id").alias("s_suppkey"), F.lit(4).alias("s_nationkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW supplier AS SELECT * FROM read_parquet('{tmp_path}/supplier.parquet/*.parquet')")
+    got = catalog.queries()["f22_pick_grid"](spark, str(tmp_path))
+    want = con.execute(catalog.oracle_sql()["f22_pick_grid"])
+    names = [d[0] for d in want.description]
+    assert plain([tuple(r) for r in got.collect()], got.columns) == plain(want.fetchall(), names) and got.count() == 4 * 2003
+
+
+def test_earlier_rows_alike_in_sql_by_a_join(duck):
+    """The SQL against a count over pairs, on rows of few groups."""
+    con = duckdb.connect()
+    con.execute("CREATE TABLE customer AS SELECT k AS c_custkey, 1 AS c_nationkey, 'A' AS c_mktsegment FROM range(400) r(k)")
+    con.execute("CREATE TABLE orders AS SELECT k * 400 + m AS o_orderkey, m AS o_custkey, DATE '1998-01-15' + to_months((k * 7 + m % 5)::INT) AS o_orderdate FROM range(20) r(k), range(400) q(m)")
+    con.execute("CREATE TABLE lineitem AS SELECT o_orderkey AS l_orderkey, 1.0 AS l_quantity, 1.0 AS l_extendedprice, 'N' AS l_returnflag FROM orders")
+    got = con.execute(catalog.oracle_sql()["j14_earlier_rows_alike"]).fetchall()
+    want = con.execute("WITH f AS (SELECT o_custkey AS entity, (year(o_orderdate) * 12 + month(o_orderdate))::INT AS t FROM orders) SELECT a.entity, a.t, count(b.t) FROM f a LEFT JOIN f b ON b.t < a.t GROUP BY ALL").fetchall()
+    assert sorted(got) == sorted(want) and len(got) == 8000
