@@ -241,10 +241,21 @@ def block_links(rows: DataFrame, sets: DataFrame, similarity: float) -> DataFram
     return dealt.join(sets, "node").groupBy("key", "lo", "hi").applyInArrow(meet, "src long, dst long")
 
 
+def simhash_buckets(docs: DataFrame, text: str = "text", shingle: int = 5, radius: int = 2) -> DataFrame:
+    """(node, key): texts whose fingerprints are joined by links of at most ``radius`` bits share a key."""
+    named = docs.select(text_node(text).alias("doc_id"), text)
+    prints = cut(fingerprints(named, text, shingle).select(F.col("doc_id").alias("node"), "fingerprint").distinct(), "near-simhash")
+    comps = connected_components(fingerprint_links(prints.select("fingerprint").distinct(), radius), "near-simhash-components")
+    roots = prints.join(comps.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("root", F.coalesce("component", "fingerprint"))
+    return roots.select("node", F.xxhash64(F.lit("simhash"), "root").alias("key"))
+
+
 def similar_links(docs: DataFrame, text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """Components (node, component) of the texts under exact Jaccard similarity of at least ``similarity``.
 
-    Candidates share a band key. First every text of a bucket is compared with
+    Candidates share a SimHash component (``simhash_buckets``) or a band key:
+    SimHash holds the nearest copies together, bands those beyond its few bits,
+    and the exact check follows for both. First every text of a bucket is compared with
     the bucket's least, which joins large groups in linear work; then all pairs
     of a bucket whose two texts are still in different components: in a bucket of
     up to FEW texts as rows, in a larger one block by block inside the tasks
@@ -252,7 +263,9 @@ def similar_links(docs: DataFrame, text: str = "text", shingle: int = 5, similar
     left out only if it is in one component already, was compared, or its sizes
     alone rule the similarity out.
     """
-    placed = cut(sketches(docs, text, shingle).distinct().select("node", "n", F.explode("keys").alias("key")), "near-sketches")
+    known = cut(sketches(docs, text, shingle).distinct(), "near-sketches")
+    close = simhash_buckets(docs, text, shingle).join(known.select("node", "n"), "node").select("node", "n", "key")
+    placed = known.select("node", "n", F.explode("keys").alias("key")).union(close)
     buckets = placed.groupBy("key").agg(F.min("node").alias("rep"), F.max("node").alias("last")).where("rep < last").select("key", "rep")
     shared = cut(placed.join(buckets, "key"), "near-buckets")
     nodes = shared.select("node").distinct()

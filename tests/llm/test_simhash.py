@@ -132,3 +132,17 @@ def test_large_groups_of_near_copies_equal_brute_force(spark, monkeypatch):
                 group[max(top(i), top(j))] = min(top(i), top(j))
     kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()}
     assert kept == {i for i in range(160) if top(i) == i} and 1 < len(kept) < 120
+
+
+def test_copies_within_the_bits_of_a_simhash_need_no_band(spark, monkeypatch):
+    """Bands that no two texts share: what SimHash holds together is checked and joined all the same."""
+    bare = simhash.sketches
+    monkeypatch.setattr(simhash, "sketches", lambda *a, **k: bare(*a, **k).withColumn("keys", F.array(F.col("node"))))
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(900)}" for _ in range(4000)]
+    other = [f"v{rng.randrange(900)}" for _ in range(4000)]
+    texts = [" ".join(base), "  ".join(base), " ".join([*base[:-1], "x"]), " ".join(other), "\n".join(other).upper()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    prints = {r["doc_id"]: r["fingerprint"] for r in simhash.fingerprints(docs, shingle=5).collect()}
+    assert bin((prints[0] ^ prints[2]) & (2**64 - 1)).count("1") <= 2
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == [0, 3]
