@@ -16,7 +16,11 @@ _UP_TO = np.cumsum([np.exp(-1.0) / np.prod(np.arange(1.0, k + 1)) for k in range
 def times(replicate: Column, *key: Column, salt: str = "") -> Column:
     """How often a key stands in a replicate: a Poisson number of mean 1, drawn by a hash of both, so that it is the same wherever it is asked for."""
     u = F.pmod(F.xxhash64(F.lit(salt), replicate, *key), F.lit(2**52)) / F.lit(float(2**52))
-    return sum((F.when(u >= float(c), 1).otherwise(0) for c in _UP_TO), F.lit(0))
+    # The first share that is not passed ends the search, so the hash is mostly worked out once or twice and not for every share.
+    drawn = F.when(u < float(_UP_TO[0]), 0)
+    for k, c in enumerate(_UP_TO[1:], 1):
+        drawn = drawn.when(u < float(c), k)
+    return drawn.otherwise(len(_UP_TO))
 
 
 def _replicates(sums: DataFrame, reps: int) -> DataFrame:
@@ -34,18 +38,19 @@ def two_level_interval(rows: DataFrame, by: Sequence[str], group: Sequence[str],
     own. Returns ``by``, ``n``, ``estimate``, ``low``, ``high``, ``below_zero`` (share
     of replicates) and ``reps``, those with a denominator.
 
-    Rows' own draws are made where they lie and summed by group and member, so
-    what a replicate adds is one number pair for each member and not for each
-    row; then groups' and members' draws weigh these sums.
+    A row's three draws are made where it lies and its weighed numbers summed by
+    ``by`` and replicate at once, so what moves is a few sums a replicate and
+    neither rows nor members.
     """
     key, inner = list(by), [*by, *group, *member]
     base = rows.select(*[F.col(c) for c in dict.fromkeys(inner)], numerator.cast("double").alias("x"), (denominator if denominator is not None else F.lit(1.0)).cast("double").alias("d")).where("x IS NOT NULL AND d IS NOT NULL")
     # A row is told by its values, so that any order of rows makes the same draws: equal rows of a member are drawn together.
-    drawn = _replicates(base.withColumn("own", F.xxhash64("x", "d")), reps).withColumn("w", F.when(F.col("rep") == 0, 1).otherwise(times(F.col("rep"), *[F.col(c) for c in inner], F.col("own"), salt=salt + "r")))
-    held = drawn.groupBy(*dict.fromkeys(inner), "rep").agg(F.sum(F.col("w") * F.col("x")).alias("x"), F.sum(F.col("w") * F.col("d")).alias("d"), F.count(F.lit(1)).alias("n"))
-    draw = times(F.col("rep"), *[F.col(c) for c in (*key, *group)], salt=salt + "g") * times(F.col("rep"), *[F.col(c) for c in inner], salt=salt + "m")
-    weighed = held.withColumn("w", F.when(F.col("rep") == 0, 1).otherwise(draw))
-    per = weighed.groupBy(*key, "rep").agg(F.sum(F.col("w") * F.col("x")).alias("x"), F.sum(F.col("w") * F.col("d")).alias("d"), F.sum("n").alias("n"))
+    # Rows are few megabytes before they are repeated, and would be one task's.
+    spread = base.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    drawn = _replicates(spread.withColumn("own", F.xxhash64("x", "d")), reps)
+    draw = times(F.col("rep"), *[F.col(c) for c in inner], F.col("own"), salt=salt + "r") * times(F.col("rep"), *[F.col(c) for c in (*key, *group)], salt=salt + "g") * times(F.col("rep"), *[F.col(c) for c in inner], salt=salt + "m")
+    weighed = drawn.withColumn("w", F.when(F.col("rep") == 0, 1).otherwise(draw))
+    per = weighed.groupBy(*key, "rep").agg(F.sum(F.col("w") * F.col("x")).alias("x"), F.sum(F.col("w") * F.col("d")).alias("d"), F.count(F.lit(1)).alias("n"))
     return interval(per.withColumn("value", F.try_divide("x", "d")), key, level)
 
 

@@ -78,3 +78,13 @@ def test_grid_value_and_gain_of_every_replicate(spark):
     assert got["value_low"] <= best <= got["value_high"] and got["gain_low"] < got["gain"] < got["gain_high"] and 0.5 < got["share_better"] <= 1
     none = resampling.grid_interval(df.where("fit"), ["week"], F.col("fit"), losses, 1.0, reps=5).collect()[0]
     assert none["n_fit"] == 300 and none["value"] is None
+
+
+def test_two_level_sums_move_by_replicate_and_not_by_member(spark):
+    rows = spark.range(3000).select((F.col("id") % 2).alias("k"), (F.col("id") % 50).alias("g"), F.col("id").alias("m"), (F.col("id") % 7).alias("v"))
+    out = resampling.two_level_interval(rows, ["k"], ["g"], ["m"], F.col("v"), reps=50)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
+    assert moved and not any("m#" in line for line in moved)
+    assert "RoundRobinPartitioning" in plan
+    assert {r["k"]: (r["n"], r["reps"]) for r in out.collect()} == {0: (1500, 50), 1: (1500, 50)}
