@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelyard.operators.ordered import ordered_pairs
+
 
 def common_rows(df: DataFrame, systems: Sequence[str], actual: str) -> DataFrame:
     """Rows on which every system and the outcome have a number."""
@@ -38,50 +40,15 @@ def pairwise_exact(df: DataFrame, systems: Sequence[str], actual: str, by: Seque
 
 
 def pairwise(df: DataFrame, system: str, actual: str, by: Sequence[str], levels: int = 24) -> DataFrame:
-    """The same share for groups of any size, without pairs.
+    """The same share for groups of any size, without pairs (see ``ordered_pairs``); ``levels`` no longer bounds them and is only accepted."""
+    found = ordered_pairs(df.dropna(subset=[system, actual]), by, [system], actual)
+    return found.select(*by, "pairs", "right", F.when(F.col("pairs") > 0, F.col("right") / F.col("pairs")).alias("accuracy"))
 
-    Each row's place by the outcome is compared with others' by prediction:
-    right pairs are counted by merging runs of halving places (for each level,
-    rows of one run look at how many of the run before have a smaller
-    prediction and outcome), so a row takes part in ``levels`` ranks and no pair
-    is ever formed. Groups may have up to 2^levels rows.
-    """
-    w = Window.partitionBy(*by)
-    rows = df.dropna(subset=[system, actual]).select(*by, F.col(system).alias("__p"), F.col(actual).alias("__y"))
-    # Equal outcomes are put in falling order of prediction, so that such a pair is never right.
-    placed = rows.withColumn("__i", F.row_number().over(w.orderBy("__y", F.desc("__p"))) - 1)
-    counts = placed.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
-    ties = placed.groupBy(*by, "__y").agg(F.count(F.lit(1)).alias("__m")).groupBy(*by).agg(F.sum(F.col("__m") * (F.col("__m") - 1) / 2).alias("__tied"))
-    steps = placed.join(counts, list(by)).select(*by, "__p", "__i", F.explode(F.expr(f"filter(sequence(0, {levels - 1}), x -> shiftleft(1L, x) < __n)")).alias("__level"))
-    steps = steps.withColumn("__run", F.expr("shiftright(__i, __level + 1)")).withColumn("__later", F.expr("shiftright(__i, __level) & 1"))
-    before = Window.partitionBy(*by, "__level", "__run").orderBy("__p", F.desc("__later")).rowsBetween(Window.unboundedPreceding, -1)
-    good = steps.withColumn("__g", F.when(F.col("__later") == 1, F.coalesce(F.sum(1 - F.col("__later")).over(before), F.lit(0))))
-    right = good.groupBy(*by).agg(F.sum("__g").alias("__right"))
-    pairs, found = F.col("__n") * (F.col("__n") - 1) / 2 - F.col("__tied"), F.coalesce("__right", F.lit(0))
-    return counts.join(ties, list(by)).join(right, list(by), "left").select(*by, pairs.cast("long").alias("pairs"), found.alias("right"), F.when(pairs > 0, found / pairs).alias("accuracy"))
-
-
-def pairs_over(df: DataFrame, systems: Sequence[str], actual: str, by: Sequence[str], gap: float = 0.0, levels: int = 24) -> DataFrame:
-    """For each group and system: pairs whose outcomes differ by more than ``gap``, and how many the system puts in their order.
-
-    No pair is formed. Each row stands twice, as itself and as a question at
-    ``actual - gap``; a question counts the rows before it by outcome with a
-    smaller prediction, by merging runs as in ``pairwise``. Groups may have up
-    to 2^(levels-1) rows.
-    """
-    long = common_rows(df, systems, actual).select(*by, F.col(actual).alias("__y"), F.inline(F.array(*[F.struct(F.lit(s).alias("system"), F.col(s).cast("double").alias("__p")) for s in systems])))
-    keys = [*by, "system"]
-    both = long.select(*keys, "__p", F.inline(F.array(F.struct(F.col("__y").alias("__at"), F.lit(0).alias("__asks")), F.struct((F.col("__y") - gap).alias("__at"), F.lit(1).alias("__asks")))))
-    place = Window.partitionBy(*keys).orderBy("__at", F.desc("__asks"))  # a question before the rows at its place
-    placed = both.withColumn("__i", F.row_number().over(place) - 1).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-    placed = placed.withColumn("__below", F.sum(1 - F.col("__asks")).over(place.rowsBetween(Window.unboundedPreceding, -1)))
-    steps = placed.select(*keys, "__p", "__asks", "__below", "__i", F.explode(F.expr(f"filter(sequence(0, {levels - 1}), x -> shiftleft(1L, x) < __n)")).alias("__level"))
-    steps = steps.withColumn("__run", F.expr("shiftright(__i, __level + 1)")).withColumn("__later", F.expr("shiftright(__i, __level) & 1"))
-    before = Window.partitionBy(*keys, "__level", "__run").orderBy("__p", F.desc("__asks")).rowsBetween(Window.unboundedPreceding, -1)
-    found = F.sum((1 - F.col("__later")) * (1 - F.col("__asks"))).over(before)
-    good = steps.withColumn("__g", F.when((F.col("__later") == 1) & (F.col("__asks") == 1), F.coalesce(found, F.lit(0))))
-    pairs = F.sum(F.when((F.col("__level") == 0) & (F.col("__asks") == 1), F.coalesce("__below", F.lit(0))))
-    return good.groupBy(*keys).agg(F.coalesce(pairs, F.lit(0)).cast("long").alias("pairs"), F.coalesce(F.sum("__g"), F.lit(0)).cast("long").alias("right"))
+
+def pairs_over(df: DataFrame, systems: Sequence[str], actual: str, by: Sequence[str], gap: float = 0.0) -> DataFrame:
+    """For each group and system: pairs whose outcomes differ by more than ``gap``, and how many the system puts in their order (see ``ordered_pairs``)."""
+    found = ordered_pairs(common_rows(df, systems, actual), by, systems, actual, gap)
+    return found.select(*by, F.get(F.array(*[F.lit(s) for s in systems]), F.col("system")).alias("system"), "pairs", "right")
 
 
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str]) -> DataFrame:
