@@ -12,6 +12,7 @@ from panelyard.operators import fitting as Z
 from panelyard.operators import panels as P
 from panelyard.operators import plays as Y
 from panelyard.operators import reports as R
+from panelyard.operators.scratch import settled
 from panelyard.plans.model_queries import LINEUP, PROJ, cdf_sql, lineup, lineups, projections
 from panelyard.plans.registry import Tables, query
 
@@ -239,8 +240,10 @@ def e3_all(t: Tables):
 
 def pairs_by_gap(rows, systems, gap):
     """Pairs over the gap and those up to it (all pairs less those over), with each system's share of right ones."""
-    of = lambda g, sign, over: E.pairs_over(rows, systems, "actual", ["cat", "t"], g).select(F.lit(over).alias("attribute"), "system", (sign * F.col("pairs")).alias("pairs"), (sign * F.col("right")).alias("right"))
-    p = of(gap, 1, True).union(of(0, 1, False)).union(of(gap, -1, False))
+    rows = settled(E.common_rows(rows, systems, "actual").select("cat", "t", *systems, "actual"), "gaps")
+    part = lambda over, sign: F.struct(F.lit(over).alias("attribute"), (sign * F.col("pairs")).alias("n"), (sign * F.col("right")).alias("good"))
+    of = lambda g, *parts: E.pairs_over(rows, systems, "actual", ["cat", "t"], g).select("system", F.inline(F.array(*parts)))
+    p = of(gap, part(True, 1), part(False, -1)).union(of(0, part(False, 1))).withColumnsRenamed({"n": "pairs", "good": "right"})
     sums = [F.sum(F.when(F.col("system") == s, F.col(c))).alias(f"{c}_{s}") for s in systems for c in ("pairs", "right")]
     return p.groupBy("attribute").agg(*sums).where(F.col(f"pairs_{systems[0]}") > 0).select("attribute", F.col(f"pairs_{systems[0]}").alias("pairs"), *[(F.col(f"right_{s}") / F.col(f"pairs_{s}")).alias(s) for s in systems])
 
