@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelyard.operators.ordered import ordered_pairs
+
 #: How often a row stands in a resample as large as the sample: shares of a Poisson number of mean 1 that are at most 0, 1, 2 and so on.
 _UP_TO = np.cumsum([np.exp(-1.0) / np.prod(np.arange(1.0, k + 1)) for k in range(12)])
 
@@ -61,45 +63,45 @@ def interval(per: DataFrame, by: Sequence[str], level: float = 0.9) -> DataFrame
     return per.groupBy(*by).agg(F.max(F.when(F.col("rep") == 0, F.col("n"))).cast("long").alias("n"), F.max(F.when(F.col("rep") == 0, F.col("value"))).alias("estimate"), F.percentile(again, F.lit(low)).alias("low"), F.percentile(again, F.lit(high)).alias("high"), F.avg((again < 0).cast("double")).alias("below_zero"), F.count(again).alias("reps"))
 
 
-def pairwise_interval(rows: DataFrame, by: Sequence[str], group: Sequence[str], member: str, systems: tuple[str, str], actual: str, reps: int = 200, level: float = 0.9, block: int = 1024, salt: str = "pairs") -> DataFrame:
+def _drawn(rows: DataFrame, key: Sequence[Column], reps: int, salt: str) -> DataFrame:
+    """Rows with ``draws``: a byte for each replicate, as ``times`` draws it; the first, 1, is the sample as it is."""
+    kinds = ", ".join(f"`{c}` {kind}" for c, kind in rows.dtypes)
+    hashed = rows.withColumn("draws", F.array(*[F.xxhash64(F.lit(salt), F.lit(r), *key) for r in range(1, reps + 1)]).cast("array<long>"))
+
+    def draw(batches):
+        for batch in batches:
+            h = batch.column("draws").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, reps)
+            w = np.ones((batch.num_rows, reps + 1), np.uint8)
+            w[:, 1:] = np.searchsorted(_UP_TO, (h & (2**52 - 1)) / float(2**52), side="right")
+            at = batch.schema.get_field_index("draws")
+            yield batch.set_column(at, "draws", pa.array([x.tobytes() for x in w], pa.binary()))
+
+    return hashed.mapInArrow(draw, kinds + ", draws binary")
+
+
+def pairwise_interval(rows: DataFrame, by: Sequence[str], group: Sequence[str], member: str, systems: tuple[str, str], actual: str, reps: int = 200, level: float = 0.9, block: int = 8192, salt: str = "pairs") -> DataFrame:
     """Share of rightly ordered pairs of the first system less that of the second, with an interval from resampling members within every group.
 
     Pairs are made anew in every replicate: two members drawn a and b times make
     a x b pairs, and one drawn twice makes none with itself, as both have one
     outcome. Pairs of equal outcomes count nothing, a tie of a system is a miss.
-    A group is cut by a hash of the member into blocks, and every two blocks of
-    it meet in one task, which returns three sums a replicate; so no pair is a
-    row and no group one task's, though the work is that of all pairs.
+    All replicates are counted in one pass by ``ordered_pairs``, which forms no
+    pair and cuts groups into ranges of about ``block`` rows; pairs of two rows
+    of one member are taken off.
     Returns ``by``, ``n`` (pairs), ``estimate``, ``low``, ``high``, ``below_zero``,
     ``reps``. Rows with a null are left out.
     """
     key, whole = list(by), list(dict.fromkeys([*by, *group]))
     known = rows.select(*whole, F.col(member).alias("m"), *[F.col(c).cast("double").alias(f"s{i}") for i, c in enumerate(systems)], F.col(actual).cast("double").alias("y")).dropna(subset=["s0", "s1", "y"])
-    known = known.withColumn("draws", F.transform(F.sequence(F.lit(0), F.lit(reps)), lambda r: F.when(r == 0, 1).otherwise(times(r, *[F.col(c) for c in whole], F.col("m"), salt=salt)).cast("int")))
-    sizes = known.groupBy(*whole).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
-    placed = known.join(sizes, whole).withColumn("own", F.pmod(F.xxhash64("m"), F.col("parts")).cast("int"))
-    dealt = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("with")).withColumn("lo", F.least("own", "with")).withColumn("hi", F.greatest("own", "with"))
-    kinds = dict(rows.dtypes)
-
-    def meet(table: pa.Table) -> pa.Table:
-        y, s0, s1, own, lo = (table.column(c).to_numpy() for c in ("y", "s0", "s1", "own", "lo"))
-        w = np.array(table.column("draws").to_pylist(), dtype=np.float64).reshape(len(y), reps + 1)
-        m = np.array(table.column("m").to_pylist(), dtype=object)
-        same = table.column("hi")[0].as_py() == lo[0]
-        a = np.flatnonzero(own == lo)
-        b = a if same else np.flatnonzero(own != lo)
-        way = np.sign(y[a][:, None] - y[b][None, :])
-        way[m[a][:, None] == m[b][None, :]] = 0
-        sums = []
-        for hit in (way != 0, *((np.sign(s[a][:, None] - s[b][None, :]) == way) & (way != 0) for s in (s0, s1))):
-            sums.append(np.einsum("ir,ir->r", w[a], hit.astype(np.float64) @ w[b]) / (2 if same else 1))
-        head = {c: pa.array([table.column(c)[0].as_py()] * (reps + 1), table.schema.field(c).type) for c in key}
-        return pa.table(head | {"rep": pa.array(range(reps + 1), pa.int32()), "pairs": sums[0], "right0": sums[1], "right1": sums[2]})
-
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in key), "rep int, pairs double, right0 double, right1 double"])
-    found = dealt.groupBy(*whole, "lo", "hi").applyInArrow(meet, schema)
-    per = found.groupBy(*key, "rep").agg(F.sum("pairs").alias("n"), F.sum("right0").alias("a"), F.sum("right1").alias("b"))
-    return interval(per.withColumn("value", F.try_divide(F.col("a") - F.col("b"), F.col("n"))), key, level)
+    drawn = _drawn(known, [*[F.col(c) for c in whole], F.col("m")], reps, salt)
+    found = ordered_pairs(drawn, whole, ["s0", "s1"], "y", draws="draws", reps=reps + 1, block=block)
+    again = known.groupBy(*whole, "m").agg(F.count(F.lit(1)).alias("again")).where("again > 1").drop("again")
+    repeated = drawn.alias("a").join(again.alias("b"), [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in (*whole, "m")], "left_semi")
+    own = ordered_pairs(repeated, [*whole, "m"], ["s0", "s1"], "y", draws="draws", reps=reps + 1, block=block)
+    both = found.select(*key, "system", "rep", "pairs", "right").unionByName(own.select(*key, "system", "rep", (-F.col("pairs")).alias("pairs"), (-F.col("right")).alias("right")))
+    of = lambda c, s: F.sum(F.when(F.col("system") == s, F.col(c)))
+    per = both.groupBy(*key, "rep").agg(of("pairs", 0).alias("n"), of("right", 0).alias("a"), of("right", 1).alias("b"))
+    return interval(per.withColumn("value", F.try_divide((F.col("a") - F.col("b")).cast("double"), F.col("n").cast("double"))), key, level)
 
 
 def grid_interval(rows: DataFrame, cluster: Sequence[str], fit: Column, losses: Mapping[float, Column], plain: float, reps: int = 400, level: float = 0.95, salt: str = "grid") -> DataFrame:
