@@ -31,51 +31,62 @@ def _up_to_ms(us: int) -> int:
 
 
 class _OpenClose(StatefulProcessor):
-    """State of one prop: the first and last quote up to kickoff, and counts; the key ends with the kickoff in microseconds."""
+    """State of many props of one kickoff, by their key: the first and last quote up to kickoff, and counts; all end with one timer."""
 
-    def __init__(self, kind: str, columns: Sequence[str]):
-        self.kind, self.columns = kind, list(columns)
+    def __init__(self, kind: str, keys: Sequence[str], columns: Sequence[str]):
+        self.kind, self.keys, self.columns = kind, list(keys), list(columns)
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.held = handle.getValueState("quotes", f"open_us long, open {self.kind}, close_us long, close {self.kind}, quotes long, in_play long")
+        names = ", ".join(f"k{i} array<string>" for i in range(len(self.keys)))
+        self.held = handle.getValueState("props", f"{names}, open_us array<long>, open array<{self.kind}>, close_us array<long>, close array<{self.kind}>, quotes array<long>, in_play array<long>")
 
-    def row(self, key, event, held, late):
-        return pd.DataFrame([(*key, event, *held, late)], columns=self.columns)
+    def table(self, rows):
+        return pd.DataFrame(rows, columns=self.columns, dtype=object)
 
     def handleInputRows(self, key, rows, timerValues):
-        kick, old = key[-1], self.held.exists()
-        open_us, first, close_us, last, quotes, in_play = self.held.get() if old else (None, None, None, None, 0, 0)
-        closed = _up_to_ms(kick) <= timerValues.getCurrentWatermarkInMs()
-        early = after = 0
-        for df in rows:
-            before = df["at_us"] <= kick
-            after += int((~before).sum())
-            early += int(before.sum())
-            if closed or not before.any():
-                continue
-            df = df[before].sort_values(["at_us", "quote_"])
-            lo, hi = (int(df["at_us"].iloc[0]), df["quote_"].iloc[0].item()), (int(df["at_us"].iloc[-1]), df["quote_"].iloc[-1].item())
-            if open_us is None or lo < (open_us, first):
-                open_us, first = lo
-            if close_us is None or hi > (close_us, last):
-                close_us, last = hi
-        if closed:
-            yield self.row(key, "after", (None, None, None, None, 0, after), early)
+        kick = key[0]
+        parts = [zip(zip(*[df[c].tolist() for c in self.keys], strict=True), df["at_us"].tolist(), df["quote_"].tolist(), strict=True) for df in rows]
+        if _up_to_ms(kick) <= timerValues.getCurrentWatermarkInMs():
+            late: dict = {}
+            for part in parts:
+                for prop, us, _ in part:
+                    late.setdefault(prop, [0, 0])[us > kick] += 1
+            yield self.table([(*prop, kick, "after", None, None, None, None, 0, after, early) for prop, (early, after) in late.items()])
             return
+        old = self.held.exists()
+        n = len(self.keys)
+        held = {}
+        if old:
+            state = list(self.held.get())
+            held = dict(zip(zip(*state[:n], strict=True), map(list, zip(*state[n:], strict=True)), strict=True))
+        for part in parts:
+            for prop, us, quote in part:
+                now = held.get(prop)
+                if now is None:
+                    now = held[prop] = [None, None, None, None, 0, 0]
+                if us > kick:
+                    now[5] += 1
+                    continue
+                now[4] += 1
+                if now[0] is None or (us, quote) < (now[0], now[1]):
+                    now[0], now[1] = us, quote
+                if now[2] is None or (us, quote) > (now[2], now[3]):
+                    now[2], now[3] = us, quote
         if not old:
             self.handle.registerTimer(_up_to_ms(kick))
-        self.held.update((open_us, first, close_us, last, quotes + early, in_play + after))
+        self.held.update((*map(list, zip(*held, strict=True)), *map(list, zip(*held.values(), strict=True))))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        yield self.row(key, "close", self.held.get(), 0)
+        state, n = list(self.held.get()), len(self.keys)
         self.held.clear()
+        yield self.table([(*x[:n], key[0], "close", *x[n:], 0) for x in zip(*state, strict=True)])
 
     def close(self) -> None:
         pass
 
 
-def close_at_kickoff(quotes: DataFrame, kickoffs: DataFrame, key: str, by: Sequence[str], ts: str, value: str, late: str = "10 minutes") -> DataFrame:
+def close_at_kickoff(quotes: DataFrame, kickoffs: DataFrame, key: str, by: Sequence[str], ts: str, value: str, late: str = "10 minutes", parts: int = 32) -> DataFrame:
     """One ``close`` row a prop as soon as the watermark passes its kickoff, in append mode; its state ends there.
 
     The row has the first and last quote at or before kickoff (``open_at``,
@@ -86,17 +97,20 @@ def close_at_kickoff(quotes: DataFrame, kickoffs: DataFrame, key: str, by: Seque
     counts quotes from before kickoff, which no longer change the prices, and
     ``in_play`` the others, so sums over a prop's rows count every quote once.
     Kickoffs are a static side; quotes without a kickoff, time or value are left
-    out. State is one row for each prop whose kickoff is still to come.
+    out. State is one entry for each prop whose kickoff is still to come. Props
+    of one kickoff are dealt into ``parts`` groups by a hash of their key, which
+    are read, written and ended together: calls to the state store go by group
+    and not by prop. Keys are of types that a string gives back.
     """
     timed(quotes.sparkSession)
-    kinds = dict(quotes.dtypes)
+    kinds, keys = dict(quotes.dtypes), [key, *by]
     j = _instants(quotes.where(F.col(value).isNotNull() & F.col(ts).isNotNull()), ts, late).join(kickoffs.where("kickoff IS NOT NULL"), key)
-    j = j.select(key, *by, F.unix_micros("kickoff").alias("kick_us"), "at_us", F.col(value).alias("quote_"))
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in (key, *by)), f"kick_us long, event string, open_us long, open {kinds[value]}, close_us long, close {kinds[value]}, quotes long, in_play long, late long"])
-    columns = [key, *by, "kick_us", "event", "open_us", "open", "close_us", "close", "quotes", "in_play", "late"]
-    out = j.groupBy(key, *by, "kick_us").transformWithStateInPandas(_OpenClose(kinds[value], columns), schema, "append", "eventTime")
+    j = j.select(*[F.col(c).cast("string").alias(c) for c in keys], F.unix_micros("kickoff").alias("kick_us"), F.pmod(F.xxhash64(*keys), F.lit(parts)).alias("part_"), "at_us", F.col(value).alias("quote_"))
+    schema = ", ".join([*(f"`{c}` string" for c in keys), f"kick_us long, event string, open_us long, open {kinds[value]}, close_us long, close {kinds[value]}, quotes long, in_play long, late long"])
+    columns = [*keys, "kick_us", "event", "open_us", "open", "close_us", "close", "quotes", "in_play", "late"]
+    out = j.groupBy("kick_us", "part_").transformWithStateInPandas(_OpenClose(kinds[value], keys, columns), schema, "append", "eventTime")
     at = lambda c: F.timestamp_micros(c)
-    return out.select(key, *by, at("kick_us").alias("kickoff"), "event", at("open_us").alias("open_at"), "open", at("close_us").alias("close_at"), "close", "quotes", "in_play", "late")
+    return out.select(*[F.col(c).cast(kinds[c]).alias(c) for c in keys], at("kick_us").alias("kickoff"), "event", at("open_us").alias("open_at"), "open", at("close_us").alias("close_at"), "close", "quotes", "in_play", "late")
 
 
 class _Status(StatefulProcessor):
