@@ -116,8 +116,16 @@ def around(rows: DataFrame, runs: DataFrame, at: str) -> DataFrame:
     return j.withColumn("last_run", F.array_max(F.filter("__runs", lambda r: r <= F.col(at)))).withColumn("next_run", F.array_min(F.filter("__runs", lambda r: r > F.col(at)))).drop("__w", "__runs")
 
 
-def candidates(names: DataFrame, rosters: DataFrame) -> DataFrame:
-    """Roster rows consistent with every market of an unresolved name: same team, and a position that each market allows."""
+def candidates(names: DataFrame, rosters: DataFrame, parts: int = 16) -> DataFrame:
+    """Roster rows consistent with every market of an unresolved name: same team, and a position that each market allows.
+
+    Names are judged against the kinds of player a team has (sets of positions),
+    so that only rows of the answer are made from names and players. These meet
+    in ``parts`` shares of the players, as teams may be few.
+    """
     n = names.groupBy("name", "team").agg(F.countDistinct("market").alias("markets"))
-    fits = names.join(rosters, "team").where(F.array_contains("allowed_positions", F.col("position"))).groupBy("name", "team", "player_id").agg(F.countDistinct("market").alias("fit"))
-    return fits.join(n, ["name", "team"]).where("fit = markets").drop("fit", "markets")
+    players = rosters.groupBy("team", "player_id").agg(F.array_sort(F.collect_set("position")).alias("positions"))
+    fits = names.join(players.select("team", "positions").distinct(), "team").where(F.arrays_overlap("allowed_positions", "positions")).groupBy("name", "team", "positions").agg(F.countDistinct("market").alias("fit"))
+    fits = fits.join(n, ["name", "team"]).where("fit = markets").select("name", "team", "positions", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    dealt = players.withColumn("part", F.pmod(F.xxhash64("player_id"), F.lit(parts)).cast("int"))
+    return fits.join(dealt, ["team", "positions", "part"]).select("name", "team", "player_id")
