@@ -16,6 +16,7 @@ from panelyard.operators import panels as P
 from panelyard.operators import probability as R
 from panelyard.operators import quality as Q
 from panelyard.operators import scored as D
+from panelyard.operators.scratch import settled
 from panelyard.plans.registry import Tables, query
 from panelyard.sources import tables as A
 
@@ -298,8 +299,9 @@ def m4(t: Tables):
 
 @query("m7_median_line")
 def m7(t: Tables):
-    a, b = M.median_line(projections(t).dropna(), "sys_mean", "actual")
-    return projections(t).dropna().select("entity", "t", F.round(F.lit(a) + F.lit(b) * F.col("sys_mean"), 4).alias("calibrated"))
+    p = settled(projections(t).dropna().select("entity", "t", "sys_mean", "actual"), "median")  # read once a round
+    a, b = M.median_line(p, "sys_mean", "actual")
+    return p.select("entity", "t", F.round(F.lit(a) + F.lit(b) * F.col("sys_mean"), 4).alias("calibrated"))
 
 
 @query("m8_moments_prior", """
