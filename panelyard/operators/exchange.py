@@ -37,7 +37,7 @@ def locked_lineup(rows: DataFrame, roster: Sequence[str], category: str, value:
     return rows.withColumn("slot", slot).drop("__need", "__places", "__in", "__own", "__can")
 
 
-def exchanges(rows: DataFrame, roster: Sequence[str], category: str, value: str, entity: str, slots: Mapping[str, int], flex: Sequence[str], flex_slots: int, current: str, movable: str, droppable: Column) -> DataFrame:
+def exchanges(rows: DataFrame, roster: Sequence[str], category: str, value: str, entity: str, slots: Mapping[str, int], flex: Sequence[str], flex_slots: int, current: str, movable: str, droppable: Column, cheapest_bench: bool = False) -> DataFrame:
     """For each roster, category and droppable row (and none): what its drop costs, and what an addition of that category must beat.
 
     ``roster``, ``category``, ``drop``, ``drop_value``, ``cost`` (the lineup's
@@ -53,17 +53,31 @@ def exchanges(rows: DataFrame, roster: Sequence[str], category: str, value: str,
     the roster's own. With fixed rows the same holds, as these neither move nor
     are put out. ``droppable`` is a condition on ``rows``; fixed rows are never
     dropped.
+
+    Lineups are filled from fixed rows and the first rows of each category alone:
+    no row can start that has as many before it as there are slots for its
+    category and one more, the dropped one. ``cheapest_bench`` returns of each
+    roster's bench the drop of least value alone, the smaller entity on a tie;
+    it stands for all in ``add_drop_gains``.
     """
     args = (category, value, entity, slots, flex, flex_slots, current, movable)
     key = list(roster)
-    base = locked_lineup(rows, key, *args)
-    may = F.coalesce(droppable, F.lit(False)) & ~F.col("fixed")
-    starts = base.where(may & F.col("slot").isNotNull()).select(*key, F.col(entity).alias("__drop"))
-    trials = starts.unionByName(base.select(*key).distinct().withColumn("__drop", F.lit(None).cast(dict(rows.dtypes)[entity])))
-    trial = rows.join(trials, key).where(F.col("__drop").isNull() | (F.col(entity) != F.col("__drop"))).withColumn("__n", F.coalesce(F.xxhash64("__drop"), F.lit(0)))
+    free = F.coalesce(F.col(movable), F.lit(False)) & F.col(value).isNotNull()
+    stuck = F.coalesce(F.col(current).isin(*slots, "FLEX"), F.lit(False)) & ~free
+    first = F.row_number().over(Window.partitionBy(*key, category, "__free").orderBy(F.col(value).desc_nulls_last(), entity))
+    # Rows that are neither free nor fixed count for nothing; the first of them keep a roster of such rows.
+    ahead = rows.where(~stuck).withColumn("__free", free).withColumn("__k", first).where(F.col("__k") <= max(slots.values(), default=0) + flex_slots + 1)
+    few = rows.where(stuck).unionByName(ahead.drop("__free", "__k"))
+    may = F.coalesce(droppable, F.lit(False)) & ~stuck
+    starters = locked_lineup(few, key, *args).where(may & F.col("slot").isNotNull()).select(*key, F.col(entity).alias("__drop"), F.col(value).alias("drop_value"))
+    trials = starters.drop("drop_value").unionByName(few.select(*key).distinct().withColumn("__drop", F.lit(None).cast(dict(rows.dtypes)[entity])))
+    # A dropped row stays without value, slot and leave to move, so that a roster of one is still there.
+    out = F.col("__drop").isNotNull() & (F.col(entity) == F.col("__drop"))
+    gone = {value: F.when(~out, F.col(value)), current: F.when(~out, F.col(current)), movable: F.when(~out, F.col(movable))}
+    trial = few.join(trials, key).withColumn("__n", F.coalesce(F.xxhash64("__drop"), F.lit(0))).withColumns(gone)
     lineups = locked_lineup(trial, [*key, "__drop", "__n"], *args)
-    free = F.col("slot").isNotNull() & ~F.col("fixed")
-    least = lambda c: F.min(F.when(free & (F.col("slot") == c), F.struct(F.col(value).alias("value"), F.col(entity).alias("entity"))))
+    held_free = F.col("slot").isNotNull() & ~F.col("fixed")
+    least = lambda c: F.min(F.when(held_free & (F.col("slot") == c), F.struct(F.col(value).alias("value"), F.col(entity).alias("entity"))))
     held = lambda c: F.count_if(F.col("slot") == c)
     kinds = [*slots, "FLEX"]
     sums = lineups.groupBy(*key, "__drop").agg(F.coalesce(F.sum(F.when(F.col("slot").isNotNull(), F.col(value))), F.lit(0)).alias("__points"), *[least(c).alias(f"__least_{k}") for k, c in enumerate(kinds)], *[held(c).alias(f"__held_{k}") for k, c in enumerate(kinds)])
@@ -79,11 +93,13 @@ def exchanges(rows: DataFrame, roster: Sequence[str], category: str, value: str,
     every = [*dict.fromkeys([*slots, *flex])]
     own = sums.select(*key, "__drop", "__points", F.explode(F.array(*[way(c) for c in every])).alias("w")).select(*key, "__drop", "__points", "w.*")
     before = own.where("__drop IS NULL").select(*key, category, F.col("__points").alias("__before"), "open", "beats")
-    dropped = base.where(may).select(*key, F.col(entity).alias("__drop"), F.col(value).alias("drop_value"), F.col("slot").isNotNull().alias("__starts"))
-    of_start = own.where("__drop IS NOT NULL").join(before.select(*key, category, "__before"), [*key, category]).join(dropped.where("__starts"), [*key, "__drop"])
+    bench = rows.where(may).select(*key, F.col(entity).alias("__drop"), F.col(value).alias("drop_value")).join(starters, [*key, "__drop"], "left_anti")
+    if cheapest_bench:
+        bench = bench.groupBy(*key).agg(F.min(F.struct("drop_value", "__drop")).alias("c")).select(*key, "c.__drop", "c.drop_value")
+    of_start = own.where("__drop IS NOT NULL").join(before.select(*key, category, "__before"), [*key, category]).join(starters, [*key, "__drop"])
     of_start = of_start.select(*key, category, F.col("__drop").alias("drop"), "drop_value", (F.col("__points") - F.col("__before")).alias("cost"), "open", "beats")
     zero = F.col("__before") - F.col("__before")
-    of_bench = before.join(dropped.where("NOT __starts"), key).select(*key, category, F.col("__drop").alias("drop"), "drop_value", zero.alias("cost"), "open", "beats")
+    of_bench = before.join(bench, key).select(*key, category, F.col("__drop").alias("drop"), "drop_value", zero.alias("cost"), "open", "beats")
     none = before.select(*key, category, F.lit(None).cast(dict(rows.dtypes)[entity]).alias("drop"), F.lit(None).cast(dict(rows.dtypes)[value]).alias("drop_value"), zero.alias("cost"), "open", "beats")
     return of_start.unionByName(of_bench).unionByName(none)
 

@@ -17,6 +17,7 @@ from panelyard.operators import market as K
 from panelyard.operators import probability as V
 from panelyard.operators import quality as Q
 from panelyard.operators import reports as R
+from panelyard.operators.scratch import settled
 from panelyard.plans.model_queries import FLEX, PROJ, SLOTS, cdf_sql, projections
 from panelyard.plans.record_queries import LINE, OFFENSE_SQL, facts_sql, quotes, stat_lines
 from panelyard.plans.registry import Tables, query
@@ -97,11 +98,12 @@ SELECT m.grp, m.season, f.entity AS "add", CASE WHEN gain IS NOT NULL THEN dr EN
 FROM (SELECT DISTINCT grp, season FROM r) m JOIN f USING (season) LEFT JOIN k ON k.grp = m.grp AND k.season = m.season AND k.ad = f.entity LEFT JOIN c ON c.grp = m.grp AND c.season = m.season AND c.cat = f.cat
 WHERE f.cat IN ('BUILDING', 'MACHINERY', 'HOUSEHOLD', 'FURNITURE')""")
 def l4_board(t: Tables):
-    rows, key = held_lineups(t), ["grp", "season"]
+    rows, key = settled(held_lineups(t), "held"), ["grp", "season"]
     own, droppable = rows.where("grp < 20"), F.col("movable") & F.col("pts").isNotNull()
-    ways = XC.exchanges(own, key, *LOCKED, droppable=droppable)
+    ways = XC.exchanges(own, key, *LOCKED, droppable=droppable, cheapest_bench=True)
     board = XC.add_drop_gains(rows.where("grp >= 20"), ways, key, ["season"], "cat", "pts", "entity")
-    return XC.verdicts(board, XC.cheapest_of_category(own, key, "cat", "pts", "entity", droppable), key, "cat").select(*key, "add", "drop", "gain", "verdict")
+    versus = F.broadcast(XC.cheapest_of_category(own, key, "cat", "pts", "entity", droppable))  # a row for each of 20 groups, a season and category
+    return XC.verdicts(board, versus, key, "cat").select(*key, "add", "drop", "gain", "verdict")
 
 
 @query("l7_pool_coverage", SEASON_LINEUP + " SELECT cat, count(*) FILTER (WHERE slot IS NOT NULL) AS starts, count(*) FILTER (WHERE slot IS NULL) AS depth FROM lu GROUP BY cat")
