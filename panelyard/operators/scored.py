@@ -141,6 +141,8 @@ def draft_ledger(picks: DataFrame, value: str = "value") -> DataFrame:
     """Every pick beside the best player of its draft still there: the greatest value among those taken later.
 
     ``picks`` has ``draft``, ``pick`` and the value; players never taken have a null pick.
+    Picks are read from the last to the first: a frame that grows costs a step a
+    row, one that shrinks is summed up anew for every row of the draft.
     """
-    later = Window.partitionBy("draft").orderBy(F.col("pick").asc_nulls_last()).rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy("draft").orderBy(F.col("pick").desc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
     return picks.withColumn("best_left", F.max(value).over(later)).where("pick IS NOT NULL").withColumn("given_up", F.greatest(F.col("best_left") - F.col(value), F.lit(0)))
