@@ -31,7 +31,7 @@ QUOTES = """quotes AS (SELECT l_orderkey AS event_id, (l_suppkey % 7)::INT AS bo
 
 def quotes(t: Tables):
     c = F.col
-    l = t.lineitem.join(t.orders.select(c("o_orderkey").alias("l_orderkey"), "o_orderdate"), "l_orderkey")
+    l = P.spread(t.lineitem, "l_orderkey").join(t.orders.select(c("o_orderkey").alias("l_orderkey"), "o_orderdate"), "l_orderkey")
     return l.select(c("l_orderkey").alias("event_id"), (c("l_suppkey") % 7).cast("int").alias("book"), (c("l_linenumber") % 2).cast("int").alias("market"), c("l_partkey").alias("player"), F.when(c("l_returnflag") == "R", "under").otherwise("over").alias("side"), (F.floor("l_quantity") + 0.5).cast("double").alias("point"), (F.when(c("l_linestatus") == "O", 100).otherwise(-100) * (0.9 + c("l_discount") * 10)).alias("price"), c("l_shipdate").alias("seen"), (c("o_orderdate") + F.expr("INTERVAL 60 DAYS")).alias("kickoff"))
 
 
