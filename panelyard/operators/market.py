@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelyard.functions.scalars import implied_probability, poisson_cdf
+from panelyard.operators.panels import spread
 
 QUOTE = ["event_id", "book", "market", "player"]
 
@@ -37,7 +38,7 @@ def devig(quotes: DataFrame) -> tuple[DataFrame, DataFrame]:
 def one_sided(yes: DataFrame, two_way: DataFrame) -> DataFrame:
     """Lone Yes quotes scaled by their book's median margin in the same event; null where it has none."""
     margin = two_way.groupBy("event_id", "book").agg(F.median("overround").alias("__m"))
-    return yes.join(margin, ["event_id", "book"], "left").withColumn("p_yes", implied_probability(F.col("price")) / (1.0 + F.col("__m"))).withColumn("method", F.when(F.col("__m").isNotNull(), "one-sided")).drop("__m")
+    return spread(yes, "event_id", "book").join(margin, ["event_id", "book"], "left").withColumn("p_yes", implied_probability(F.col("price")) / (1.0 + F.col("__m"))).withColumn("method", F.when(F.col("__m").isNotNull(), "one-sided")).drop("__m")
 
 
 def consensus(lines: DataFrame) -> DataFrame:
@@ -96,7 +97,7 @@ def week_table(quotes: DataFrame, ts: str, kickoff: str, keys: list[str]) -> Dat
 
 def book_grades(lines: DataFrame, outcomes: DataFrame, by: list[str]) -> DataFrame:
     """Settled quotes by market and book: error of the line, Brier and log loss of P(over); unsettled ones are counted."""
-    j = lines.join(outcomes, by, "left")
+    j = spread(lines, *by).join(outcomes, by, "left")
     hit = F.when(F.col("actual") != F.col("point"), (F.col("actual") > F.col("point")).cast("double"))
     p = F.least(F.greatest("p_over", F.lit(1e-6)), F.lit(1 - 1e-6))
     return j.groupBy("market", "book").agg(F.count("actual").alias("settled"), F.count_if(F.col("actual").isNull()).alias("void"), F.avg(F.abs(F.col("actual") - F.col("point"))).alias("mae"), F.avg(F.col("point") - F.col("actual")).alias("bias"), F.avg((p - hit) * (p - hit)).alias("brier"), F.avg(-(hit * F.log(p) + (1 - hit) * F.log(1 - p))).alias("log_loss"))
