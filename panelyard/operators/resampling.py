@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 import numpy as np
@@ -13,16 +14,27 @@ from panelyard.operators.ordered import ordered_pairs
 
 #: How often a row stands in a resample as large as the sample: shares of a Poisson number of mean 1 that are at most 0, 1, 2 and so on.
 _UP_TO = np.cumsum([np.exp(-1.0) / np.prod(np.arange(1.0, k + 1)) for k in range(12)])
+#: The same as whole numbers: 52 bits are under one just when they are, as a share of 2**52, under the other.
+_BITS_UP_TO = [math.ceil(float(c) * 2**52) for c in _UP_TO]
+
+
+def _hashed(replicate: Column, *key: Column, salt: str = "") -> Column:
+    """The last 52 bits of a hash of a replicate and a key."""
+    return F.xxhash64(F.lit(salt), replicate, *key).bitwiseAND(F.lit(2**52 - 1))
+
+
+def _poisson(bits: Column) -> Column:
+    """The Poisson number of mean 1 that 52 bits draw. It names them a dozen times, so over many rows they should be a column by then."""
+    # The first share that is not passed ends the search.
+    drawn = F.when(bits < _BITS_UP_TO[0], 0)
+    for k, c in enumerate(_BITS_UP_TO[1:], 1):
+        drawn = drawn.when(bits < c, k)
+    return drawn.otherwise(len(_BITS_UP_TO))
 
 
 def times(replicate: Column, *key: Column, salt: str = "") -> Column:
     """How often a key stands in a replicate: a Poisson number of mean 1, drawn by a hash of both, so that it is the same wherever it is asked for."""
-    u = F.pmod(F.xxhash64(F.lit(salt), replicate, *key), F.lit(2**52)) / F.lit(float(2**52))
-    # The first share that is not passed ends the search, so the hash is mostly worked out once or twice and not for every share.
-    drawn = F.when(u < float(_UP_TO[0]), 0)
-    for k, c in enumerate(_UP_TO[1:], 1):
-        drawn = drawn.when(u < float(c), k)
-    return drawn.otherwise(len(_UP_TO))
+    return _poisson(_hashed(replicate, *key, salt=salt))
 
 
 def _replicates(sums: DataFrame, reps: int) -> DataFrame:
@@ -49,9 +61,14 @@ def two_level_interval(rows: DataFrame, by: Sequence[str], group: Sequence[str],
     # A row is told by its values, so that any order of rows makes the same draws: equal rows of a member are drawn together.
     # Rows are few megabytes before they are repeated, and would be one task's.
     spread = base.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    drawn = _replicates(spread.withColumn("own", F.xxhash64("x", "d")), reps)
-    draw = times(F.col("rep"), *[F.col(c) for c in inner], F.col("own"), salt=salt + "r") * times(F.col("rep"), *[F.col(c) for c in (*key, *group)], salt=salt + "g") * times(F.col("rep"), *[F.col(c) for c in inner], salt=salt + "m")
-    weighed = drawn.withColumn("w", F.when(F.col("rep") == 0, 1).otherwise(draw))
+    repeated = _replicates(spread.withColumn("own", F.xxhash64("x", "d")), reps)
+    levels = {"g": [*key, *group], "m": inner, "r": [*inner, "own"]}
+    # Each draw's hash is a column: written out at every share of three draws, it makes a method over the 8,000 bytes that the JVM compiles.
+    hashed = repeated.select(*key, "rep", "x", "d", *[_hashed(F.col("rep"), *[F.col(c) for c in cols], salt=salt + level).alias(f"__{level}") for level, cols in levels.items()])
+    # A row that a replicate does not draw adds nothing to its sums; where its group is not drawn, its other hashes are not worked out.
+    whole, g, m, r = F.col("rep") == 0, *[F.col(f"__{level}") for level in levels]
+    drawn = hashed.where(whole | ((g >= _BITS_UP_TO[0]) & (m >= _BITS_UP_TO[0]) & (r >= _BITS_UP_TO[0])))
+    weighed = drawn.withColumn("w", F.when(whole, 1).otherwise(_poisson(g) * _poisson(m) * _poisson(r)))
     per = weighed.groupBy(*key, "rep").agg(F.sum(F.col("w") * F.col("x")).alias("x"), F.sum(F.col("w") * F.col("d")).alias("d"), F.count(F.lit(1)).alias("n"))
     return interval(per.withColumn("value", F.try_divide("x", "d")), key, level)
 

@@ -88,3 +88,28 @@ def test_two_level_sums_move_by_replicate_and_not_by_member(spark):
     assert moved and not any("m#" in line for line in moved)
     assert "RoundRobinPartitioning" in plan
     assert {r["k"]: (r["n"], r["reps"]) for r in out.collect()} == {0: (1500, 50), 1: (1500, 50)}
+
+
+def test_two_level_draws_are_those_of_times_and_an_undrawn_row_adds_nothing(spark):
+    rows = [(k, g if g else None, m, float(rng.normal()), float(rng.integers(1, 4))) for k in ("a", "b") for g in range(5) for m in range(4) for _ in range(3)]
+    df = spark.createDataFrame([*rows, ("b", 1, 1, float("inf"), 1.0)], "k string, g int, m bigint, x double, d double")
+    got = {r["k"]: r for r in resampling.two_level_interval(df, ["k"], ["g"], ["m"], F.col("x"), F.col("d"), reps=60).collect()}
+    rep, own, inner = F.col("rep"), F.xxhash64("x", "d"), [F.col(c) for c in ("k", "g", "m")]
+    w = resampling.times(rep, *inner, own, salt="twor") * resampling.times(rep, *inner[:2], salt="twog") * resampling.times(rep, *inner, salt="twom")
+    drawn = df.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(60)))).withColumn("w", w).where("w > 0").toPandas()
+    for k, d in drawn.groupby("k"):
+        values = [(e["w"] * e["x"]).sum() / (e["w"] * e["d"]).sum() for _, e in d.groupby("rep")]
+        assert got[k]["reps"] == len(values) and abs(got[k]["low"] - np.quantile(values, 0.05)) < 1e-9 and abs(got[k]["below_zero"] - np.mean(np.array(values) < 0)) < 1e-12
+        assert k == "b" or abs(got[k]["high"] - np.quantile(values, 0.95)) < 1e-9
+    assert got["b"]["n"] == 61 and got["b"]["high"] == float("inf")
+
+
+def test_two_level_draws_are_compiled(spark):
+    """HotSpot leaves a method of more than 8,000 bytes to its interpreter, where a draw takes many times as long."""
+    rows = spark.range(200).select((F.col("id") % 3).cast("string").alias("k"), (F.col("id") % 5).cast("int").alias("season"), (F.col("id") % 7).cast("int").alias("period"), F.col("id").alias("m"), (F.col("id") % 11).cast("double").alias("v"))
+    out = resampling.two_level_interval(rows, ["k"], ["season", "period"], ["m"], F.col("v"), reps=20)
+    out.collect()
+    debug = getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$")
+    parts = getattr(debug, "MODULE$").codegenStringSeq(out._jdf.queryExecution().executedPlan())
+    sizes = [parts.apply(i)._3().maxMethodCodeSize() for i in range(parts.size()) if "xxhash64" in parts.apply(i)._1()]
+    assert sizes and max(sizes) < 4000, sizes
